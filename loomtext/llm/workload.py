@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, shared, token_count, token_files
+from . import byte_bpe, exact_dedup, line_dedup, packing, quality, shared, token_count, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +25,11 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_token_files(spark, out)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.line_dedup(documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", F.length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), BYTE_RANKS, public_tokenizers.PATTERN)
 
@@ -36,6 +42,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), BYTE_BPE, 1)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_lines", "lost_words")
+    return quality.quality(documents(spark, sf_dir)).select("doc_id", *columns)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = shared.scratch(spark, "digests").rpartition("/")[2].replace("-", "_")
     return exact_dedup.exact_dedup(documents(spark, sf_dir), table)
@@ -43,13 +54,79 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op7_token_count": op7_token_count,
     "op8_packing": op8_packing,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE: dict[str, str] = {
+    "op2_line_dedup": r"""
+        WITH d AS (
+          SELECT DISTINCT doc_id, coalesce(text, '') AS text FROM documents
+        ), l AS (
+          SELECT doc_id, text, i, lines[i] AS line, len(lines) AS n_lines
+          FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d) s, unnest(range(1, len(lines) + 1)) u(i)
+        ), h AS (
+          SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS number FROM l
+        ), b AS (
+          SELECT *, (number + 31 * coalesce(lag(number, 1) OVER w, 0) + 961 * coalesce(lag(number, 2) OVER w, 0)) % 4 = 0 OR i = n_lines AS last
+          FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)
+        ), k AS (
+          SELECT *, coalesce(sum(CAST(last AS INT)) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b
+        ), c AS (
+          SELECT doc_id, text, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k GROUP BY ALL
+        ), r AS (
+          SELECT *, n > 1 AND trim(chunk) <> '' AND row_number() OVER (PARTITION BY n > 1, chunk ORDER BY doc_id, k) > 1 AS gone FROM c
+        )
+        SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS removed_chunks,
+               CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines,
+               CAST(length(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS BIGINT) AS n_chars_left,
+               sha256(coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '')) AS text_sha256
+        FROM r GROUP BY doc_id, text
+    """,
+    "op9_quality": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source,
+                 list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+          FROM documents
+        ), l AS (
+          SELECT r, source, i, line, array_to_string(ws, ' ') AS norm, len(ws) AS n
+          FROM (SELECT r, source, i, line, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws
+                FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d))
+          WHERE len(ws) > 0
+        ), t AS (
+          SELECT min(r) AS r, source FROM d GROUP BY source, text
+        ), hosts AS (
+          SELECT source, count(*) AS n_host FROM t GROUP BY source
+        ), frequent AS (
+          SELECT source, norm FROM (SELECT source, lower(norm) AS norm, count(DISTINCT r) AS n FROM l WHERE r IN (SELECT r FROM t) GROUP BY ALL)
+          JOIN hosts USING (source) WHERE n > 10 AND n > 0.1 * n_host
+        ), lost AS (
+          SELECT r, count(*) AS n_frequent_lines, CAST(sum(n) AS BIGINT) AS lost_words
+          FROM l WHERE (source, lower(norm)) IN (SELECT (source, norm) FROM frequent) GROUP BY r
+        ), dup AS (
+          SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM l GROUP BY r
+        ), w AS (
+          SELECT r, i, array_to_string(words[i:i + 7], ' ') AS win FROM d, unnest(range(1, len(words) - 6)) u(i)
+        ), rep AS (
+          SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS times FROM w) WHERE times > 1
+        ), cov AS (
+          SELECT r, CAST(sum(least(8, i - coalesce(before, i - 8))) AS BIGINT) AS n_repeat_words
+          FROM (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM rep) GROUP BY r
+        ), f AS (
+          SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+                 CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                 coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+                 coalesce(n_frequent_lines, 0) AS n_frequent_lines, coalesce(lost_words, 0) AS lost_words
+          FROM d LEFT JOIN dup USING (r) LEFT JOIN cov USING (r) LEFT JOIN lost USING (r)
+        )
+        SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+               NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost_words <= 0.7 * n_words AS kept
+        FROM f
+    """,
     "op10_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS n_points,
