@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, quality, shared, suffix_tree, token_count, token_files
+from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, shared, suffix_tree, token_count, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -38,6 +38,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.suffix_tree_scores(documents(spark, sf_dir))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_near_dedup": op4_near_dedup,
+    "op5_pii": op5_pii,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_token_count": op7_token_count,
     "op8_packing": op8_packing,
