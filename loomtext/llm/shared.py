@@ -52,25 +52,46 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, most: int = 4 << 20) ->
         yield batch.slice(start)
 
 
+class Memory(dict):
+    """A dict of at most about twice `limit` entries: at the limit the entries become the old ones, and those still in use come back."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def lacking(self, keys: set) -> list:
+        """The keys to work out; all others are entries afterwards, until the next call."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for key in keys.difference(self):
+            if key in self.old:
+                self[key] = self.old[key]
+            else:
+                out.append(key)
+        return out
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, with each distinct chunk of text encoded once.
 
     The byte-level pre-tokenizer never joins text across a space that follows a non-space, so a text is the sequence of its
     chunks (at most one leading space, then non-spaces; or white space) and its ids are those of its chunks in order. Texts in
-    which a special token's string occurs go to the library whole. The cache is cleared at `limit` entries: memory is bounded.
+    which a special token's string occurs go to the library whole. The number of chunks kept is bounded.
     """
 
     chunks = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+").findall
 
-    def __init__(self, path: str, limit: int = 600_000, most_chars: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000, most_chars: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.library("\n")
-        self.limit, self.most_chars = limit, most_chars
-        self.cache: dict[str, bytes] = {}
+        self.most_chars = most_chars
+        self.cache = Memory(limit)
 
     def library(self, text: str) -> bytes:
         import numpy as np
@@ -86,7 +107,7 @@ class ChunkEncoder:
         held = 0
         for chunk in [*missing, None]:
             if many and (chunk is None or held > self.most_chars):
-                ids = np.array(self.tokenizer.encode("\n".join(many), add_special_tokens=False).ids, dtype=self.kind)
+                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(many)], add_special_tokens=False)[0].ids, dtype=self.kind)
                 parts = np.flatnonzero(ids == cut).tolist()
                 raw, w, start = ids.tobytes(), ids.itemsize, 0
                 if len(parts) != len(many) - 1:
@@ -104,10 +125,8 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, in self.kind."""
-        if len(self.cache) > self.limit:
-            self.cache.clear()
         cut = [None if any(s in t for s in self.special) else self.chunks(t) for t in texts]
-        self.learn(list({c for chunks in cut if chunks for c in chunks if c not in self.cache}))
+        self.learn(self.cache.lacking(set().union(*(chunks for chunks in cut if chunks))))
         get = self.cache.__getitem__
         return [self.library(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut, strict=True)]
 

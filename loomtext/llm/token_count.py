@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import Memory, slices
 
 #: The mark that piece models put for a space; a text may hold it itself, with the same meaning.
 MARK = "▁"
@@ -28,21 +28,18 @@ class PieceCounter:
 
     pretokens = re.compile(r" +[^ ]*").findall
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 500_000):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
         if any(MARK in p.lstrip(MARK) for p in pieces) or self.model.encode("a  b ") != self.model.encode("a" + MARK * 2 + "b" + MARK):
             raise ValueError("pieces of this model cross spaces, or it rewrites spaces: count whole texts instead")
-        self.limit = limit
-        self.counts: dict[str, int] = {}
+        self.counts = Memory(limit)
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.counts) > self.limit:
-            self.counts.clear()
         bags = [Counter(self.pretokens(" " + t.replace(MARK, " "))) if t else Counter() for t in texts]
-        missing = list({p for bag in bags for p in bag if p not in self.counts})
+        missing = self.counts.lacking(set().union(*bags))
         for at in range(0, len(missing), 5000):
             some = missing[at : at + 5000]
             for p, ids in zip(some, self.model.encode([p[1:] for p in some], num_threads=1), strict=True):
