@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 def normalised(text: Column) -> Column:
     """The text without the characters 0x20 and 0x09 to 0x0D; null counts as empty."""
-    return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
+    out = F.coalesce(text, F.lit(""))
+    for c in " \t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(""))
+    return out
 
 
 def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -23,8 +26,8 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 class DigestIndex:
     """A table of digests with the row that was kept for each: digest, keep_id, group_size; bucketed and sorted by digest.
 
-    It outlives sessions where the catalog does. A join of new digests with it reads each bucket in order: only the new side is
-    shuffled.
+    It outlives sessions where the catalog does. The anti-join of new digests reads it bucket by bucket, without a shuffle of
+    it where there are as many buckets as shuffle partitions.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int):
@@ -49,9 +52,10 @@ class DigestIndex:
         known = self.rows()
         if known is not None:
             new = new.join(known.select("digest").hint("merge"), "digest", "left_anti")
+        if self.buckets < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            new = new.coalesce(self.buckets)  # else a task has whole buckets as it is
         (
-            new.repartition(self.buckets, "digest")
-            .write.format("parquet")
+            new.write.format("parquet")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
             .mode("append")
@@ -59,14 +63,15 @@ class DigestIndex:
         )
 
     def match(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs whose text the index has."""
-        mine = digests(docs, id_col=id_col, text_col=text_col)
-        return mine.join(self.rows().hint("merge"), "digest").select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"),
+        """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs whose text the index has.
+
+        Both sides are shuffled by the hexadecimal digest, not read by bucket: Spark can then split the rows of a text that a
+        third of all documents have.
+        """
+        name = F.lower(F.hex("digest")).alias("text_sha256")
+        mine = digests(docs, id_col=id_col, text_col=text_col).select("doc_id", name)
+        return mine.join(self.rows().select(name, "keep_id", "group_size"), "text_sha256").select(
+            "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
         )
 
 
@@ -74,9 +79,11 @@ def exact_dedup(docs: DataFrame, table: str, *, buckets: int | None = None, id_c
     """Indexes all of docs in a table and returns each row with the row that stays for its text: see DigestIndex.
 
     Null and empty texts are equal to each other. Rows that repeat an id and a text are all marked kept where that id stays.
-    Other columns are ignored; an empty table gives no rows.
+    Other columns are ignored; an empty table gives no rows. By default there is a bucket for about 100,000 rows, at most as
+    many as shuffle partitions.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, table, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + docs.count() // 100_000)
+    index = DigestIndex(spark, table, buckets)
     index.append(docs, id_col=id_col, text_col=text_col)
     return index.match(docs, id_col=id_col, text_col=text_col)

@@ -6,7 +6,7 @@ import uuid
 
 import pytest
 
-from loomtext.llm.exact_dedup import DigestIndex, exact_dedup
+from loomtext.llm.exact_dedup import DigestIndex, digests, exact_dedup
 
 ROWS = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "c"), (5, None), (6, ""), (7, " \t\n"), (8, "c"), (9, "é x"), (10, "éx"), (None, "c"), (None, "only"), (12, "x" * 200_000)]
 
@@ -43,9 +43,12 @@ def test_increments_keep_the_earlier_row(spark, table):
     assert index.rows().count() == 3
 
 
-def test_the_index_side_is_not_shuffled(spark, table):
-    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
-    plan = exact_dedup(docs, table, buckets=3)._jdf.queryExecution().executedPlan().toString()
+def test_the_anti_join_reads_the_index_by_bucket(spark, table):
+    index = DigestIndex(spark, table, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index.append(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
+    new = spark.createDataFrame([(3, "c")], "doc_id long, text string")
+    joined = digests(new).join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
