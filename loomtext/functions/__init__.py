@@ -1,0 +1 @@
+"""Column functions for text, dates, JSON and type inference."""
