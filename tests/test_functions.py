@@ -1,0 +1,150 @@
+"""Text, date, JSON and type functions on strings of many scripts."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomtext import build
+from loomtext.functions import text as tx
+from loomtext.functions import values as vx
+
+
+def one(spark, expression, *values):
+    df = spark.createDataFrame([(v,) for v in values], "c string")
+    return [r[0] for r in df.select(expression(F.col("c"))).collect()]
+
+
+def test_space_of_all_scripts(spark):
+    assert one(spark, tx.normalise_space, " a  　b \r\n\n c\rd  \n", None, "　") == ["a b\nc\nd", None, ""]
+    assert one(spark, tx.strip, " x ") == ["x"]
+
+
+def test_marks(spark):
+    assert one(spark, tx.normalise_marks, "what?!?! yes... no. a--b ---- c=== d") == ["what. yes. no. a--b   c  d"]
+
+
+def test_rules_replace_by_a_space_in_any_case(spark):
+    assert one(spark, tx.clean_rules, "a<BR />b&NBSP;c HTTPS://x.y/z　d www.q e​f") == ["a b c  \u3000d   e f"]
+    assert one(spark, lambda c: tx.clean_rules(c, ["own"], {"own": ("Ä+",)}), "xäÄy") == ["x y"]
+
+
+def test_phrases_and_noise(spark):
+    assert one(spark, tx.strip_phrases, "a Previous imageNext image b") == ["a   b"]
+    assert one(spark, tx.scrub_noise, "길 50m NAVER Corp. 지도 정보! 끝", "재생1:23 x") == ["길  ! 끝", "  x"]
+    assert one(spark, tx.noise_hits, "재생1:23 재생2:34", "none") == [2, 0]
+
+
+def test_tokens_and_particles(spark):
+    assert one(spark, tx.tokens, "강릉은 The 바다가 AB b 12 축제", None) == [["강릉", "바다", "ab", "12", "축제"], None]
+    assert one(spark, tx.cut_particle, "나는", "사과를", "사과") == ["나는", "사과", "사과"]
+
+
+def test_keywords_block_before_synonyms(spark):
+    got = one(spark, lambda c: tx.keywords(c, stopwords=["행사"], block=["맥주"], synonyms={"수제맥주": "맥주"}), "수제맥주 맥주 행사 2024 수제맥주 바다")
+    assert got == [["맥주", "바다"]]
+
+
+def test_sentences_and_spans(spark):
+    text = "First one. Second!  !!! Third\n\n넷째? 다섯"
+    assert one(spark, tx.sentences, text, "", "...") == [["First one.", "Second!", "Third", "넷째?", "다섯"], [], []]
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    for r in tx.sentence_rows(df, "id", "text").collect():
+        assert text[r.start : r.end] == r.sentence
+
+
+def test_join_text(spark):
+    df = spark.createDataFrame([(" a ", None, "　", "b")], "a string, b string, c string, d string")
+    assert df.select(tx.join_text([F.col(c) for c in df.columns], " | ")).first()[0] == "a | b"
+
+
+def test_small_text_helpers(spark):
+    assert one(spark, lambda c: tx.truncate(c, 3), "abcdef")[0].asDict() == {"text": "abc", "original_chars": 6, "kept_chars": 3, "truncated": True}
+    assert one(spark, tx.garbage_flags, "유료 광고 입니다", "프로필 링크 클릭", "!!", "fine") == [["ad_marker"], ["promotion_link"], ["empty_or_noise"], []]
+    assert one(spark, tx.subject_terms, "Sea/Food, (야행) a b·sea") == [["sea", "food", "야행"]]
+    assert set(one(spark, tx.parity, "a", "b", "c", "d")) <= {0, 1}
+    df = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(tx.jaccard(F.col("a"), F.col("b"))).collect()] == [pytest.approx(1 / 3), 0.0]
+
+
+def test_timestamps(spark):
+    got = one(spark, vx.coerce_timestamp, "2025-01-02T03:04:05+09:00", "2025-01-02T03:04:05Z", "2025-01-02 03:04:05", " 2025-01-02", "2025/01/02", "Invalid Date", "x", "", None)
+    assert got == ["2025-01-01T18:04:05Z", "2025-01-02T03:04:05Z", "2025-01-02T03:04:05Z", "2025-01-02T00:00:00Z", "2025-01-02T00:00:00Z", None, None, None, None]
+    assert [str(d) for d in one(spark, vx.to_date, "2025-01-02", "2025/01/02", "2025-01-02T03:04:05Z", "x")] == ["2025-01-02", "2025-01-02", "2025-01-02", "None"]
+    assert one(spark, lambda c: vx.bucket(c.cast("timestamp_ntz"), "week"), "2025-01-02") == ["2024-12-30"]
+
+
+def test_json(spark):
+    assert one(spark, lambda c: vx.json_field(c, "수집.채널"), '{"수집.채널": "블로그"}', "{}") == ["블로그", None]
+    assert one(spark, vx.source_url, '{"z": "https://z.z", "a": " http://a.b/c ", "b": "http://x y"}', '{"a": "no"}', None, "broken") == ["http://a.b/c", "", "", ""]
+
+
+def test_inference(spark):
+    rows = [(str(i), f"{i},000.5", "2025-01-02" if i else "x", "a", None, f"{i},000") for i in range(20)]
+    df = spark.createDataFrame(rows, "i string, f string, t string, s string, e string, big string")
+    assert {r.column: r.type for r in vx.infer_types(df).collect()} == {"i": "integer", "f": "float", "t": "timestamp", "s": "string", "e": "string", "big": "integer"}
+    assert vx.column_aliases(["Name", "수집 채널", "a b", "a-b", "1st"]) == ["name", "col_1", "a_b", "a_b_2", "col_4"]
+    assert one(spark, lambda c: vx.coerce(c, "integer"), "1,200", "1.5", "x") == [1200, None, None]
+
+
+def test_percent_and_blanks(spark):
+    df = spark.createDataFrame([(1, 3), (2, 3), (0, 0)], "a long, b long")
+    assert [r[0] for r in df.select(vx.percent_of(F.col("a"), F.col("b"))).collect()] == [33.3, 66.7, 0.0]
+    assert one(spark, vx.blank_to, None, " ", " x ") == ["unknown", "unknown", "x"]
+
+
+def test_clean_keeps_the_first_of_equal_texts(spark):
+    rows = spark.createDataFrame([(2, "A  b", "2025-01-01", "7"), (1, "A b<br>", "2025/01/02", "8"), (3, " ", None, None), (4, "c", "bad", "9")], "place long, body string, day string, `점수` string")
+    got = {r.source_row_index: r for r in build.clean(rows, ["body"], index="place", version="v9", date_column="day").collect()}
+    assert set(got) == {1, 4}
+    assert (got[1].doc_id, got[1].cleaned_text, got[1].created_at, got[1].col_0) == ("v9:row:1", "A b", "2025-01-02T00:00:00Z", "8")
+    assert '"점수":"8"' in got[1].source_json and got[4].created_at is None
+    s = build.clean_summary(rows, ["body"], index="place").first()
+    assert (s.input_rows, s.kept_rows, s.dropped_rows, s.deduped_rows) == (4, 2, 1, 1)
+
+
+def test_clause_ids_of_both_kinds(spark):
+    df = spark.createDataFrame([("d", None, "s", "p", 0), ("d", "b", "s", "p", 1), ("d", "a", "s", "p", 2)], "doc_id string, clause string, source string, prompt_version string, turn long")
+    assert {r.clause: r.clause_id for r in build.clause_ids(df).collect()} == {"a": "d__1", "b": "d__2", None: "d__3"}
+    assert {r.clause: r.clause_id for r in build.clause_ids(df, ordinal="turn").collect()} == {None: "d-0", "b": "d-1", "a": "d-2"}
+
+
+def test_chunks_overlap_and_go_on(spark):
+    df = spark.createDataFrame([("d", "a1. b2. c3. d4. e5."), ("x", None), ("y", "long one here.")], "doc_id string, text string")
+    got = build.chunk_sentences(df, most_sentences=2, most_chars=100, overlap=1).where("doc_id = 'd'").collect()
+    assert [(r.sentence_start, r.sentence_end) for r in got] == [(0, 2), (1, 3), (2, 4), (3, 5)]
+    tiny = build.chunk_sentences(df, most_sentences=9, most_chars=1, overlap=5).where("doc_id <> 'x'").collect()
+    assert len(tiny) == 6 and not [r for r in tiny if r.doc_id == "x"]
+
+
+def test_labels_by_an_injected_classifier(spark):
+    def classify(texts):
+        if "boom" in texts:
+            raise RuntimeError("down")
+        return [{"label": "genuine_review" if "good" in t else "odd"} for t in texts]
+
+    df = spark.createDataFrame([(1, "good"), (2, "x"), (3, "boom"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.label, r.reason) for r in build.label_texts(df, classify, batch=1).collect()}
+    assert got == {1: ("genuine_review", ""), 2: ("non_review", "unparsed"), 3: ("uncertain", "failed: RuntimeError"), 4: ("non_review", "unparsed")}
+
+
+def test_chunk_labels_and_spans(spark):
+    df = spark.createDataFrame(
+        [("a", 0, 0, 3, "non_review"), ("a", 1, 2, 5, "genuine_review"), ("b", 0, 0, 1, "uncertain"), ("c", 0, 0, 1, "non_review")],
+        "doc_id string, chunk_index long, sentence_start long, sentence_end long, label string",
+    )
+    got = {r.doc_id: (r.label, [tuple(s) for s in r.genuine_spans]) for r in build.combine_chunks(df).collect()}
+    assert got == {"a": ("genuine_review", [(1, 2, 5)]), "b": ("uncertain", []), "c": ("non_review", [])}
+
+
+def test_document_reconciliation(spark):
+    rows = [("1", "x", "x", None, None, None), ("2", "x", None, None, None, None), ("3", None, None, None, None, None), ("4", "x", "y", "final", "y", 0.9), ("5", "x", "y", "final", "y", 0.5), ("6", "x", "y", "review", "x", 0.99), ("7", "x", "y", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, label_a string, label_b string, judge_decision string, judge_label string, judge_confidence double")
+    got = {r.doc_id: (r.final_label, r.resolution, r.needs_review) for r in build.reconcile_documents(df).collect()}
+    assert got == {
+        "1": ("x", "agree", False),
+        "2": ("x", "partial", False),
+        "3": ("uncertain", "both_failed", True),
+        "4": ("y", "judge", False),
+        "5": ("y", "judge", True),
+        "6": ("x", "judge", True),
+        "7": ("uncertain", "judge", True),
+    }
