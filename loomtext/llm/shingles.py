@@ -75,9 +75,9 @@ def shingle_sets(texts: list[bytes], width: int) -> list:
         if end - start >= width:
             out.append(np.unique(windows[start : end - width + 1]))
         elif end > start:
-            whole = np.uint64(end - start)
-            for h in hashes[start:end]:
-                whole = np.multiply(whole, np.uint64(ODD), dtype="u8") + h
+            whole = end - start
+            for h in hashes[start:end].tolist():
+                whole = (whole * ODD + h) % (1 << 64)
             out.append(mixed(np.array([whole], "u8")))
         else:
             out.append(np.zeros(0, "u8"))
