@@ -12,12 +12,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WHITE_SPACE, slices
+from .shared import WHITE_SPACE, Memory, slices
 
-#: Rows are positions of tokens in words. Each step joins neighbours to the merge table and, in every word, contracts the pair of
-#: least rank: the leftmost, and its further occurrences that do not overlap (no pair made by a merge has a lower rank than it, so
-#: they would be the next ones anyway). A word without a pair is at its fixpoint and makes no further rows.
+#: Rows are positions of tokens in words. Each step joins neighbours to the merge table and contracts, in every word, the leftmost
+#: pair of least rank; a word without a pair is at its fixpoint and makes no further rows. rank and place are compared as one number.
 ENCODE = """
+WITH RECURSIVE state AS (
+  SELECT word, pos, id, 0 AS step FROM symbols
+  UNION ALL
+  SELECT word, pos, CASE WHEN pair = low THEN CAST(pair >> 24 AS INT) ELSE id END, step + 1
+  FROM (
+    SELECT *, min(pair) OVER (PARTITION BY word) AS low
+    FROM (
+      SELECT s.*, (CAST(m.merged AS BIGINT) << 24) + s.pos AS pair
+      FROM (SELECT *, lead(id) OVER near AS next_id, lag(pos) OVER near AS last_pos FROM state WINDOW near AS (PARTITION BY word ORDER BY pos)) s
+      LEFT JOIN merges m ON m.left_id = s.id AND m.right_id = s.next_id))
+  WHERE low IS NOT NULL AND last_pos IS DISTINCT FROM (low & 16777215)
+)
+SELECT word, list(id ORDER BY pos) AS ids
+FROM state JOIN (SELECT word, max(step) AS step FROM state GROUP BY word) USING (word, step)
+GROUP BY word ORDER BY word
+"""
+
+#: The same for long words, whose steps would be many: a step contracts the leftmost pair of least rank and its further occurrences
+#: that don't overlap. No pair that a merge makes has a lower rank than it, so these would be the next steps anyway.
+ENCODE_LONG = """
 WITH RECURSIVE state AS (
   SELECT word, pos, id, 0 AS step FROM symbols
   UNION ALL
@@ -45,16 +64,23 @@ GROUP BY word ORDER BY word
 """
 
 DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
+SELECT doc, list(bytes ORDER BY pos) AS parts FROM tokens JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
 """
 
 
 class RankCoder:
-    """Encodes and decodes by one rank file, with DuckDB in this process over bounded slices."""
+    """Encodes and decodes by one rank file, with DuckDB in this process over bounded slices.
 
-    chunks = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+").findall
+    Texts are cut into chunks first, at places where the usual byte-level pattern begins a match: a space after a non-space, the end
+    of a run of letters. Another pattern must begin matches there, too.
+    """
 
-    def __init__(self, path: str, pattern: str, limit: int = 700_000, block: int = 20_000):
+    #: Parts of a text at places where matches of the pattern begin: whole runs of Latin letters, else up to white space.
+    chunks = re.compile(
+        rf" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]++(?![^\W\d_])| ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
+    ).findall
+
+    def __init__(self, path: str, pattern: str, limit: int = 600_000, block: int = 50_000, long: int = 64):
         import duckdb
         import numpy as np
         import regex
@@ -71,13 +97,13 @@ class RankCoder:
         self.db.execute("SET memory_limit = '300MB'")
         for name, columns in (
             ("merges", dict(zip(("left_id", "right_id", "merged"), (pa.array(c, pa.int32()) for c in zip(*merges, strict=True)), strict=True))),
-            ("vocabulary", {"id": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}),
+            ("vocabulary", {"id": pa.array(ranks.values(), pa.int32()), "bytes": pa.array(ranks, pa.binary())}),
         ):
             self.db.register("given", pa.table(columns))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.limit, self.block = limit, block
-        self.cache: dict[str, bytes] = {}
+        self.block, self.long = block, long
+        self.cache = Memory(limit)
 
     def query(self, sql: str, name: str, table: pa.Table) -> pa.Table:
         self.db.register(name, table)
@@ -86,7 +112,7 @@ class RankCoder:
         finally:
             self.db.unregister(name)
 
-    def merge(self, words: list[str]) -> list[bytes]:
+    def merge(self, words: list[str], sql: str) -> list[bytes]:
         """Ids of each pre-token as little-endian 32-bit integers."""
         import numpy as np
 
@@ -95,7 +121,7 @@ class RankCoder:
         flat = np.frombuffer(b"".join(raw), dtype="u1")
         word = np.repeat(np.arange(len(raw), dtype="i4"), sizes)
         pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype("i4")
-        ids = self.query(ENCODE, "symbols", pa.table({"word": word, "pos": pos, "id": self.byte_ids[flat]})).column("ids").combine_chunks()
+        ids = self.query(sql, "symbols", pa.table({"word": word, "pos": pos, "id": self.byte_ids[flat]})).column("ids").combine_chunks()
         ends = ids.offsets.to_numpy()
         values = ids.values.to_numpy().astype("<u4")
         return [values[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
@@ -105,20 +131,19 @@ class RankCoder:
         parts = [self.split(c) for c in chunks]
         words = list({w for ws in parts for w in ws if w not in self.cache})
         known: dict[str, bytes] = {}
-        start = held = 0
-        for i, w in enumerate([*words, ""]):
-            if i > start and (i == len(words) or i - start >= self.block or held + len(w) > 16 * self.block):
-                known.update(zip(words[start:i], self.merge(words[start:i]), strict=True))
-                start, held = i, 0
-            held += len(w)
+        for sql, some in ((ENCODE, [w for w in words if len(w) <= self.long]), (ENCODE_LONG, [w for w in words if len(w) > self.long])):
+            start = held = 0
+            for i, w in enumerate([*some, ""]):
+                if i > start and (i == len(some) or i - start >= self.block or held + len(w) > 16 * self.block):
+                    known.update(zip(some[start:i], self.merge(some[start:i], sql), strict=True))
+                    start, held = i, 0
+                held += len(w)
         for c, ws in zip(chunks, parts, strict=True):
             self.cache[c] = b"".join([known[w] if w in known else self.cache[w] for w in ws])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
         cut = [self.chunks(t) for t in texts]
-        self.learn(list({c for chunks in cut for c in chunks if c not in self.cache}))
+        self.learn(self.cache.lacking(set().union(*cut)))
         get = self.cache.__getitem__
         return [b"".join(map(get, chunks)) for chunks in cut]
 
@@ -139,8 +164,13 @@ class RankCoder:
                     }
                 )
                 found = self.query(DECODE, "tokens", table)
-                for doc, text in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
-                    out[doc] = bytes.fromhex(text)
+                parts = found.column(1).combine_chunks()
+                flat = parts.values  # the parts of all sequences lie behind each other, in order
+                flat = pa.concat_arrays([flat.cast(pa.large_binary())])
+                raw = memoryview(flat.buffers()[2] or b"")
+                edges = np.frombuffer(flat.buffers()[1], "i8", len(flat) + 1, 8 * flat.offset)[parts.offsets.to_numpy()].tolist()
+                for doc, a, b in zip(found.column(0).to_pylist(), edges[:-1], edges[1:], strict=True):
+                    out[doc] = bytes(raw[a:b])
                 start, held = i, 0
             held += len(ids[i]) if i < len(ids) else 0
         return out
@@ -193,7 +223,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, *, id_col: str = "doc_
 
         coder = rank_coder(ranks, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", 8 << 20):
             ids = coder.encode(part.column(1).to_pylist())
             decimal = [" ".join(map(str, np.frombuffer(x, "<u4").tolist())).encode() for x in ids]
             yield pa.RecordBatch.from_arrays(
