@@ -6,18 +6,19 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import scratch, slices, stored
+from .shared import Memory, scratch, slices, stored
 
-#: Symbols: the end of a text, any word outside the alphabet, and from 2 on the alphabet by falling count.
-END, OTHER = 0, 1
-#: Bits of a symbol in a context's code; a context of up to 3 symbols fits 60 bits.
-BITS = 20
+#: The key of the end of a text; that of a word is a 64-bit hash of its bytes.
+END = 0
+#: Bits of a filter of keys. What passes a filter is checked by a join: a full filter spares no rows, but changes no result.
+FILTER = 1 << 26
 
 
 def held_out(doc_id: Column) -> Column:
@@ -30,14 +31,19 @@ def words_of(part: pa.RecordBatch, at: int) -> list[list[bytes]]:
     return [t.lower().split() for t in part.column(at).to_pylist()]
 
 
+def key_of(word: bytes) -> int:
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True) if word else END
+
+
 def count_words(train: DataFrame, flush: int = 300_000) -> DataFrame:
-    """word, n over all training texts, the end of a text as the empty word. Tasks count first, in bounded tables."""
+    """word, key, n over all training texts, the end of a text as the empty word. Tasks count first, in bounded tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], names=["word", "n"])
+            columns = [pa.array(found.keys(), pa.binary()), pa.array(map(key_of, found), pa.int64()), pa.array(found.values(), pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "key", "n"])
 
         for part in slices(batches, "text"):
             for words in words_of(part, 0):
@@ -48,7 +54,7 @@ def count_words(train: DataFrame, flush: int = 300_000) -> DataFrame:
                 found.clear()
         yield out()
 
-    return train.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(run, "word binary, key long, n long").groupBy("word").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
 
 
 @lru_cache(maxsize=4)
@@ -62,227 +68,255 @@ def table(uri: str) -> dict:
 
 
 @lru_cache(maxsize=4)
-def lookup(uri: str) -> dict[bytes, tuple[int, int]]:
-    """word -> (symbol, count) for the common words."""
+def lookup(uri: str) -> dict[bytes, int]:
+    """word -> count for the common words."""
     t = table(uri)
-    return dict(zip(t["word"].to_pylist(), zip(t["symbol"].to_pylist(), t["n"].to_pylist(), strict=True), strict=True))
+    return dict(zip(t["word"].to_pylist(), t["n"].to_pylist(), strict=True))
+
+
+def write_filter(keys: DataFrame, name: str) -> str:
+    """Bitmaps of the last bits of the column key, in 2,048 rows at most for any corpus; their path."""
+    path, bit = scratch(keys.sparkSession, name), F.col("key").bitwiseAND(F.lit(FILTER - 1))
+    keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits")).write.parquet(path)
+    return path
 
 
-def symbols_of(texts: list[list[bytes]], common: dict):
-    """(symbols of all texts, each with its END; text of each symbol; place in its text)."""
+@lru_cache(maxsize=8)
+def bitmap(uri: str):
     import numpy as np
 
-    other = (OTHER, 0)
-    get = common.get
+    t, out = table.__wrapped__(uri), np.zeros((FILTER >> 15, 4096), "u1")
+    for bucket, bits in zip(t["bucket"].to_pylist(), t["bits"].to_pylist(), strict=True):
+        out[bucket] = np.frombuffer(bits, "u1")
+    return out.reshape(-1)
+
+
+def may_hold(bits, keys):
+    """False for keys that surely aren't in the filter."""
+    at = keys & (FILTER - 1)
+    return (bits[at >> 3] >> (at & 7).astype("u1")) & 1 == 1
+
+
+@lru_cache(maxsize=1)
+def keys_kept() -> Memory:
+    return Memory(400_000)
+
+
+def symbols_of(texts: list[list[bytes]]):
+    """(keys of the words of all texts, each with its END; text of each; place in its text)."""
+    import numpy as np
+
+    kept = keys_kept()
+    for word in kept.lacking(set().union(*texts)):
+        kept[word] = key_of(word)
+    get = kept.__getitem__
     flat: list[int] = []
     for words in texts:
-        flat += [get(w, other)[0] for w in words]
+        flat += map(get, words)
         flat.append(END)
     sizes = np.array([len(words) + 1 for words in texts])
-    symbols = np.array(flat, dtype="i8")
     doc = np.repeat(np.arange(len(texts)), sizes)
-    return symbols, doc, np.arange(len(symbols)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.array(flat, dtype="i8"), doc, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def mixed(a, b):
+    """A 64-bit hash of each pair of keys, which depends on their order."""
+    z = a.view("u8") * 0x9E3779B97F4A7C15 + b.view("u8")
+    z = (z ^ (z >> 29)) * 0xBF58476D1CE4E5B9
+    return (z ^ (z >> 32)).view("i8")
 
 
-def contexts_of(symbols, place, depth: int):
-    """(code of the `depth` symbols before each symbol, mask of symbols with so many before them in their text)."""
+def shifted(keys, k: int):
     import numpy as np
 
-    code = np.zeros(len(symbols), "i8")
-    for k in range(1, depth + 1):
-        before = np.zeros(len(symbols), "i8")
-        before[k:] = symbols[:-k] if k else symbols
-        code |= before << (BITS * (k - 1))
-    return code, place >= depth
+    out = np.zeros(len(keys), keys.dtype)
+    out[k:] = keys[: len(keys) - k]
+    return out
 
 
-def among(keys, values):
-    """(places of values in sorted keys, mask of those found)."""
-    import numpy as np
+def contexts_of(symbols, depth: int) -> list:
+    """For each length up to depth the keys of the contexts before each symbol; they mean nothing where a text has fewer symbols."""
+    out = [shifted(symbols, 1)]
+    for k in range(2, depth + 1):
+        out.append(mixed(out[-1], shifted(symbols, k)))
+    return out
 
-    if not len(keys):
-        return np.zeros(len(values), "i8"), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return at, keys[at] == values
 
+def count_contexts(train: DataFrame, allowed: str, depth: int, flush: int = 2_000_000) -> DataFrame:
+    """context, suffix, next, n for the contexts of `depth` symbols that pass the filter `allowed`. Tasks count first, in bounded arrays.
 
-def count_contexts(train: DataFrame, common: str, allowed: str, depth: int, flush: int = 2_000_000) -> DataFrame:
-    """context, next, n for the contexts of `depth` symbols in the table `allowed`. Tasks count first, in bounded arrays."""
+    The filter is over words where depth is 1, else over pairs of the next shorter context and the last symbol (see pair_key).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, known = lookup(common), np.sort(table(allowed)["context"].to_numpy())
+        bits = bitmap(allowed)
         held: list = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate([*held, np.zeros(0, "i8")]), return_counts=True)
-            columns = [pa.array(known[keys >> BITS] if len(keys) else keys), pa.array(keys & ((1 << BITS) - 1)), pa.array(n.astype("i8"))]
-            return pa.RecordBatch.from_arrays(columns, names=["context", "next", "n"])
+            rows = np.concatenate([*held, np.zeros((3, 0), "i8")], axis=1)
+            _, first, n = np.unique(mixed(rows[0], rows[2]), return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([*(pa.array(r[first]) for r in rows), pa.array(n.astype("i8"))], names=["context", "suffix", "next", "n"])
 
         for part in slices(batches, "text"):
-            symbols, _, place = symbols_of(words_of(part, 0), words)
-            code, whole = contexts_of(symbols, place, depth)
-            at, found = among(known, code)
-            keys = ((at << BITS) | symbols)[found & whole]
-            held.append(keys)
-            size += len(keys)
+            symbols, _, place = symbols_of(words_of(part, 0))
+            contexts = contexts_of(symbols, depth)
+            ends = contexts[0] if depth == 1 else shifted(contexts[depth - 2] ^ (symbols >> 7), 1)
+            found = (place >= depth) & may_hold(bits, ends)
+            suffix = contexts[depth - 2] if depth > 1 else np.zeros(len(symbols), "i8")
+            held.append(np.stack([contexts[-1][found], suffix[found], symbols[found]]))
+            size += int(found.sum())
             if size > flush:
                 yield out()
                 held, size = [], 0
         yield out()
 
-    return train.mapInArrow(run, "context long, next long, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
+    counted = train.mapInArrow(run, "context long, suffix long, next long, n long")
+    return counted.groupBy("context", "suffix", "next").agg(F.sum("n").alias("n"))
+
+
+def pair_key() -> Column:
+    return F.col("context").bitwiseXOR(F.shiftright("next", 7))
 
 
 class Model:
-    """What tasks read from the shared folder: common words, states and entries by depth, and the sizes of the training text."""
+    """Sizes of the training text, and paths in the shared folder: common words, and by depth the states, their entries and a filter of states."""
 
-    def __init__(self, total: int, distinct: int, common: str, levels: list[tuple[str, str]], ends: int = 0):
-        self.total, self.distinct, self.common, self.levels, self.ends = total, distinct, common, levels, ends
+    def __init__(self, total: int, distinct: int, common: str, levels: list[tuple[str, str]], filters: list[str], ends: int = 0):
+        self.total, self.distinct, self.common, self.levels, self.filters, self.ends = total, distinct, common, levels, filters, ends
 
     def alone(self, n):
         """Probability of a token that occurs n times, by its count alone."""
         return (n + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
 
-def train_tree(docs: DataFrame, words: DataFrame, *, depth: int, common_share: float, share: float, entry_share: float, divergence: float) -> Model:
+def train_tree(
+    docs: DataFrame, words: DataFrame, *, depth: int, divergence: float, common_share: float = 1e-6, min_count: int = 5, share: float = 0.0, entry_share: float = 0.0
+) -> Model:
     """The suffix tree of training texts, given their word counts.
 
-    The alphabet holds the words that make up `share` of all tokens; a context may be a state if it does, too. It is retained if
-    n * KL(next symbols || those of its suffix) exceeds divergence * ln(tokens). An entry's weight is n(context, next) divided by
-    n(context) + distinct nexts; entries under entry_share of all tokens, and unseen ones, are left to the suffix with the rest of
-    the weight. By the shares, there are at most 1 / share states of a length, 1 / entry_share entries of a length and
-    1 / common_share common words, for any corpus: so tasks may hold them.
+    A context may be a state if it occurs min_count times. It is retained if n * KL(next symbols || those of its suffix) exceeds
+    divergence * ln(tokens). An entry's weight is n(context, next) divided by n(context) + distinct nexts; the rest of the weight
+    is left to the suffix. All symbols are words, and all entries of a state are kept, so the tree grows with the corpus: it stays
+    in tables. An entry's ratio is its mixed probability over the one by the word's count alone.
+
+    share and entry_share, for trees that must be small, ask for this share of all tokens in a state and an entry as well. Words
+    of common_share of all tokens are written for tasks to look their counts up; that spares rows and changes no result.
     """
     spark = docs.sparkSession
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = int(sums["total"]), int(sums["distinct"])
-    order = F.row_number().over(Window.partitionBy("in_alphabet").orderBy(F.desc("n"), "word")) + F.lit(OTHER)
-    chosen = words.where((F.col("n") >= common_share * total) & (F.length("word") > 0) & (F.length("word") <= 256))
-    chosen = chosen.withColumn("in_alphabet", F.when(F.col("n") >= share * total, F.lit(True)))
-    ranked = chosen.where("in_alphabet").withColumn("symbol", order.cast("long"))
     common = scratch(spark, "common")
-    ranked.unionByName(chosen.where("in_alphabet is null").withColumn("symbol", F.lit(OTHER).cast("long"))).select("word", "symbol", "n").write.parquet(common)
-    symbols = spark.read.parquet(common).groupBy("symbol").agg(F.sum("n").alias("n"))
-    ends = words.where(F.length("word") == 0).select(F.lit(END).cast("long").alias("symbol"), "n")
-    rare = words.where((F.length("word") > 256) | ((F.length("word") > 0) & (F.col("n") < common_share * total))).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    root = symbols.union(ends).union(rare.select(F.lit(OTHER).cast("long"), "n")).groupBy("symbol").agg(F.sum("n").alias("n"))
-    below = stored(root.select(F.lit(0).cast("long").alias("context"), F.col("symbol").alias("next"), (F.col("n") / F.lit(max(1, total))).alias("q"), "n"), "root")
-    levels = []
+    words.where((F.col("n") >= common_share * total) & (F.length("word") > 0) & (F.length("word") <= 256)).select("word", "n").write.parquet(common)
+    model = Model(total, distinct, common, [], [])
+    enough = max(min_count, share * total)
+    below = words.select(F.lit(0).cast("long").alias("suffix"), F.col("key").alias("next"), (F.col("n") / F.lit(max(1, total))).alias("suffix_q"), model.alone(F.col("n")).alias("alone"), F.lit(1.0).alias("suffix_ratio"))
+    allowed = words.where((F.col("n") >= enough) & (F.length("word") > 0)).select("key")
     for length in range(1, depth + 1):
-        allowed = scratch(spark, "allowed")
-        frequent = below.where((F.col("n") >= share * total) & (F.col("next") != END))
-        frequent.select((F.shiftleft("context", BITS) + F.col("next")).alias("context")).write.parquet(allowed)
-        counts = stored(count_contexts(docs, common, allowed, length), "contexts")
-        sizes = counts.groupBy("context").agg(F.sum("n").alias("m"), F.count(F.lit(1)).alias("nexts"))
-        full = counts.join(sizes, "context").withColumn("q", F.col("n") / F.col("m"))
-        shorter = below.select(F.col("context").alias("suffix"), "next", F.col("q").alias("suffix_q"))
-        suffix = F.col("context").bitwiseAND(F.lit((1 << (BITS * (length - 1))) - 1))
-        compared = full.withColumn("suffix", suffix).join(shorter, ["suffix", "next"])
-        kept = compared.groupBy("context").agg(F.sum(F.col("n") * F.log(F.col("q") / F.col("suffix_q"))).alias("gain"))
-        kept = kept.where(F.col("gain") > divergence * math.log(max(2, total))).select("context")
-        entries = full.join(kept, "context").where(F.col("n") >= entry_share * total)
-        entries = stored(entries.select("context", "next", (F.col("n") / (F.col("m") + F.col("nexts"))).alias("weight")), "entries")
+        counts = count_contexts(docs, write_filter(allowed, "allowed"), length)
+        compared = stored(counts.join(below, ["suffix", "next"] if length > 1 else "next").select("context", "next", "n", "suffix_q", "alone", "suffix_ratio"), "contexts")
+        whole = F.col("n") >= entry_share * total
+        sizes = compared.groupBy("context").agg(
+            F.sum("n").alias("m"),
+            F.count(F.lit(1)).alias("nexts"),
+            F.sum(F.col("n") * F.log(F.col("n") / F.col("suffix_q"))).alias("sum"),
+            F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("held"),
+        )
+        sizes = sizes.where(F.col("m") >= enough).withColumn("rest", 1 - F.col("held") / (F.col("m") + F.col("nexts")))
+        gain = F.col("sum") - F.col("m") * F.log("m")
+        sizes = stored(sizes.select("context", "m", "nexts", "rest", (gain > divergence * math.log(max(2, total))).alias("retained")), "sizes")
+        weight = F.when(whole, F.col("n") / (F.col("m") + F.col("nexts"))).otherwise(0.0)
+        ratio = F.when(F.col("retained"), F.col("weight") / F.col("alone") + F.col("rest") * F.col("suffix_ratio")).otherwise(F.col("suffix_ratio"))
+        full = compared.join(sizes if length < depth else sizes.where("retained"), "context").withColumn("weight", weight).withColumn("ratio", ratio)
         states, rows = scratch(spark, "states"), scratch(spark, "tree")
-        kept.join(entries.groupBy("context").agg((1 - F.sum("weight")).alias("rest")), "context", "left").select("context", F.coalesce("rest", F.lit(1.0)).alias("rest")).write.parquet(states)
-        entries.write.parquet(rows)
-        levels.append((states, rows))
-        below = full
-    return Model(total, distinct, common, levels)
-
-
-@lru_cache(maxsize=8)
-def level(states: str, rows: str):
-    """(sorted contexts, their rest, sorted keys of entries, their weights)."""
-    import numpy as np
-
-    s, e = table(states), table(rows)
-    order = np.argsort(s["context"].to_numpy())
-    contexts, rest = s["context"].to_numpy()[order], s["rest"].to_numpy()[order]
-    keys = (np.searchsorted(contexts, e["context"].to_numpy()) << BITS) | e["next"].to_numpy()
-    at = np.argsort(keys)
-    return contexts, rest, keys[at], e["weight"].to_numpy()[at]
+        if length < depth:
+            full = stored(full.select("context", "next", "n", "m", "alone", "weight", "ratio", "retained"), "pairs")
+            below = full.select(F.col("context").alias("suffix"), "next", (F.col("n") / F.col("m")).alias("suffix_q"), "alone", F.col("ratio").alias("suffix_ratio"))
+            allowed = full.where((F.col("n") >= enough) & (F.col("next") != END)).select(pair_key().alias("key"))
+        sizes.where("retained").select("context", "rest").write.parquet(states)
+        full.where("retained and weight > 0").select("context", "next", "weight", "ratio").write.parquet(rows)
+        model.levels.append((states, rows))
+        model.filters.append(write_filter(spark.read.parquet(states).select(F.col("context").alias("key")), "filter"))
+    return model
 
 
 def score_parts(docs: DataFrame, model: Model) -> DataFrame:
-    """A row for each text with what its common words and its symbols add, and a row for each distinct other word of it (word, k)."""
+    """Rows of three kinds: what a text's common words add; a distinct other word of a text (word, k); a distinct next symbol of a
+    text with its contexts c1, c2, ... (next, k) where a context of `level` symbols, the longest one, may be a state."""
+    codes = [f"c{k}" for k in range(1, len(model.levels) + 1)]
+    names = [*PARTS, "level", "next", *codes]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int32(), *[pa.int64()] * (1 + len(codes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, levels = lookup(model.common), [level(*x) for x in model.levels]
-        root = np.zeros(2 + max([OTHER, *(s for s, _ in words.values())]))
-        for symbol, n in words.values():
-            if symbol > OTHER:
-                root[symbol] = model.alone(n)
-        root[END] = model.alone(model.ends)
-        root[OTHER] = max(1 - root.sum(), model.alone(0))
-        other_log = math.log10(root[OTHER])
+        words, filters = lookup(model.common), [bitmap(x) for x in model.filters]
         row = TaskContext.get().partitionId() << 33
+
+        def rows(**columns) -> pa.RecordBatch:
+            some = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(some, t)) for c, t in zip(names, kinds, strict=True)], names=names)
+
         for part in slices(batches, "text", 2 << 20):
             texts = words_of(part, 2)
-            symbols, doc, place = symbols_of(texts, words)
-            p = root[symbols]
-            for length, (contexts, rest, keys, weights) in enumerate(levels, 1):
-                code, whole = contexts_of(symbols, place, length)
-                at, found = among(contexts, code)
-                found &= whole
-                if not found.any():
-                    continue
-                entry, seen = among(keys, ((at << BITS) | symbols)[found])
-                own = np.where(seen, weights[entry] if len(weights) else 0.0, 0.0)
-                p[found] = own + rest[at[found]] * p[found]
-            score = np.bincount(doc, np.log10(p), len(texts))
             base, known, rare = [], [], []
             end_log = math.log10(model.alone(model.ends))
             for k, ws in enumerate(texts):
-                sure = other = 0.0
-                n_known = int(model.ends > 0)
+                sure, n_known = end_log, int(model.ends > 0)
                 for w, n in Counter(ws).items():
-                    symbol, c = words.get(w, (-1, 0))
-                    if symbol < 0:
+                    c = words.get(w)
+                    if c is None:
                         rare.append((row + k, w, n))
-                        other -= n * other_log
-                        continue
-                    n_known += n
-                    log = n * math.log10(model.alone(c))
-                    sure += log
-                    if symbol == OTHER:
-                        other += log - n * other_log
-                base.append(sure + end_log)
+                    else:
+                        n_known += n
+                        sure += n * math.log10(model.alone(c))
+                base.append(sure)
                 known.append(n_known)
-                score[k] += other
-            some = len(texts)
-            none = pa.nulls(some)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + some)),
-                    part.column(0),
-                    part.column(1),
-                    pa.array([len(ws) + 1 for ws in texts], pa.int64()),
-                    pa.array(known, pa.int64()),
-                    pa.array(base, pa.float64()),
-                    pa.array(score),
-                    none.cast(pa.binary()),
-                    none.cast(pa.int64()),
-                ],
-                names=PARTS,
-            )
+            yield rows(row=np.arange(row, row + len(texts)), doc_id=part.column(0), held_out=part.column(1), n_tokens=[len(ws) + 1 for ws in texts], n_known=known, base_score=base)
             for at in range(0, len(rare), 50_000):
-                rows, ws, ns = zip(*rare[at : at + 50_000], strict=True)
-                none = pa.nulls(len(rows))
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows, pa.int64()), *(none.cast(kind) for kind in kinds), pa.array(ws, pa.binary()), pa.array(ns, pa.int64())], names=PARTS
-                )
-            row += some
-
-    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word binary, k long")
-
-
-PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word", "k"]
+                of, ws, ns = zip(*rare[at : at + 50_000], strict=True)
+                yield rows(row=of, word=ws, k=ns)
+            symbols, doc, place = symbols_of(texts)
+            contexts = contexts_of(symbols, len(filters))
+            level, longest = np.zeros(len(symbols), "i4"), np.zeros(len(symbols), "i8")
+            for length, (bits, code) in enumerate(zip(filters, contexts, strict=True), 1):
+                found = (place >= length) & may_hold(bits, code)
+                level[found], longest[found] = length, code[found]
+            some = np.flatnonzero(level)
+            _, first, n = np.unique(mixed(mixed(longest[some], symbols[some]), doc[some] << 8 | level[some]), return_index=True, return_counts=True)
+            for at in range(0, len(first), 50_000):
+                at_once = some[first[at : at + 50_000]]
+                yield rows(row=row + doc[at_once], k=n[at : at + 50_000], level=level[at_once], next=symbols[at_once], **{c: x[at_once] for c, x in zip(codes, contexts, strict=True)})
+            row += len(texts)
+
+    of_codes = "".join(f", {c} long" for c in codes)
+    return docs.mapInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, word binary, k long, level int, next long{of_codes}")
+
+
+def context_scores(parts: DataFrame, model: Model) -> DataFrame:
+    """row, by_context: what the tree adds to the score by counts alone. Lengths from the longest: an entry settles a row; else the
+    state, if it is one, leaves its rest to the suffix."""
+    spark, depth = parts.sparkSession, len(model.levels)
+    rows = parts.where("level is not null").select("row", "k", "level", "next", *[f"c{k}" for k in range(1, depth + 1)], F.lit(1.0).alias("factor"))
+    settled, left = [], None
+    for length, (states, tree) in reversed(list(enumerate(model.levels, 1))):
+        code, keep = f"c{length}", ["row", "k", "next", *[f"c{k}" for k in range(1, length + 1)], "factor"]
+        mine = rows.where(F.col("level") == length).select(*keep)
+        mine = mine if left is None else mine.unionByName(left.select(*keep))
+        entries = spark.read.schema("context long, next long, ratio double").parquet(tree).withColumnRenamed("context", code)
+        joined = stored(mine.join(entries, [code, "next"], "left"), "joined")
+        settled.append(joined.where("ratio is not null").select("row", (F.col("k") * F.log10(F.col("factor") * F.col("ratio"))).alias("by_context")))
+        rest = spark.read.schema("context long, rest double").parquet(states).withColumnRenamed("context", code)
+        left = joined.where("ratio is null").join(rest, code, "left").withColumn("factor", F.col("factor") * F.coalesce("rest", F.lit(1.0)))
+    out = left.select("row", (F.col("k") * F.log10("factor")).alias("by_context"))
+    for more in settled:
+        out = out.union(more)
+    return out.groupBy("row").agg(F.sum("by_context").alias("by_context"))
+
+
+PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "word", "k"]
 
 
 def suffix_tree_scores(
@@ -290,8 +324,9 @@ def suffix_tree_scores(
     *,
     depth: int = 2,
     common_share: float = 1e-6,
-    share: float = 1e-4,
-    entry_share: float = 1e-6,
+    min_count: int = 5,
+    share: float = 0.0,
+    entry_share: float = 0.0,
     divergence: float = 1.0,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -299,9 +334,10 @@ def suffix_tree_scores(
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; learns from texts that aren't held out.
 
     base_score adds log10 probabilities by word counts alone. score is the log10 probability under the suffix tree (train_tree):
-    the longest state that the text before a token ends in gives its symbol's probability, mixed with its suffixes; a word outside
-    the alphabet has its share of the symbol OTHER by its count. Counts of all words are exact: those of common words are looked
-    up, those of the others are joined, so no vocabulary has to fit anywhere.
+    the longest state that the text before a token ends in gives its word's probability, mixed with its suffixes down to the
+    word's count. Counts of common words are looked up, those of the others are joined; so are the distinct contexts of each text
+    with their next words: neither the vocabulary nor the tree has to fit anywhere. Words and contexts are told apart by 64-bit
+    hashes.
 
     A null text is empty: one token, its end. Null ids count as the empty id text and are kept. Repeated rows stay rows of their
     own. Without training texts every probability by counts is 1. Other columns are ignored; an empty table gives no rows.
@@ -310,20 +346,21 @@ def suffix_tree_scores(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text.alias("text"))
     train = rows.where("not held_out").select("text")
     words = stored(count_words(train), "words")
-    model = train_tree(train, words, depth=depth, common_share=common_share, share=share, entry_share=entry_share, divergence=divergence)
+    model = train_tree(train, words, depth=depth, common_share=common_share, min_count=min_count, share=share, entry_share=entry_share, divergence=divergence)
     model.ends = int(words.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
     parts = stored(score_parts(rows, model), "parts")
     n = F.coalesce("n", F.lit(0))
     log = F.log10((n + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
-    rare = parts.where("word is not null").select("row", "word", "k").join(words, "word", "left")
+    rare = parts.where("word is not null").select("row", "word", "k").join(words.select("word", "n"), "word", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * log).alias("more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return parts.where("word is null").drop("word", "k").join(rare, "row", "left").select(
+    base = F.col("base_score") + F.coalesce("more", F.lit(0.0))
+    texts = parts.where("n_tokens is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score")
+    return texts.join(rare, "row", "left").join(context_scores(parts, model), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        (F.col("base_score") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        base.alias("base_score"),
+        (base + F.coalesce("by_context", F.lit(0.0))).alias("score"),
     )

@@ -66,3 +66,38 @@ def test_without_training_text(spark):
     r = suffix_tree_scores(spark.createDataFrame([(one, "a b")], "doc_id long, text string")).first()
     assert (r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (3, 0, 0, 0.0)
     assert suffix_tree_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_like_a_plain_tree_over_all_words(spark):
+    """Contexts and words far under any share of the tokens count: 400 words seen 12 times each, by a plain version of the tree."""
+    rnd = random.Random(9)
+    texts = [(i, " ".join(f"w{x} then{x % 20} z{x if rnd.random() < 0.8 else rnd.randrange(400)} u{rnd.randrange(900)}" for x in rnd.sample(range(400), 80))) for i in range(75)]
+    texts += [(2000, None), (2001, "w1 then1"), (None, "w1 then1 z1 never then2 z3")]
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    tokens = lambda t: (*(t or "").split(), "")
+    train = [tokens(t) for i, t in texts if not held(i)]
+    counts = Counter(w for ws in train for w in ws)
+    total = sum(counts.values())
+    alone = lambda w: (counts[w] + 0.5) / (total + 0.5 * (len(counts) + 1))
+    tree = {(): Counter(counts)}
+    for ws in train:
+        for k in (1, 2):
+            for t in range(k, len(ws)):
+                tree.setdefault(ws[t - k : t], Counter())[ws[t]] += 1
+    q = lambda c, w: tree[c][w] / sum(tree[c].values())
+    gain = lambda c: sum(n * math.log(q(c, w) / q(c[1:], w)) for w, n in tree[c].items())
+    states = {c for c in tree if c and sum(tree[c].values()) >= 5 and gain(c) > math.log(total)}
+
+    def p(c, w):
+        if not c:
+            return alone(w)
+        if c not in states:
+            return p(c[1:], w)
+        size = sum(tree[c].values()) + len(tree[c])
+        return tree[c][w] / size + len(tree[c]) / size * p(c[1:], w)
+
+    got = {r.doc_id: r for r in suffix_tree_scores(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    assert len({len(c) for c in states}) == 2 and len(states) > 400
+    for i, t in texts:
+        ws = tokens(t)
+        assert got[i].score == pytest.approx(sum(math.log10(p(ws[max(0, k - 2) : k], w)) for k, w in enumerate(ws)))
