@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -60,22 +60,26 @@ def base_spans(text: str) -> list[Span]:
 
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\n|[^\S\n]+|(?s:.)")
-#: Where a span may be: a run with several digits, an at sign, or words around "at" and "dot".
+#: Where training looks: a run with several digits, an at sign, or words around "at" and "dot".
 TRIGGER = re.compile(r"[0-9][0-9().\x20/_-]{5,}[0-9]|@|\b(?:at|dot)\b\W{1,3}\w{1,40}\W{1,3}(?:dot|at)\b", re.IGNORECASE)
 #: Characters around a trigger that are looked at, and the most tokens of an entity.
 AROUND, LONGEST = 64, 24
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Parts of a text that hold all triggers with what is around them; the rest has no candidate segment."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+    """Parts of a text that hold triggers with what is around them, for training."""
+    return joined((max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)) for m in TRIGGER.finditer(text))
+
+
+def joined(parts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts by start, those that touch made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            out.append((a, b))
+    return out
 
 
 #: How an address may be written at all, with marks or words for the at sign and the dots.
@@ -83,6 +87,13 @@ ADDRESS = re.compile(
     r"[\w+%-]+(?:\W{0,3}(?:\.|\bdot\b)\W{0,3}[\w+%-]+)*\s*[(\[<]?\s*(?:@|\bat\b)\s*[)\]>]?\s*[\w-]+(?:\s*[(\[<]?\s*(?:\.|\bdot\b)\s*[)\]>]?\s*[\w-]+)+", re.IGNORECASE
 )
 JOINTS = frozenset(("@", "at", ".", "dot"))
+#: Characters of tokens of letters that aren't letters, as fractions: kinds_of takes such tokens for marks.
+ODD = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+#: All that kinds_of can take for numbers lies in such a run without letters; for addresses, around such a start and end.
+NUMBERS = re.compile(rf"[0-9](?:[^\n\w]|[\d_]|[{ODD}][^\W\d_]*+)*[0-9]")
+DIGITS = re.compile("[0-9]+")
+AT = re.compile(r"(?:@|\bat\b)\s*+(?:[)\]>]\s*+)?(?=[\w-])\w*(?:-\w*){0,24}\s*+(?:[(\[<]\s*+)?(?:\.|\bdot\b)\s*+(?:[)\]>]\s*+)?[\w-]", re.IGNORECASE)
+ADDRESS_LEFT = re.compile(r"[\w+%-]+(?:\W{0,3}(?:\.|\bdot\b)\W{0,3}[\w+%-]+)*\s*[(\[<]?\s*\Z", re.IGNORECASE)
 #: Common last labels of host names.
 LAST_LABELS = frozenset("com org net edu gov info biz io eu us uk de fr es it nl ch at be pl se no dk fi pt ie ca au nz jp cn in br mx".split())
 
@@ -114,6 +125,59 @@ def kinds_of(tokens: list[str]) -> list[str]:
     return out
 
 
+def kind_of(c: str) -> str:
+    """Neighbours of the same kind, if it has a name, are in one token."""
+    return "9" if "0" <= c <= "9" else "a" if c.isalnum() and not c.isdecimal() else "_" if c.isspace() and c != "\n" else ""
+
+
+def back(text: str, at: int, tokens: int) -> int:
+    """The place so many tokens before a place where a token starts, or that of the line's start."""
+    while at and tokens and text[at - 1] != "\n":
+        kind = kind_of(text[at - 1])
+        at, tokens = at - 1, tokens - 1
+        while kind and at and kind_of(text[at - 1]) == kind:
+            at -= 1
+    return at
+
+
+def on(text: str, at: int, tokens: int) -> int:
+    """The place so many tokens behind a place where a token starts, or that of the line's end."""
+    while tokens and (m := TOKEN.match(text, at)) and m[0] != "\n":
+        at, tokens = m.end(), tokens - 1
+    return at
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """Parts of a text, at bounds of tokens, that hold every segment for which kinds_of has a kind, and what its features look at."""
+    found = []
+    for m in NUMBERS.finditer(text):
+        groups = DIGITS.findall(m[0])
+        if len(groups) >= 4 or sum(map(len, groups)) >= 9:
+            a = m.start()
+            for _ in range(LONGEST):
+                before = back(text, a, 1)
+                if before == a or text[before].isalpha():
+                    break
+                a = before
+            found.append((a, m.end()))
+    for m in AT.finditer(text):
+        a = back(text, m.start(), LONGEST)
+        if left := ADDRESS_LEFT.search(text[a : m.start()]):
+            found.append((a + left.start(), on(text, m.start(), LONGEST)))
+    out = []
+    for a, b in found:
+        while a and (text[a - 1].isspace() or text[a - 1] in "()[]<>"):
+            a -= 1
+        while b < len(text) and (text[b].isspace() or text[b] in "()[]<>"):
+            b += 1
+        if a:
+            kind, a = kind_of(text[a - 1]), a - 1
+            while kind and a and kind_of(text[a - 1]) == kind:
+                a -= 1
+        out.append((a, m.end() if (m := TOKEN.match(text, b)) else b))
+    return joined(out)
+
+
 def beside(tokens: list[str], at: int, step: int) -> str:
     """The next token from `at` on that isn't a space or bracket, in lower case."""
     while 0 <= at < len(tokens) and (tokens[at].isspace() or tokens[at] in "()[]<>"):
@@ -242,7 +306,9 @@ def disguises(kind: str, text: str, k: int) -> list[str]:
     if kind == "email":
         name, _, host = text.partition("@")
         at, dot = ((" at ", " dot "), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" AT ", " DOT "))[k % 4]
-        return [name.replace(".", dot) + at + host.replace(".", dot), name + " @ " + host]
+        label, _, rest = host.partition(".")
+        part = (host, label + "-" + str(k % 10) + dot + rest.replace(".", dot), dot.join(host.rsplit(".", 1)))[k // 4 % 3]
+        return [name.replace(".", dot) + at + host.replace(".", dot), name + at + part, name + " @ " + host]
     if kind == "phone":
         bare = text.lstrip("+")
         return [bare.partition(" ")[2] or bare, bare.replace(" ", ".").replace("(", "").replace(")", "")]
@@ -269,6 +335,7 @@ def examples_of(texts: list[str]) -> list[tuple[list[str], set[tuple[int, int, s
                     changed.append((old[:-1] + str((int(old[-1]) + 1 + k % 8) % 10), None))
                 elif kind == "email":
                     changed.append((("looked at the dot on", "at a dot in", "meets at noon dot to")[k % 3], None))
+                    changed.append((("met at home. The", "look at it. We", "was at school. But", "at best. In", "aimed at men.It")[(k + n) % 5], None))
                 elif kind == "ip":
                     changed.append((f"{300 + k % 600}.{old.partition('.')[2]}", None))
                 for new, now in changed:
@@ -299,10 +366,10 @@ def fit(docs: DataFrame, *, sample: int = 400, epochs: int = 5, rate: float = 0.
 
 
 def added_spans(text: str, base: list[Span], model: SemiMarkov, threshold: float) -> list[Span]:
-    """Spans of the best segmentation of each window that no base span overlaps."""
+    """Spans of the best segmentation of the text that no base span overlaps; only its regions have segments."""
     out = []
     if model.weights:
-        for a, b in windows(text):
+        for a, b in regions(text):
             tokens = [m[0] for m in TOKEN.finditer(text, a, b)]
             starts = [a]
             for t in tokens:

@@ -91,3 +91,34 @@ def test_best_segmentation_against_all_segmentations():
 
 def test_empty_table_adds_nothing(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_regions_hold_every_candidate_and_decode_like_the_whole_text():
+    rnd = random.Random(15)
+    parts = ["ann", "lee", " at ", " (at) ", "@", " dot ", " (dot) ", ".", "[.]", " . ", "-", "_", "/", " ", "  ", "\n", "(", ")", "+", "192", "168", "10", "4111", "555", "½", "é", "com", "my-host", "at", "dot", "<", "% "]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    spans = [("email", "ann.lee@mail.example.com"), ("ip", "192.168.10.24"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (200) 555-1000")]
+    texts += [f"see {new} today" for kind, old in spans for k in range(6) for new in pii.disguises(kind, old, k)]
+    texts += ["192[.]168[.]10[.]24", "ann.lee (at) example.com", "ann.lee at example.com", "ann (at) my-host (dot) com", "mail ann at mail.example dot com", "at " * 300 + "x. y"]
+    model = pii.SemiMarkov()
+    model.train(pii.examples_of([t for _, t in ROWS[:30]]), 2, 0.3, 0.01)
+    for text in texts:
+        tokens = [m[0] for m in pii.TOKEN.finditer(text)]
+        starts = [0]
+        for t in tokens:
+            starts.append(starts[-1] + len(t))
+        segments = [(starts[i], starts[j]) for i, j, _, _ in model.segments(tokens)]
+        assert all(any(a <= s and e <= b for a, b in pii.regions(text)) for s, e in segments), text
+        whole = [(kind, starts[i], starts[j]) for i, j, kind in model.best(tokens, 0.5)]
+        assert pii.added_spans(text, [], model, 0.5) == whole, text
+
+
+def test_spans_that_stand_alone_in_disguise(docs, spark):
+    new = [(1, "192[.]168[.]10[.]24"), (2, "mail ann.12 (at) mail3.example.com"), (3, "bo.45 (at) mail4-6 (dot) example (dot) com"), (5, "write cyd.31 at mail5.example.com now"), (4, "we met at home. The rest came later, at noon. It was 3.0 at most.")]
+    got = {r.doc_id: {s.kind for s in r.spans} for r in pii.find_pii(spark.createDataFrame(new, "doc_id long, text string"), pii.fit(docs)).collect()}
+    assert got == {1: {"ip"}, 2: {"email"}, 3: {"email"}, 4: set(), 5: {"email"}}
+
+
+def test_regions_take_linear_time():
+    for text in ("at-" * 100_000, "@" * 100_000, "1." * 100_000, "1" + "½" * 100_000, "at" + " " * 100_000, "(" * 100_000, "a.at " * 20_000):
+        pii.regions(text)
