@@ -24,7 +24,7 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
 
 def clean(rows: DataFrame, text_columns: Sequence[str], *, index: str, version: str = "v", date_column: str | None = None, dedup: bool = True) -> DataFrame:
-    """The cleaned table: ids <version>:row:<index>, raw and cleaned text, created_at, the row as JSON, typed further columns.
+    """The cleaned table: ids <version>:row:<index>, raw and cleaned text, created_at, the row as JSON, further columns as they are.
 
     `index` is the source's row order. Rows whose cleaned text is empty go. With dedup the first row of each cleaned text stays.
     """

@@ -13,8 +13,8 @@ from .text import UNICODE, strip
 # Timestamp formats that are understood, in order.
 TIMESTAMPS = ("yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd")
 DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd")
-#: Rows that type inference looks at, and the share of them that must be timestamps.
-SAMPLE, TIMESTAMP_SHARE = 200, 0.9
+#: The share of filled values that must be timestamps.
+TIMESTAMP_SHARE = 0.9
 
 
 def coerce_timestamp(c: Column) -> Column:
@@ -64,14 +64,17 @@ def coerce(c: Column, kind: str) -> Column:
     return F.when(strip(c) != "", c)
 
 
-def infer_types(df: DataFrame, columns: Sequence[str] | None = None, order_by: Sequence[str] = ()) -> DataFrame:
-    """column, type of text columns, from their values in the first rows: timestamp, integer, float, else string.
+def infer_types(df: DataFrame, columns: Sequence[str] | None = None, order_by: Sequence[str] = (), *, sample: int | None = None) -> DataFrame:
+    """column, type of text columns, from their values in all rows: timestamp, integer, float, else string.
 
-    order_by fixes which rows are first; without it they are any. One aggregate over the rows finds all types.
+    With a sample, only so many rows count; order_by fixes which are first, without it they are any. One aggregate over the rows
+    finds all types.
     """
     columns = list(columns or df.columns)
-    rows = df.orderBy(*order_by) if order_by else df
-    rows = rows.limit(SAMPLE).select(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(columns)])
+    rows = df
+    if sample is not None:
+        rows = (df.orderBy(*order_by) if order_by else df).limit(sample)
+    rows = rows.select(*[F.col(f"`{c}`").cast("string").alias(f"c{k}") for k, c in enumerate(columns)])
     parts = []
     for k, c in enumerate(columns):
         col = F.col(f"c{k}")

@@ -148,3 +148,9 @@ def test_document_reconciliation(spark):
         "6": ("x", "judge", True),
         "7": ("uncertain", "judge", True),
     }
+
+
+def test_types_are_those_of_all_rows_unless_a_sample_is_asked_for(spark):
+    df = spark.range(400).selectExpr("id", "if(id = 300, 'none', cast(id as string)) n")
+    assert [r.type for r in vx.infer_types(df, ["n"], ["id"]).collect()] == ["string"]
+    assert [r.type for r in vx.infer_types(df, ["n"], ["id"], sample=200).collect()] == ["integer"]
