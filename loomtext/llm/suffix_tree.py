@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Memory, scratch, slices, stored
@@ -18,7 +18,9 @@ from .shared import Memory, scratch, slices, stored
 #: The key of the end of a text; that of a word is a 64-bit hash of its bytes.
 END = 0
 #: Bits of a filter of keys. What passes a filter is checked by a join: a full filter spares no rows, but changes no result.
-FILTER = 1 << 26
+FILTER = 1 << 25
+#: Most rows of a table that each worker reads to settle frequent rows without a join. It spares rows and changes no result.
+AT_HAND = 600_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -26,66 +28,151 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
 
 
-def words_of(part: pa.RecordBatch, at: int) -> list[list[bytes]]:
-    """Words of each text: A-Z in lower case, parted by 0x20 and 0x09 to 0x0D (what bytes.split() parts by)."""
-    return [t.lower().split() for t in part.column(at).to_pylist()]
-
-
 def key_of(word: bytes) -> int:
     return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True) if word else END
 
 
-def count_words(train: DataFrame, flush: int = 300_000) -> DataFrame:
-    """word, key, n over all training texts, the end of a text as the empty word. Tasks count first, in bounded tables."""
+@lru_cache(maxsize=1)
+def keys_kept() -> Memory:
+    return Memory(300_000)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
 
-        def out() -> pa.RecordBatch:
-            columns = [pa.array(found.keys(), pa.binary()), pa.array(map(key_of, found), pa.int64()), pa.array(found.values(), pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, names=["word", "key", "n"])
+def tokens_of(texts: pa.Array):
+    """(keys of the distinct words, code of each token: its place in these keys, tokens of each text). A text's last token is END.
+
+    Words are A-Z in lower case, parted by 0x20 and 0x09 to 0x0D.
+    """
+    import numpy as np
+
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    words = coded.dictionary.cast(pa.binary()).to_pylist()
+    if b"" not in words:
+        words.append(b"")
+    end = words.index(b"")
+    codes = coded.indices.to_numpy()
+    real = codes != end  # white space at either end of a text leaves empty words
+    edges = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()]
+    sizes = np.diff(edges) + 1
+    out = np.full(int(sizes.sum()), end, "i8")
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    out[inside] = codes[real]
+    kept = keys_kept()
+    for word in kept.lacking(set(words)):
+        kept[word] = key_of(word)
+    return np.array([kept[w] for w in words], "i8"), out, sizes
+
+
+def places(sizes):
+    """(text of each token, place in its text), from 0."""
+    import numpy as np
+
+    return np.repeat(np.arange(len(sizes)), sizes), np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def summed(keys, n):
+    """Distinct keys (one array, or rows of two), sorted, and the sums of n."""
+    import numpy as np
+
+    by = keys if keys.ndim == 1 else mixed(keys[0], keys[1])
+    _, first, of = np.unique(by, return_index=True, return_inverse=True)
+    return keys[..., first], np.bincount(of, weights=n, minlength=len(first)).astype("i8")
+
+
+class Tally:
+    """Counts of keys in bounded arrays: summed when they are full, and given out when sums don't make room."""
 
+    def __init__(self, most: int, width: int):
+        self.most, self.width, self.size = most, width, 0
+        self.keys: list = []
+        self.n: list = []
+
+    def add(self, keys, n) -> bool:
+        """True if it is full."""
+        self.keys.append(keys)
+        self.n.append(n)
+        self.size += len(n)
+        if self.size > self.most:
+            self.total()
+        return self.size > self.most // 2
+
+    def total(self):
+        import numpy as np
+
+        shape = (0,) if self.width == 1 else (self.width, 0)
+        keys, n = summed(np.concatenate([np.zeros(shape, "i8"), *self.keys], axis=-1), np.concatenate([np.zeros(0, "i8"), *self.n]))
+        self.keys, self.n, self.size = [keys], [n], len(n)
+        return keys, n
+
+    def take(self):
+        out = self.total()
+        self.keys, self.n, self.size = [], [], 0
+        return out
+
+
+def count_words(train: DataFrame, most: int = 1_500_000) -> DataFrame:
+    """key, n of all words of the training texts, and of their ends. Tasks count first, in bounded arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        tally = Tally(most, 1)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in tally.take()], names=["key", "n"])
         for part in slices(batches, "text"):
-            for words in words_of(part, 0):
-                found.update(words)
-            found[b""] += part.num_rows
-            if len(found) > flush:
+            keys, codes, _ = tokens_of(part.column(0))
+            n = np.bincount(codes, minlength=len(keys))
+            if tally.add(keys[n > 0], n[n > 0]):
                 yield out()
-                found.clear()
         yield out()
 
-    return train.mapInArrow(run, "word binary, key long, n long").groupBy("word").agg(F.first("key").alias("key"), F.sum("n").alias("n"))
+    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-@lru_cache(maxsize=4)
-def table(uri: str) -> dict:
-    """Columns of a small table of the model, read once by each Python worker from the shared folder."""
-    from pyarrow import dataset, fs
+def mixed(a, b):
+    """A 64-bit hash of each pair of keys, which depends on their order."""
+    z = a.view("u8") * 0x9E3779B97F4A7C15 + b.view("u8")
+    z = (z ^ (z >> 29)) * 0xBF58476D1CE4E5B9
+    return (z ^ (z >> 32)).view("i8")
 
-    store, path = fs.FileSystem.from_uri(uri)
-    found = dataset.dataset(path, filesystem=store, format="parquet").to_table()
-    return {name: found.column(name).combine_chunks() for name in found.column_names}
 
+def shifted(keys):
+    import numpy as np
 
-@lru_cache(maxsize=4)
-def lookup(uri: str) -> dict[bytes, int]:
-    """word -> count for the common words."""
-    t = table(uri)
-    return dict(zip(t["word"].to_pylist(), t["n"].to_pylist(), strict=True))
+    out = np.zeros(len(keys), keys.dtype)
+    out[1:] = keys[:-1]
+    return out
+
+
+def contexts_of(symbols, depth: int) -> list:
+    """For each length up to depth the keys of the contexts before each symbol; they mean nothing where a text has fewer symbols."""
+    last = shifted(symbols)
+    out = [last]
+    for _ in range(1, depth):
+        out.append(mixed(shifted(out[-1]), last))
+    return out
 
 
 def write_filter(keys: DataFrame, name: str) -> str:
-    """Bitmaps of the last bits of the column key, in 2,048 rows at most for any corpus; their path."""
+    """Bitmaps of the last bits of the column key, in 1,024 rows at most for any corpus; their path."""
     path, bit = scratch(keys.sparkSession, name), F.col("key").bitwiseAND(F.lit(FILTER - 1))
     keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits")).write.parquet(path)
     return path
 
 
+def read_table(uri: str) -> dict:
+    from pyarrow import dataset, fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    found = dataset.dataset(path, filesystem=store, format="parquet").to_table()
+    return {name: found.column(name).combine_chunks() for name in found.column_names}
+
+
 @lru_cache(maxsize=8)
 def bitmap(uri: str):
     import numpy as np
 
-    t, out = table.__wrapped__(uri), np.zeros((FILTER >> 15, 4096), "u1")
+    t, out = read_table(uri), np.zeros((FILTER >> 15, 4096), "u1")
     for bucket, bits in zip(t["bucket"].to_pylist(), t["bits"].to_pylist(), strict=True):
         out[bucket] = np.frombuffer(bits, "u1")
     return out.reshape(-1)
@@ -97,264 +184,260 @@ def may_hold(bits, keys):
     return (bits[at >> 3] >> (at & 7).astype("u1")) & 1 == 1
 
 
-@lru_cache(maxsize=1)
-def keys_kept() -> Memory:
-    return Memory(400_000)
+def entry_bits(context, following):
+    """What an entry sets in a filter; as a Column or in arrays."""
+    return context.bitwiseXOR(F.shiftright(following, 7)) if isinstance(context, Column) else context ^ (following >> 7)
 
 
-def symbols_of(texts: list[list[bytes]]):
-    """(keys of the words of all texts, each with its END; text of each; place in its text)."""
+@lru_cache(maxsize=8)
+def sorted_table(uri: str):
+    """(sorted keys, values) of a small table, read once by each Python worker; the keys are `key`, or pairs of context and next."""
     import numpy as np
 
-    kept = keys_kept()
-    for word in kept.lacking(set().union(*texts)):
-        kept[word] = key_of(word)
-    get = kept.__getitem__
-    flat: list[int] = []
-    for words in texts:
-        flat += map(get, words)
-        flat.append(END)
-    sizes = np.array([len(words) + 1 for words in texts])
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    return np.array(flat, dtype="i8"), doc, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    t = {name: c.to_numpy(zero_copy_only=False) for name, c in read_table(uri).items()}
+    keys = t["key"] if "key" in t else mixed(t["context"], t["next"])
+    order = np.argsort(keys)
+    return keys[order], t["value"][order]
 
 
-def mixed(a, b):
-    """A 64-bit hash of each pair of keys, which depends on their order."""
-    z = a.view("u8") * 0x9E3779B97F4A7C15 + b.view("u8")
-    z = (z ^ (z >> 29)) * 0xBF58476D1CE4E5B9
-    return (z ^ (z >> 32)).view("i8")
-
-
-def shifted(keys, k: int):
+def found_at(table: tuple, keys):
+    """Places of keys in a sorted table, -1 for those that it lacks."""
     import numpy as np
 
-    out = np.zeros(len(keys), keys.dtype)
-    out[k:] = keys[: len(keys) - k]
-    return out
+    if not len(table[0]):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    return np.where(table[0][at] == keys, at, -1)
 
 
-def contexts_of(symbols, depth: int) -> list:
-    """For each length up to depth the keys of the contexts before each symbol; they mean nothing where a text has fewer symbols."""
-    out = [shifted(symbols, 1)]
-    for k in range(2, depth + 1):
-        out.append(mixed(out[-1], shifted(symbols, k)))
-    return out
+def at_hand(rows: DataFrame, n: str, columns: list[Column]) -> tuple[str, bool]:
+    """Writes the columns of the rows of largest n, at most AT_HAND of them; its path, and if these are all rows."""
+    power = F.floor(F.log2(n)).cast("int")
+    sizes = {r["power"]: r["rows"] for r in rows.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # a row for each power of 2
+    held, least = 0, 64
+    for p in sorted(sizes, reverse=True):
+        if held + sizes[p] > AT_HAND:
+            break
+        held, least = held + sizes[p], p
+    path = scratch(rows.sparkSession, "at-hand")
+    rows.where(power >= least).select(*columns).write.parquet(path)
+    return path, held == sum(sizes.values())
 
 
-def count_contexts(train: DataFrame, allowed: str, depth: int, flush: int = 2_000_000) -> DataFrame:
-    """context, suffix, next, n for the contexts of `depth` symbols that pass the filter `allowed`. Tasks count first, in bounded arrays.
-
-    The filter is over words where depth is 1, else over pairs of the next shorter context and the last symbol (see pair_key).
-    """
+def count_nexts(train: DataFrame, allowed: str, depth: int, most: int = 2_000_000) -> DataFrame:
+    """context, next, n for contexts of `depth` symbols that pass the filter `allowed`. Tasks count first, in bounded arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        bits = bitmap(allowed)
-        held: list = []
-        size = 0
+        bits, tally = bitmap(allowed), Tally(most, 2)
 
         def out() -> pa.RecordBatch:
-            rows = np.concatenate([*held, np.zeros((3, 0), "i8")], axis=1)
-            _, first, n = np.unique(mixed(rows[0], rows[2]), return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([*(pa.array(r[first]) for r in rows), pa.array(n.astype("i8"))], names=["context", "suffix", "next", "n"])
+            keys, n = tally.take()
+            return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n)], names=["context", "next", "n"])
 
         for part in slices(batches, "text"):
-            symbols, _, place = symbols_of(words_of(part, 0))
-            contexts = contexts_of(symbols, depth)
-            ends = contexts[0] if depth == 1 else shifted(contexts[depth - 2] ^ (symbols >> 7), 1)
-            found = (place >= depth) & may_hold(bits, ends)
-            suffix = contexts[depth - 2] if depth > 1 else np.zeros(len(symbols), "i8")
-            held.append(np.stack([contexts[-1][found], suffix[found], symbols[found]]))
-            size += int(found.sum())
-            if size > flush:
+            keys, codes, sizes = tokens_of(part.column(0))
+            symbols, (_, place) = keys[codes], places(sizes)
+            context = contexts_of(symbols, depth)[-1]
+            found = np.flatnonzero((place >= depth) & may_hold(bits, context))
+            if tally.add(np.stack([context[found], symbols[found]]), np.ones(len(found), "i8")):
                 yield out()
-                held, size = [], 0
         yield out()
 
-    counted = train.mapInArrow(run, "context long, suffix long, next long, n long")
-    return counted.groupBy("context", "suffix", "next").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(run, "context long, next long, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
 
 
-def pair_key() -> Column:
-    return F.col("context").bitwiseXOR(F.shiftright("next", 7))
+def longer(pairs: DataFrame, length: int) -> DataFrame:
+    """context, suffix, m: contexts of length + 1 symbols from pairs (context, suffix, next, n) of contexts of `length` with their next symbol."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            context, suffix, following = (batch.column(k).to_numpy() for k in range(3))
+            made = [mixed(context, following), following if length == 1 else mixed(suffix, following)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, made), batch.column(3)], names=["context", "suffix", "m"])
+
+    return pairs.select("context", "suffix", "next", "n").mapInArrow(run, "context long, suffix long, m long")
+
+
+class Level:
+    """States (context, n, rest) and entries (context, next, n, weight, ratio) of one length; paths of those at hand and of filters."""
+
+    def __init__(self, states: DataFrame, entries: DataFrame):
+        self.states, self.entries = states, entries
+        self.states_at_hand, _ = at_hand(states, "n", [F.col("context").alias("key"), F.col("rest").alias("value")])
+        self.entries_at_hand, _ = at_hand(entries, "n", [F.col("context"), F.col("next"), F.col("ratio").alias("value")])
+        self.state_filter = write_filter(states.select(F.col("context").alias("key")), "filter")
+        self.entry_filter = write_filter(entries.select(entry_bits(F.col("context"), F.col("next")).alias("key")), "filter")
 
 
 class Model:
-    """Sizes of the training text, and paths in the shared folder: common words, and by depth the states, their entries and a filter of states."""
+    """Sizes of the training text, the path of the words at hand (all words if `complete`), and the tree by length of context."""
 
-    def __init__(self, total: int, distinct: int, common: str, levels: list[tuple[str, str]], filters: list[str], ends: int = 0):
-        self.total, self.distinct, self.common, self.levels, self.filters, self.ends = total, distinct, common, levels, filters, ends
+    def __init__(self, total: int, distinct: int, words_at_hand: str, complete: bool):
+        self.total, self.distinct, self.words_at_hand, self.complete = total, distinct, words_at_hand, complete
+        self.levels: list[Level] = []
 
     def alone(self, n):
         """Probability of a token that occurs n times, by its count alone."""
         return (n + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
 
-def train_tree(
-    docs: DataFrame, words: DataFrame, *, depth: int, divergence: float, common_share: float = 1e-6, min_count: int = 5, share: float = 0.0, entry_share: float = 0.0
-) -> Model:
+def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: float, min_count: int) -> Model:
     """The suffix tree of training texts, given their word counts.
 
-    A context may be a state if it occurs min_count times. It is retained if n * KL(next symbols || those of its suffix) exceeds
-    divergence * ln(tokens). An entry's weight is n(context, next) divided by n(context) + distinct nexts; the rest of the weight
-    is left to the suffix. All symbols are words, and all entries of a state are kept, so the tree grows with the corpus: it stays
-    in tables. An entry's ratio is its mixed probability over the one by the word's count alone.
-
-    share and entry_share, for trees that must be small, ask for this share of all tokens in a state and an entry as well. Words
-    of common_share of all tokens are written for tasks to look their counts up; that spares rows and changes no result.
+    A context may be a state if it occurs min_count times (m). Its next symbols are smoothed by what occurs once: a symbol that
+    follows it n > 1 times is an entry of weight (n - 1) / m, and the rest, distinct next symbols / m, is left to the suffix. It
+    is retained if its next symbols diverge from those of its suffix: the sum of ln(p / p by the suffix) over its occurrences,
+    each left out of the counts that predict it, must exceed divergence * ln(tokens). All words are symbols, and all entries of a
+    state are kept: the tree grows with the corpus and stays in tables. An entry's ratio is its mixed probability over the one by
+    the word's count alone.
     """
-    spark = docs.sparkSession
+    spark = train.sparkSession
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
-    total, distinct = int(sums["total"]), int(sums["distinct"])
-    common = scratch(spark, "common")
-    words.where((F.col("n") >= common_share * total) & (F.length("word") > 0) & (F.length("word") <= 256)).select("word", "n").write.parquet(common)
-    model = Model(total, distinct, common, [], [])
-    enough = max(min_count, share * total)
-    below = words.select(F.lit(0).cast("long").alias("suffix"), F.col("key").alias("next"), (F.col("n") / F.lit(max(1, total))).alias("suffix_q"), model.alone(F.col("n")).alias("alone"), F.lit(1.0).alias("suffix_ratio"))
-    allowed = words.where((F.col("n") >= enough) & (F.length("word") > 0)).select("key")
+    model = Model(int(sums["total"]), int(sums["distinct"]), *at_hand(words, "n", [F.col("key"), F.col("n").alias("value")]))
+    contexts = words.where((F.col("key") != END) & (F.col("n") >= min_count)).select(F.col("key").alias("context"), F.lit(END).cast("long").alias("suffix"), F.col("n").alias("m"))
+    below = words.where("n > 1").select(F.col("key").alias("next"), model.alone(F.col("n")).alias("alone"), F.lit(1.0).alias("below"))
     for length in range(1, depth + 1):
-        counts = count_contexts(docs, write_filter(allowed, "allowed"), length)
-        compared = stored(counts.join(below, ["suffix", "next"] if length > 1 else "next").select("context", "next", "n", "suffix_q", "alone", "suffix_ratio"), "contexts")
-        whole = F.col("n") >= entry_share * total
-        sizes = compared.groupBy("context").agg(
-            F.sum("n").alias("m"),
-            F.count(F.lit(1)).alias("nexts"),
-            F.sum(F.col("n") * F.log(F.col("n") / F.col("suffix_q"))).alias("sum"),
-            F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("held"),
-        )
-        sizes = sizes.where(F.col("m") >= enough).withColumn("rest", 1 - F.col("held") / (F.col("m") + F.col("nexts")))
-        gain = F.col("sum") - F.col("m") * F.log("m")
-        sizes = stored(sizes.select("context", "m", "nexts", "rest", (gain > divergence * math.log(max(2, total))).alias("retained")), "sizes")
-        weight = F.when(whole, F.col("n") / (F.col("m") + F.col("nexts"))).otherwise(0.0)
-        ratio = F.when(F.col("retained"), F.col("weight") / F.col("alone") + F.col("rest") * F.col("suffix_ratio")).otherwise(F.col("suffix_ratio"))
-        full = compared.join(sizes if length < depth else sizes.where("retained"), "context").withColumn("weight", weight).withColumn("ratio", ratio)
-        states, rows = scratch(spark, "states"), scratch(spark, "tree")
+        allowed = write_filter(contexts.select(F.col("context").alias("key")), "allowed")
+        pairs = stored(count_nexts(train, allowed, length).where("n > 1"), "pairs")
+        once = F.col("m") - F.col("more")
+        stats = pairs.groupBy("context").agg(F.sum("n").alias("more"), F.count(F.lit(1)).alias("entries")).join(contexts, "context")
+        stats = stored(stats.select("context", "suffix", "m", once.alias("once"), (F.col("entries") + once).alias("distinct")), "stats")
+        # what follows a context twice follows its suffix twice, so no row is lost
+        compared = stored(pairs.join(stats, "context").join(below, "next" if length == 1 else ["suffix", "next"]), "compared")
+        p, others = F.col("alone") * F.col("below"), F.col("m") - 1
+        left_out = F.log(((F.col("n") - 2) / p + F.col("distinct")) / others)
+        left_once = F.when(F.col("once") > 0, F.col("once") * F.log(F.greatest(F.col("distinct") - 1, F.lit(1)) / others)).otherwise(0.0)
+        gains = compared.groupBy("context").agg(F.first("m").alias("m"), F.first("distinct").alias("distinct"), (F.sum(F.col("n") * left_out) + F.first(left_once)).alias("gain"))
+        kept = gains.where(F.col("gain") > divergence * math.log(max(2, model.total)))
+        states = stored(kept.select("context", F.col("m").alias("n"), (F.col("distinct") / F.col("m")).alias("rest")), "states")
+        weight = F.col("weight") / F.col("alone") + F.col("rest") * F.col("below")
+        full = compared.join(states.select("context", "rest"), "context", "left").withColumn("weight", (F.col("n") - 1) / F.col("m"))
+        full = stored(full.select("context", "suffix", "next", "n", "alone", "rest", "weight", F.when(F.col("rest").isNull(), F.col("below")).otherwise(weight).alias("ratio")), "tree")
+        model.levels.append(Level(states, full.where("rest is not null").select("context", "next", "n", "weight", "ratio")))
         if length < depth:
-            full = stored(full.select("context", "next", "n", "m", "alone", "weight", "ratio", "retained"), "pairs")
-            below = full.select(F.col("context").alias("suffix"), "next", (F.col("n") / F.col("m")).alias("suffix_q"), "alone", F.col("ratio").alias("suffix_ratio"))
-            allowed = full.where((F.col("n") >= enough) & (F.col("next") != END)).select(pair_key().alias("key"))
-        sizes.where("retained").select("context", "rest").write.parquet(states)
-        full.where("retained and weight > 0").select("context", "next", "weight", "ratio").write.parquet(rows)
-        model.levels.append((states, rows))
-        model.filters.append(write_filter(spark.read.parquet(states).select(F.col("context").alias("key")), "filter"))
+            contexts = stored(longer(full.where((F.col("next") != END) & (F.col("n") >= min_count)), length), "contexts")
+            below = full.select(F.col("context").alias("suffix"), "next", "alone", F.col("ratio").alias("below"))
     return model
 
 
 def score_parts(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of three kinds: what a text's common words add; a distinct other word of a text (word, k); a distinct next symbol of a
-    text with its contexts c1, c2, ... (next, k) where a context of `level` symbols, the longest one, may be a state."""
+    """Rows of three kinds: of a text, with what its tokens at hand add; of a word of a text that isn't at hand (word, k); of a
+    next symbol of a text (next, k) whose state or entry isn't at hand. It has the contexts c1, c2, ... of the lengths that are
+    open; longer ones leave `factor` to it, and below them it has the ratio `below`."""
     codes = [f"c{k}" for k in range(1, len(model.levels) + 1)]
-    names = [*PARTS, "level", "next", *codes]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int32(), *[pa.int64()] * (1 + len(codes))]
+    names = [*PARTS, "next", *codes, "factor", "below"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.int64()] * (1 + len(codes)), pa.float64(), pa.float64()]
+
+    def rows(**columns) -> pa.RecordBatch:
+        some = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(some, t) for c, t in zip(names, kinds, strict=True)], names=names)
+
+    paths = [(x.state_filter, x.entry_filter, x.states_at_hand, x.entries_at_hand) for x in model.levels]
+    at_hand, complete, total, distinct = model.words_at_hand, model.complete, model.total, model.distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, filters = lookup(model.common), [bitmap(x) for x in model.filters]
+        words, levels = sorted_table(at_hand), [(bitmap(a), bitmap(b), sorted_table(c), sorted_table(d)) for a, b, c, d in paths]
         row = TaskContext.get().partitionId() << 33
-
-        def rows(**columns) -> pa.RecordBatch:
-            some = len(next(iter(columns.values())))
-            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(some, t)) for c, t in zip(names, kinds, strict=True)], names=names)
-
         for part in slices(batches, "text", 2 << 20):
-            texts = words_of(part, 2)
-            base, known, rare = [], [], []
-            end_log = math.log10(model.alone(model.ends))
-            for k, ws in enumerate(texts):
-                sure, n_known = end_log, int(model.ends > 0)
-                for w, n in Counter(ws).items():
-                    c = words.get(w)
-                    if c is None:
-                        rare.append((row + k, w, n))
-                    else:
-                        n_known += n
-                        sure += n * math.log10(model.alone(c))
-                base.append(sure)
-                known.append(n_known)
-            yield rows(row=np.arange(row, row + len(texts)), doc_id=part.column(0), held_out=part.column(1), n_tokens=[len(ws) + 1 for ws in texts], n_known=known, base_score=base)
-            for at in range(0, len(rare), 50_000):
-                of, ws, ns = zip(*rare[at : at + 50_000], strict=True)
-                yield rows(row=of, word=ws, k=ns)
-            symbols, doc, place = symbols_of(texts)
-            contexts = contexts_of(symbols, len(filters))
-            level, longest = np.zeros(len(symbols), "i4"), np.zeros(len(symbols), "i8")
-            for length, (bits, code) in enumerate(zip(filters, contexts, strict=True), 1):
-                found = (place >= length) & may_hold(bits, code)
-                level[found], longest[found] = length, code[found]
-            some = np.flatnonzero(level)
-            _, first, n = np.unique(mixed(mixed(longest[some], symbols[some]), doc[some] << 8 | level[some]), return_index=True, return_counts=True)
-            for at in range(0, len(first), 50_000):
-                at_once = some[first[at : at + 50_000]]
-                yield rows(row=row + doc[at_once], k=n[at : at + 50_000], level=level[at_once], next=symbols[at_once], **{c: x[at_once] for c, x in zip(codes, contexts, strict=True)})
-            row += len(texts)
+            keys, codes_of, sizes = tokens_of(part.column(2))
+            text, place = places(sizes)
+            starts, symbols = np.cumsum(sizes) - sizes, keys[codes_of]
+            at = found_at(words, keys)
+            n = np.where(at >= 0, words[1][at] if len(words[1]) else 0, 0)
+            sure = (at >= 0) | complete
+            base = np.where(sure, np.log10((n + 0.5) / (total + 0.5 * (distinct + 1))), 0.0)[codes_of]
+            open_words = np.flatnonzero(~sure[codes_of])
+            if len(open_words):
+                pair, k = np.unique(text[open_words] << 32 | codes_of[open_words], return_counts=True)
+                yield rows(row=row + (pair >> 32), word=keys[pair & 0xFFFFFFFF], k=k)
+            value, below = np.ones(len(symbols)), np.ones(len(symbols))
+            lowest, top = np.zeros(len(symbols), "i1"), np.zeros(len(symbols), "i1")  # of the open lengths
+            contexts, may = contexts_of(symbols, len(levels)), []
+            for length, (states, entries, state_table, entry_table) in enumerate(levels, 1):
+                may.append((place >= length) & may_hold(states, contexts[length - 1]))
+                some = np.flatnonzero(may[-1])
+                context, following = contexts[length - 1][some], symbols[some]
+                state, entry = found_at(state_table, context), found_at(entry_table, mixed(context, following))
+                hit = entry >= 0
+                value[some[hit]], lowest[some[hit]] = entry_table[1][entry[hit]], 0
+                passed = ~hit & (state >= 0) & ~may_hold(entries, entry_bits(context, following))
+                value[some[passed]] *= state_table[1][state[passed]]
+                rest = some[~hit & ~passed]
+                first = rest[lowest[rest] == 0]
+                below[first], lowest[first] = value[first], length
+                value[rest], top[rest] = 1.0, length
+            still = lowest > 0
+            yield rows(
+                row=np.arange(row, row + len(sizes)),
+                doc_id=part.column(0),
+                held_out=part.column(1),
+                n_tokens=sizes,
+                n_known=np.add.reduceat((n > 0)[codes_of].astype("i8"), starts),
+                base_score=np.add.reduceat(base, starts),
+                by_tree=np.add.reduceat(np.where(still, 0.0, np.log10(value)), starts),
+            )
+            some = np.flatnonzero(still)
+            for a in range(0, len(some), 100_000):
+                i = some[a : a + 100_000]
+                inside = {c: pa.array(contexts[k][i], mask=~(may[k][i] & (lowest[i] <= k + 1) & (top[i] > k))) for k, c in enumerate(codes)}
+                yield rows(row=row + text[i], k=np.ones(len(i), "i8"), next=symbols[i], factor=value[i], below=below[i], **inside)
+            row += len(sizes)
 
     of_codes = "".join(f", {c} long" for c in codes)
-    return docs.mapInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, word binary, k long, level int, next long{of_codes}")
+    return docs.mapInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, by_tree double, word long, k long, next long{of_codes}, factor double, below double")
 
 
 def context_scores(parts: DataFrame, model: Model) -> DataFrame:
-    """row, by_context: what the tree adds to the score by counts alone. Lengths from the longest: an entry settles a row; else the
-    state, if it is one, leaves its rest to the suffix."""
-    spark, depth = parts.sparkSession, len(model.levels)
-    rows = parts.where("level is not null").select("row", "k", "level", "next", *[f"c{k}" for k in range(1, depth + 1)], F.lit(1.0).alias("factor"))
-    settled, left = [], None
-    for length, (states, tree) in reversed(list(enumerate(model.levels, 1))):
-        code, keep = f"c{length}", ["row", "k", "next", *[f"c{k}" for k in range(1, length + 1)], "factor"]
-        mine = rows.where(F.col("level") == length).select(*keep)
-        mine = mine if left is None else mine.unionByName(left.select(*keep))
-        entries = spark.read.schema("context long, next long, ratio double").parquet(tree).withColumnRenamed("context", code)
-        joined = stored(mine.join(entries, [code, "next"], "left"), "joined")
-        settled.append(joined.where("ratio is not null").select("row", (F.col("k") * F.log10(F.col("factor") * F.col("ratio"))).alias("by_context")))
-        rest = spark.read.schema("context long, rest double").parquet(states).withColumnRenamed("context", code)
-        left = joined.where("ratio is null").join(rest, code, "left").withColumn("factor", F.col("factor") * F.coalesce("rest", F.lit(1.0)))
-    out = left.select("row", (F.col("k") * F.log10("factor")).alias("by_context"))
+    """row, by_context: what the open next symbols add. Lengths from the longest: an entry settles a row; else the state, if it is
+    one, leaves its rest to the suffix."""
+    depth = len(model.levels)
+    rows = parts.where("next is not null").select("row", "next", *[f"c{k}" for k in range(1, depth + 1)], "factor", "below")
+    settled = []
+    for length in range(depth, 0, -1):
+        level, code = model.levels[length - 1], f"c{length}"
+        joined = rows.where(F.col(code).isNotNull()).join(level.entries.select(F.col("context").alias(code), "next", "ratio"), [code, "next"], "left")
+        joined = stored(joined, "joined")
+        settled.append(joined.where("ratio is not null").select("row", F.log10(F.col("factor") * F.col("ratio")).alias("by_context")))
+        left = joined.where("ratio is null").join(level.states.select(F.col("context").alias(code), "rest"), code, "left")
+        left = left.withColumn("factor", F.col("factor") * F.coalesce("rest", F.lit(1.0)))
+        keep = ["row", "next", *[f"c{k}" for k in range(1, length)], "factor", "below"]
+        rows = rows.where(F.col(code).isNull()).select(*keep).unionByName(left.select(*keep))
+    out = rows.select("row", F.log10(F.col("factor") * F.col("below")).alias("by_context"))
     for more in settled:
         out = out.union(more)
     return out.groupBy("row").agg(F.sum("by_context").alias("by_context"))
 
 
-PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "word", "k"]
+PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "by_tree", "word", "k"]
 
 
-def suffix_tree_scores(
-    docs: DataFrame,
-    *,
-    depth: int = 2,
-    common_share: float = 1e-6,
-    min_count: int = 5,
-    share: float = 0.0,
-    entry_share: float = 0.0,
-    divergence: float = 1.0,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
+def suffix_tree_scores(docs: DataFrame, *, depth: int = 3, min_count: int = 5, divergence: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text; learns from texts that aren't held out.
 
     base_score adds log10 probabilities by word counts alone. score is the log10 probability under the suffix tree (train_tree):
     the longest state that the text before a token ends in gives its word's probability, mixed with its suffixes down to the
-    word's count. Counts of common words are looked up, those of the others are joined; so are the distinct contexts of each text
-    with their next words: neither the vocabulary nor the tree has to fit anywhere. Words and contexts are told apart by 64-bit
-    hashes.
+    word's count. Frequent words, states and entries are looked up, all others are joined: neither the vocabulary nor the tree
+    has to fit anywhere. Words and contexts are told apart by 64-bit hashes.
 
     A null text is empty: one token, its end. Null ids count as the empty id text and are kept. Repeated rows stay rows of their
     own. Without training texts every probability by counts is 1. Other columns are ignored; an empty table gives no rows.
     """
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text.alias("text"))
     train = rows.where("not held_out").select("text")
     words = stored(count_words(train), "words")
-    model = train_tree(train, words, depth=depth, common_share=common_share, min_count=min_count, share=share, entry_share=entry_share, divergence=divergence)
-    model.ends = int(words.where(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"])
+    model = train_tree(train, words, depth=depth, divergence=divergence, min_count=min_count)
     parts = stored(score_parts(rows, model), "parts")
     n = F.coalesce("n", F.lit(0))
     log = F.log10((n + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
-    rare = parts.where("word is not null").select("row", "word", "k").join(words.select("word", "n"), "word", "left")
+    rare = parts.where("word is not null").select("row", F.col("word").alias("key"), "k").join(words, "key", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * log).alias("more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"))
     base = F.col("base_score") + F.coalesce("more", F.lit(0.0))
-    texts = parts.where("n_tokens is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score")
+    texts = parts.where("n_tokens is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "by_tree")
     return texts.join(rare, "row", "left").join(context_scores(parts, model), "row", "left").select(
         "doc_id",
         "held_out",
@@ -362,5 +445,5 @@ def suffix_tree_scores(
         (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.coalesce("by_context", F.lit(0.0))).alias("score"),
+        (base + F.col("by_tree") + F.coalesce("by_context", F.lit(0.0))).alias("score"),
     )
