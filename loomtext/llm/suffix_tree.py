@@ -5,15 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Memory, scratch, slices, stored
+from .shared import scratch, slices, stored
 
 #: The key of the end of a text; that of a word is a 64-bit hash of its bytes.
 END = 0
@@ -28,40 +26,56 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
 
 
-def key_of(word: bytes) -> int:
-    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True) if word else END
+@lru_cache(maxsize=1)
+def tables():
+    """By byte: is it white space, and a fixed random number of it in lower case."""
+    import numpy as np
 
+    space = np.zeros(256, bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    numbers = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 64, 256, dtype="u8")
+    numbers[ord("A") : ord("Z") + 1] = numbers[ord("a") : ord("z") + 1]
+    numbers[space] = 0
+    return space, numbers
 
-@lru_cache(maxsize=1)
-def keys_kept() -> Memory:
-    return Memory(300_000)
+
+def scrambled(z):
+    """A 64-bit hash of 64-bit unsigned numbers."""
+    z = (z ^ (z >> 30)) * 0xBF58476D1CE4E5B9
+    z = (z ^ (z >> 27)) * 0x94D049BB133111EB
+    return z ^ (z >> 31)
 
 
 def tokens_of(texts: pa.Array):
-    """(keys of the distinct words, code of each token: its place in these keys, tokens of each text). A text's last token is END.
+    """(key of each token, tokens of each text). Words are A-Z in lower case, parted by 0x20 and 0x09 to 0x0D; a text's last token is END.
 
-    Words are A-Z in lower case, parted by 0x20 and 0x09 to 0x0D.
+    A word's key sums a random number of each byte times one of the byte's place.
     """
     import numpy as np
 
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary()).to_pylist()
-    if b"" not in words:
-        words.append(b"")
-    end = words.index(b"")
-    codes = coded.indices.to_numpy()
-    real = codes != end  # white space at either end of a text leaves empty words
-    edges = np.concatenate([[0], np.cumsum(real)])[lists.offsets.to_numpy()]
-    sizes = np.diff(edges) + 1
-    out = np.full(int(sizes.sum()), end, "i8")
-    inside = np.ones(len(out), bool)
-    inside[np.cumsum(sizes) - 1] = False
-    out[inside] = codes[real]
-    kept = keys_kept()
-    for word in kept.lacking(set(words)):
-        kept[word] = key_of(word)
-    return np.array([kept[w] for w in words], "i8"), out, sizes
+    space, numbers = tables()
+    edges = np.frombuffer(texts.buffers()[1], "i4", len(texts) + 1, 4 * texts.offset).astype("i8")
+    raw = np.frombuffer(texts.buffers()[2] or b"", "u1")[edges[0] : edges[-1]]
+    edges = edges - edges[0]
+    blank = space[raw]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    bounds = edges[:-1][edges[:-1] < len(raw)]
+    first[bounds] = ~blank[bounds]
+    starts = np.flatnonzero(first)
+    before = np.concatenate([[0], np.cumsum(first)])[edges]
+    sizes = np.diff(before) + 1
+    out = np.full(int(sizes.sum()), END, "i8")
+    if len(starts):
+        lengths = np.diff(np.append(starts, len(raw)))
+        weights = scrambled(np.arange(1, int(lengths.max()) + 1, dtype="u8")) | np.uint64(1)
+        place = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
+        keys = np.add.reduceat(numbers[raw[starts[0] :]] * weights[place], starts - starts[0])
+        keys = np.maximum(scrambled(keys), 1).view("i8")
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        out[inside] = keys
+    return out, sizes
 
 
 def places(sizes):
@@ -76,8 +90,10 @@ def summed(keys, n):
     import numpy as np
 
     by = keys if keys.ndim == 1 else mixed(keys[0], keys[1])
-    _, first, of = np.unique(by, return_index=True, return_inverse=True)
-    return keys[..., first], np.bincount(of, weights=n, minlength=len(first)).astype("i8")
+    order = np.argsort(by)
+    by = by[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(by)), bool), by[1:] != by[:-1]]))
+    return keys[..., order[starts]], np.add.reduceat(n[order], starts) if len(starts) else n
 
 
 class Tally:
@@ -101,7 +117,9 @@ class Tally:
         import numpy as np
 
         shape = (0,) if self.width == 1 else (self.width, 0)
-        keys, n = summed(np.concatenate([np.zeros(shape, "i8"), *self.keys], axis=-1), np.concatenate([np.zeros(0, "i8"), *self.n]))
+        keys, n = np.concatenate([np.zeros(shape, "i8"), *self.keys], axis=-1), np.concatenate([np.zeros(0, "i8"), *self.n])
+        self.keys = self.n = []  # not held twice
+        keys, n = summed(keys, n)
         self.keys, self.n, self.size = [keys], [n], len(n)
         return keys, n
 
@@ -111,18 +129,15 @@ class Tally:
         return out
 
 
-def count_words(train: DataFrame, most: int = 1_500_000) -> DataFrame:
+def count_words(train: DataFrame, most: int = 1_000_000) -> DataFrame:
     """key, n of all words of the training texts, and of their ends. Tasks count first, in bounded arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         tally = Tally(most, 1)
         out = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in tally.take()], names=["key", "n"])
-        for part in slices(batches, "text"):
-            keys, codes, _ = tokens_of(part.column(0))
-            n = np.bincount(codes, minlength=len(keys))
-            if tally.add(keys[n > 0], n[n > 0]):
+        for part in slices(batches, "text", 2 << 20):
+            found = pa.array(tokens_of(part.column(0))[0]).value_counts()
+            if tally.add(found.field(0).to_numpy(), found.field(1).to_numpy()):
                 yield out()
         yield out()
 
@@ -224,7 +239,7 @@ def at_hand(rows: DataFrame, n: str, columns: list[Column]) -> tuple[str, bool]:
     return path, held == sum(sizes.values())
 
 
-def count_nexts(train: DataFrame, allowed: str, depth: int, most: int = 2_000_000) -> DataFrame:
+def count_nexts(train: DataFrame, allowed: str, depth: int, most: int = 1_200_000) -> DataFrame:
     """context, next, n for contexts of `depth` symbols that pass the filter `allowed`. Tasks count first, in bounded arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,9 +251,9 @@ def count_nexts(train: DataFrame, allowed: str, depth: int, most: int = 2_000_00
             keys, n = tally.take()
             return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n)], names=["context", "next", "n"])
 
-        for part in slices(batches, "text"):
-            keys, codes, sizes = tokens_of(part.column(0))
-            symbols, (_, place) = keys[codes], places(sizes)
+        for part in slices(batches, "text", 2 << 20):
+            symbols, sizes = tokens_of(part.column(0))
+            _, place = places(sizes)
             context = contexts_of(symbols, depth)[-1]
             found = np.flatnonzero((place >= depth) & may_hold(bits, context))
             if tally.add(np.stack([context[found], symbols[found]]), np.ones(len(found), "i8")):
@@ -343,9 +358,10 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
         words, levels = sorted_table(at_hand), [(bitmap(a), bitmap(b), sorted_table(c), sorted_table(d)) for a, b, c, d in paths]
         row = TaskContext.get().partitionId() << 33
         for part in slices(batches, "text", 2 << 20):
-            keys, codes_of, sizes = tokens_of(part.column(2))
+            symbols, sizes = tokens_of(part.column(2))
             text, place = places(sizes)
-            starts, symbols = np.cumsum(sizes) - sizes, keys[codes_of]
+            starts, coded = np.cumsum(sizes) - sizes, pa.array(symbols).dictionary_encode()
+            keys, codes_of = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype("i8")
             at = found_at(words, keys)
             n = np.where(at >= 0, words[1][at] if len(words[1]) else 0, 0)
             sure = (at >= 0) | complete
