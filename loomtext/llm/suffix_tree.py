@@ -16,9 +16,9 @@ from .shared import scratch, slices, stored
 #: The key of the end of a text; that of a word is a 64-bit hash of its bytes.
 END = 0
 #: Bits of a filter of keys. What passes a filter is checked by a join: a full filter spares no rows, but changes no result.
-FILTER = 1 << 25
+FILTER = 1 << 26
 #: Most rows of a table that each worker reads to settle frequent rows without a join. It spares rows and changes no result.
-AT_HAND = 600_000
+AT_HAND = 2_500_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -169,7 +169,7 @@ def contexts_of(symbols, depth: int) -> list:
 
 
 def write_filter(keys: DataFrame, name: str) -> str:
-    """Bitmaps of the last bits of the column key, in 1,024 rows at most for any corpus; their path."""
+    """Bitmaps of the last bits of the column key, in 2,048 rows at most for any corpus; their path."""
     path, bit = scratch(keys.sparkSession, name), F.col("key").bitwiseAND(F.lit(FILTER - 1))
     keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(F.lit(32767))).alias("bits")).write.parquet(path)
     return path
@@ -227,9 +227,9 @@ def found_at(table: tuple, keys):
 
 def at_hand(rows: DataFrame, n: str, columns: list[Column]) -> tuple[str, bool]:
     """Writes the columns of the rows of largest n, at most AT_HAND of them; its path, and if these are all rows."""
-    power = F.floor(F.log2(n)).cast("int")
-    sizes = {r["power"]: r["rows"] for r in rows.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # a row for each power of 2
-    held, least = 0, 64
+    power = F.when(F.col(n) < 16, F.col(n)).otherwise(F.floor(F.log2(n)) + 12).cast("int")
+    sizes = {r["power"]: r["rows"] for r in rows.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # 80 rows at most
+    held, least = 0, 80
     for p in sorted(sizes, reverse=True):
         if held + sizes[p] > AT_HAND:
             break
@@ -280,8 +280,8 @@ class Level:
 
     def __init__(self, states: DataFrame, entries: DataFrame):
         self.states, self.entries = states, entries
-        self.states_at_hand, _ = at_hand(states, "n", [F.col("context").alias("key"), F.col("rest").alias("value")])
-        self.entries_at_hand, _ = at_hand(entries, "n", [F.col("context"), F.col("next"), F.col("ratio").alias("value")])
+        self.states_at_hand, _ = at_hand(states, "n", [F.col("context").alias("key"), F.col("rest").cast("float").alias("value")])
+        self.entries_at_hand, self.complete = at_hand(entries, "n", [F.col("context"), F.col("next"), F.col("ratio").cast("float").alias("value")])
         self.state_filter = write_filter(states.select(F.col("context").alias("key")), "filter")
         self.entry_filter = write_filter(entries.select(entry_bits(F.col("context"), F.col("next")).alias("key")), "filter")
 
@@ -301,7 +301,7 @@ class Model:
 def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: float, min_count: int) -> Model:
     """The suffix tree of training texts, given their word counts.
 
-    A context may be a state if it occurs min_count times (m). Its next symbols are smoothed by what occurs once: a symbol that
+    A context may be a state if it occurs min_count times (m), and its suffix is a state or empty. Its next symbols are smoothed by what occurs once: a symbol that
     follows it n > 1 times is an entry of weight (n - 1) / m, and the rest, distinct next symbols / m, is left to the suffix. It
     is retained if its next symbols diverge from those of its suffix: the sum of ln(p / p by the suffix) over its occurrences,
     each left out of the counts that predict it, must exceed divergence * ln(tokens). All words are symbols, and all entries of a
@@ -332,7 +332,8 @@ def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: fl
         full = stored(full.select("context", "suffix", "next", "n", "alone", "rest", "weight", F.when(F.col("rest").isNull(), F.col("below")).otherwise(weight).alias("ratio")), "tree")
         model.levels.append(Level(states, full.where("rest is not null").select("context", "next", "n", "weight", "ratio")))
         if length < depth:
-            contexts = stored(longer(full.where((F.col("next") != END) & (F.col("n") >= min_count)), length), "contexts")
+            contexts = longer(full.where((F.col("next") != END) & (F.col("n") >= min_count)), length)
+            contexts = stored(contexts.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi"), "contexts")
             below = full.select(F.col("context").alias("suffix"), "next", "alone", F.col("ratio").alias("below"))
     return model
 
@@ -349,13 +350,13 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
         some = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(some, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
-    paths = [(x.state_filter, x.entry_filter, x.states_at_hand, x.entries_at_hand) for x in model.levels]
+    paths = [(x.state_filter, None if x.complete else x.entry_filter, x.states_at_hand, x.entries_at_hand) for x in model.levels]
     at_hand, complete, total, distinct = model.words_at_hand, model.complete, model.total, model.distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, levels = sorted_table(at_hand), [(bitmap(a), bitmap(b), sorted_table(c), sorted_table(d)) for a, b, c, d in paths]
+        words, levels = sorted_table(at_hand), [(bitmap(a), b and bitmap(b), sorted_table(c), sorted_table(d)) for a, b, c, d in paths]
         row = TaskContext.get().partitionId() << 33
         for part in slices(batches, "text", 2 << 20):
             symbols, sizes = tokens_of(part.column(2))
@@ -371,7 +372,7 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
                 pair, k = np.unique(text[open_words] << 32 | codes_of[open_words], return_counts=True)
                 yield rows(row=row + (pair >> 32), word=keys[pair & 0xFFFFFFFF], k=k)
             value, below = np.ones(len(symbols)), np.ones(len(symbols))
-            lowest, top = np.zeros(len(symbols), "i1"), np.zeros(len(symbols), "i1")  # of the open lengths
+            lowest, top = np.zeros((2, len(symbols)), "i1")  # of the open lengths
             contexts, may = contexts_of(symbols, len(levels)), []
             for length, (states, entries, state_table, entry_table) in enumerate(levels, 1):
                 may.append((place >= length) & may_hold(states, contexts[length - 1]))
@@ -380,7 +381,9 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
                 state, entry = found_at(state_table, context), found_at(entry_table, mixed(context, following))
                 hit = entry >= 0
                 value[some[hit]], lowest[some[hit]] = entry_table[1][entry[hit]], 0
-                passed = ~hit & (state >= 0) & ~may_hold(entries, entry_bits(context, following))
+                passed = ~hit & (state >= 0)
+                if entries is not None:
+                    passed &= ~may_hold(entries, entry_bits(context, following))
                 value[some[passed]] *= state_table[1][state[passed]]
                 rest = some[~hit & ~passed]
                 first = rest[lowest[rest] == 0]
