@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import scratch, slices, stored
+from .shared import discard, scratch, slices, stored
 
 #: The key of the end of a text; that of a word is a 64-bit hash of its bytes.
 END = 0
@@ -276,12 +276,12 @@ def longer(pairs: DataFrame, length: int) -> DataFrame:
 
 
 class Level:
-    """States (context, n, rest) and entries (context, next, n, weight, ratio) of one length; paths of those at hand and of filters."""
+    """States (context, n, rest) and entries (context, next, n, ratio) of one length; those at hand (if that is all of them), and filters."""
 
     def __init__(self, states: DataFrame, entries: DataFrame):
         self.states, self.entries = states, entries
-        self.states_at_hand, _ = at_hand(states, "n", [F.col("context").alias("key"), F.col("rest").cast("float").alias("value")])
-        self.entries_at_hand, self.complete = at_hand(entries, "n", [F.col("context"), F.col("next"), F.col("ratio").cast("float").alias("value")])
+        self.states_at_hand, self.all_states = at_hand(states, "n", [F.col("context").alias("key"), F.col("rest").cast("float").alias("value")])
+        self.entries_at_hand, self.all_entries = at_hand(entries, "n", [F.col("context"), F.col("next"), F.col("ratio").cast("float").alias("value")])
         self.state_filter = write_filter(states.select(F.col("context").alias("key")), "filter")
         self.entry_filter = write_filter(entries.select(entry_bits(F.col("context"), F.col("next")).alias("key")), "filter")
 
@@ -329,8 +329,9 @@ def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: fl
         states = stored(kept.select("context", F.col("m").alias("n"), (F.col("distinct") / F.col("m")).alias("rest")), "states")
         weight = F.col("weight") / F.col("alone") + F.col("rest") * F.col("below")
         full = compared.join(states.select("context", "rest"), "context", "left").withColumn("weight", (F.col("n") - 1) / F.col("m"))
-        full = stored(full.select("context", "suffix", "next", "n", "alone", "rest", "weight", F.when(F.col("rest").isNull(), F.col("below")).otherwise(weight).alias("ratio")), "tree")
-        model.levels.append(Level(states, full.where("rest is not null").select("context", "next", "n", "weight", "ratio")))
+        full = stored(full.select("context", "suffix", "next", "n", "alone", "rest", F.when(F.col("rest").isNull(), F.col("below")).otherwise(weight).alias("ratio")), "tree")
+        model.levels.append(Level(states, full.where("rest is not null").select("context", "next", "n", "ratio")))
+        discard(pairs, stats, compared)
         if length < depth:
             contexts = longer(full.where((F.col("next") != END) & (F.col("n") >= min_count)), length)
             contexts = stored(contexts.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi"), "contexts")
@@ -339,24 +340,25 @@ def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: fl
 
 
 def score_parts(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of three kinds: of a text, with what its tokens at hand add; of a word of a text that isn't at hand (word, k); of a
-    next symbol of a text (next, k) whose state or entry isn't at hand. It has the contexts c1, c2, ... of the lengths that are
+    """Rows of four kinds: of a text, with what its tokens at hand add; of a word of a text that isn't at hand (word, k); of a
+    next symbol of a text in a state whose entry, if it has one, isn't at hand (entry): it has factor times the entry's ratio, or
+    else `below`; of a next symbol (next) with more than that open. That has the contexts c1, c2, ... of the lengths that are
     open; longer ones leave `factor` to it, and below them it has the ratio `below`."""
     codes = [f"c{k}" for k in range(1, len(model.levels) + 1)]
-    names = [*PARTS, "next", *codes, "factor", "below"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.int64()] * (1 + len(codes)), pa.float64(), pa.float64()]
+    names = [*PARTS, "entry", "next", *codes, "factor", "below"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.int64()] * (2 + len(codes)), pa.float64(), pa.float64()]
 
     def rows(**columns) -> pa.RecordBatch:
         some = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(some, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
-    paths = [(x.state_filter, None if x.complete else x.entry_filter, x.states_at_hand, x.entries_at_hand) for x in model.levels]
+    paths = [(x.state_filter, x.entry_filter, x.states_at_hand, x.entries_at_hand, x.all_states, x.all_entries) for x in model.levels]
     at_hand, complete, total, distinct = model.words_at_hand, model.complete, model.total, model.distinct
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        words, levels = sorted_table(at_hand), [(bitmap(a), b and bitmap(b), sorted_table(c), sorted_table(d)) for a, b, c, d in paths]
+        words, levels = sorted_table(at_hand), [(bitmap(a), bitmap(b), sorted_table(c), sorted_table(d), *whole) for a, b, c, d, *whole in paths]
         row = TaskContext.get().partitionId() << 33
         for part in slices(batches, "text", 2 << 20):
             symbols, sizes = tokens_of(part.column(2))
@@ -371,24 +373,29 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
             if len(open_words):
                 pair, k = np.unique(text[open_words] << 32 | codes_of[open_words], return_counts=True)
                 yield rows(row=row + (pair >> 32), word=keys[pair & 0xFFFFFFFF], k=k)
-            value, below = np.ones(len(symbols)), np.ones(len(symbols))
+            value, below, rests = np.ones((3, len(symbols)))
             lowest, top = np.zeros((2, len(symbols)), "i1")  # of the open lengths
-            contexts, may = contexts_of(symbols, len(levels)), []
-            for length, (states, entries, state_table, entry_table) in enumerate(levels, 1):
-                may.append((place >= length) & may_hold(states, contexts[length - 1]))
-                some = np.flatnonzero(may[-1])
+            contexts, may = contexts_of(symbols, len(levels)), np.zeros((len(levels), len(symbols)), bool)
+            for length, (states, entries, state_table, entry_table, all_states, all_entries) in enumerate(levels, 1):
+                some = np.flatnonzero((place >= length) & may_hold(states, contexts[length - 1]))
+                state = found_at(state_table, contexts[length - 1][some])
+                if all_states:
+                    some, state = some[state >= 0], state[state >= 0]
+                may[length - 1][some] = True
                 context, following = contexts[length - 1][some], symbols[some]
-                state, entry = found_at(state_table, context), found_at(entry_table, mixed(context, following))
+                maybe = may_hold(entries, entry_bits(context, following))
+                entry = np.full(len(some), -1)
+                entry[maybe] = found_at(entry_table, mixed(context[maybe], following[maybe]))
                 hit = entry >= 0
                 value[some[hit]], lowest[some[hit]] = entry_table[1][entry[hit]], 0
-                passed = ~hit & (state >= 0)
-                if entries is not None:
-                    passed &= ~may_hold(entries, entry_bits(context, following))
+                passed = ~hit & (state >= 0) & (~maybe | all_entries)
                 value[some[passed]] *= state_table[1][state[passed]]
-                rest = some[~hit & ~passed]
+                left = ~hit & ~passed
+                rest, state = some[left], state[left]
                 first = rest[lowest[rest] == 0]
                 below[first], lowest[first] = value[first], length
                 value[rest], top[rest] = 1.0, length
+                rests[rest] = np.where(state >= 0, state_table[1][state] if len(state_table[1]) else 0, 0)
             still = lowest > 0
             yield rows(
                 row=np.arange(row, row + len(sizes)),
@@ -399,15 +406,21 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
                 base_score=np.add.reduceat(base, starts),
                 by_tree=np.add.reduceat(np.where(still, 0.0, np.log10(value)), starts),
             )
-            some = np.flatnonzero(still)
+            simple = still & (lowest == top) & (rests > 0)
+            some = np.flatnonzero(simple)
+            at_length = np.choose(top[some] - 1, [c[some] for c in contexts])
+            for a in range(0, len(some), 100_000):
+                i = some[a : a + 100_000]
+                yield rows(row=row + text[i], entry=mixed(at_length[a : a + 100_000], symbols[i]), factor=value[i], below=value[i] * rests[i] * below[i])
+            some = np.flatnonzero(still & ~simple)
             for a in range(0, len(some), 100_000):
                 i = some[a : a + 100_000]
                 inside = {c: pa.array(contexts[k][i], mask=~(may[k][i] & (lowest[i] <= k + 1) & (top[i] > k))) for k, c in enumerate(codes)}
-                yield rows(row=row + text[i], k=np.ones(len(i), "i8"), next=symbols[i], factor=value[i], below=below[i], **inside)
+                yield rows(row=row + text[i], next=symbols[i], factor=value[i], below=below[i], **inside)
             row += len(sizes)
 
     of_codes = "".join(f", {c} long" for c in codes)
-    return docs.mapInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, by_tree double, word long, k long, next long{of_codes}, factor double, below double")
+    return docs.mapInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, by_tree double, word long, k long, entry long, next long{of_codes}, factor double, below double")
 
 
 def context_scores(parts: DataFrame, model: Model) -> DataFrame:
@@ -425,12 +438,28 @@ def context_scores(parts: DataFrame, model: Model) -> DataFrame:
         left = left.withColumn("factor", F.col("factor") * F.coalesce("rest", F.lit(1.0)))
         keep = ["row", "next", *[f"c{k}" for k in range(1, length)], "factor", "below"]
         rows = rows.where(F.col(code).isNull()).select(*keep).unionByName(left.select(*keep))
+    tail = [keyed(level.entries) for level in model.levels if not level.all_entries]
+    simple = parts.where("entry is not null").select("row", "entry", "factor", "below")
+    if tail:
+        simple = simple.join(reduce(DataFrame.union, tail), "entry", "left")
+        settled.append(simple.select("row", F.log10(F.coalesce(F.col("factor") * F.col("ratio"), F.col("below"))).alias("by_context")))
     out = rows.select("row", F.log10(F.col("factor") * F.col("below")).alias("by_context"))
     for more in settled:
         out = out.union(more)
     return out.groupBy("row").agg(F.sum("by_context").alias("by_context"))
 
 
+def keyed(entries: DataFrame) -> DataFrame:
+    """entry (a hash of context and next), ratio."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = mixed(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(2)], names=["entry", "ratio"])
+
+    return entries.select("context", "next", "ratio").mapInArrow(run, "entry long, ratio double")
+
+
 PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "by_tree", "word", "k"]
 
 

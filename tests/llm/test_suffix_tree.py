@@ -52,11 +52,12 @@ def test_each_state_is_a_distribution(docs):
     model = train_tree(train, stored(count_words(train), "t"), depth=3, divergence=1.0, min_count=5)
     held = []
     for level in model.levels:
+        m = {r.context: r.n for r in level.states.collect()}
         rest = {r.context: r.rest for r in level.states.collect()}
         held.append(len(rest))
         for r in level.entries.collect():
-            assert 0 < r.weight < 1
-            rest[r.context] += r.weight
+            assert 0 < r.ratio and 1 < r.n <= m[r.context]
+            rest[r.context] += (r.n - 1) / m[r.context]
         assert all(v == pytest.approx(1) for v in rest.values())
     assert held[0]
 
