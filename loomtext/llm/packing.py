@@ -81,44 +81,53 @@ def pack(
         import numpy as np
 
         enc = encoder(tokenizer)
-        end = np.array([end_id], dtype=enc.kind).tobytes()
         windows, first = OpenWindows(window), TaskContext.get().partitionId() << 32
-        held: list[tuple[int | None, bytes]] = []
+        ids: list[np.ndarray] = []  # of 32 bits, of some texts each with end_id
+        docs_of: list[np.ndarray] = []  # (document, first id, ids) of these texts, counted over the block
         tokens = 0
 
         def block() -> Iterator[pa.RecordBatch]:
-            width = np.dtype(enc.kind).itemsize
-            pieces = []  # (length, document, start)
-            for k, (_, raw) in enumerate(held):
-                n = len(raw) // width
-                pieces += [(min(window, n - at), k, at) for at in range(0, n, window)]
-            pieces.sort(key=lambda p: -p[0])
-            placed = [windows.place(p[0]) for p in pieces]
-            for at in range(0, len(pieces), 8192):
-                some, where = pieces[at : at + 8192], placed[at : at + 8192]
-                ids = [np.frombuffer(held[k][1], enc.kind, n, start * width).astype("<u4") for n, k, start in some]
+            flat = np.concatenate([np.zeros(0, "<u4"), *ids])
+            doc, begin, size = np.concatenate([np.zeros((3, 0), "i8"), *docs_of], axis=1)
+            pieces = -(-size // window)  # of each document
+            of = np.repeat(np.arange(len(doc)), pieces)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+            length = np.minimum(window, size[of] - start)
+            order = np.argsort(-length, kind="stable")
+            of, start, length = of[order], start[order], length[order]
+            placed = [windows.place(n) for n in length.tolist()]
+            raw, at = memoryview(flat.view("u1")), begin[of] + start
+            for k in range(0, len(of), 8192):
+                i = slice(k, k + 8192)
+                sequence, offset = np.array(placed[i], "i8").reshape(-1, 2).T
+                bounds = list(zip((4 * at[i]).tolist(), (4 * (at[i] + length[i])).tolist(), strict=True))
                 columns = [
-                    pa.array([held[k][0] for _, k, _ in some], pa.int64()),
-                    pa.array([start for _, _, start in some], pa.int64()),
-                    pa.array([n for n, _, _ in some], pa.int64()),
-                    pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                    pa.array([len(held[k][1]) // width for _, k, _ in some], pa.int64()),
-                    pa.array([first + s for s, _ in where], pa.int64()),
-                    pa.array([o for _, o in where], pa.int64()),
+                    pa.array(names_of(doc[of[i]]), pa.int64()),
+                    pa.array(start[i]),
+                    pa.array(length[i]),
+                    pa.array([zlib.crc32(raw[a:b]) for a, b in bounds], pa.int64()),
+                    pa.array(size[of[i]]),
+                    pa.array(first + sequence),
+                    pa.array(offset),
                 ]
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 if with_ids:
-                    columns.append(pa.array([x.astype("i4") for x in ids], pa.list_(pa.int32())))
+                    columns.append(pa.array([flat[a // 4 : b // 4].astype("i4") for a, b in bounds], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
+        held: list = []  # the ids of the block's documents, which may be null
+        names_of = lambda places: [held[k] for k in places.tolist()]
         for part in slices(batches, "text"):
-            for doc, raw in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                held.append((doc, raw + end))
-                tokens += len(raw) // len(end) + 1
+            found, places = enc.encode(part.column(1))
+            ids.append(np.insert(found, places[1:], end_id).astype("<u4"))
+            sizes = np.diff(places) + 1
+            docs_of.append(np.stack([len(held) + np.arange(len(sizes)), tokens + np.cumsum(sizes) - sizes, sizes]))
+            held += part.column(0).to_pylist()
+            tokens += len(ids[-1])
             if tokens >= block_tokens:
                 yield from block()
-                held, tokens = [], 0
+                ids, docs_of, held, tokens = [], [], [], 0
         yield from block()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

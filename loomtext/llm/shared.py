@@ -93,24 +93,81 @@ class Memory(dict):
         return out
 
 
+@lru_cache(maxsize=1)
+def byte_kinds():
+    """By byte: is it ASCII white space; can it begin, and can it end, another white-space character in UTF-8."""
+    import numpy as np
+
+    space, begin, end = np.zeros((3, 256), bool)
+    space[[0x20, *range(0x09, 0x0E)]] = True
+    others = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+    begin[[c.encode()[0] for c in others]] = True
+    end[[c.encode()[-1] for c in others]] = True
+    return space, begin, end
+
+
+def bytes_of(texts: pa.Array):
+    """(bytes of all texts, places where each begins and the last ends)."""
+    import numpy as np
+
+    edges = np.frombuffer(texts.buffers()[1], "i4", len(texts) + 1, 4 * texts.offset).astype("i8")
+    return np.frombuffer(texts.buffers()[2] or b"", "u1")[edges[0] : edges[-1]], edges - edges[0]
+
+
+def chunk_starts(raw, edges):
+    """Places where chunks of the texts begin: a white-space character behind another, the last one before another, and what
+    follows one that is no space. At white space that isn't ASCII nothing begins."""
+    import numpy as np
+
+    space, begin, end = byte_kinds()
+    blank = space[raw]
+    out = np.zeros(len(raw), bool)
+    if len(raw) > 1:
+        maybe_end = end[raw]
+        lead = begin[raw]
+        maybe_end[:1] = False
+        behind = np.zeros(len(raw), bool)
+        behind[1:] |= lead[:-1]
+        behind[2:] |= lead[:-2]
+        ended = blank | (maybe_end & behind)
+        other = ~blank & ~lead
+        out[1:] = (blank[1:] & ~ended[:-1]) | (other[1:] & blank[:-1] & (raw[:-1] != 0x20))
+        out[:-1] |= blank[:-1] & other[1:]
+    last = edges[1:-1][(edges[1:-1] > 0) & (edges[1:-1] < len(raw))]
+    at_end = last - 1  # the last byte of a text has nothing behind it
+    out[at_end] &= blank[at_end] & (at_end > 0) & ~ended_before(raw, at_end, space, begin, end)
+    out[edges[:-1][edges[:-1] < len(raw)]] = True
+    return out
+
+
+def ended_before(raw, at, space, begin, end):
+    """May the byte before each place end a white-space character?"""
+    import numpy as np
+
+    one, two, three = (raw[np.maximum(at - k, 0)] for k in (1, 2, 3))
+    return space[one] | (end[one] & (begin[two] | begin[three]))
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, with each distinct chunk of text encoded once.
 
     The byte-level pre-tokenizer never joins text across a space that follows a non-space, so a text is the sequence of its
-    chunks (at most one leading space, then non-spaces; or white space) and its ids are those of its chunks in order. Texts in
-    which a special token's string occurs go to the library whole. The number of chunks kept is bounded.
+    chunks (at most one leading space, then non-spaces; or white space) and its ids are those of its chunks in order. A text in
+    which a special token's string occurs is one chunk. The number of chunks kept is bounded.
     """
 
-    chunks = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+").findall
+    #: At most a space, then short and without white space: bytes that can begin any outside ASCII are left out.
+    plain = re.compile(rb" ?[!-~\x80-\xc1\xc3-\xe0\xe4-\xff]{1,200}").fullmatch
 
-    def __init__(self, path: str, limit: int = 400_000, most_chars: int = 200_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline = self.library("\n")
-        self.most_chars = most_chars
+        if any(len(s) < 2 or s.isspace() for s in self.special):
+            raise ValueError("a special token may not be a single character or white space")
         self.cache = Memory(limit)
 
     def library(self, text: str) -> bytes:
@@ -118,37 +175,51 @@ class ChunkEncoder:
 
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
 
-    def learn(self, missing: list[str]) -> None:
+    def learn(self, missing: list[bytes]) -> None:
         """Encodes distinct chunks, many in one call: joined by newlines, whose id parts them again."""
         import numpy as np
 
         cut = int(np.frombuffer(self.newline, self.kind)[0])
-        many: list[str] = []
-        held = 0
-        for chunk in [*missing, None]:
-            if many and (chunk is None or held > self.most_chars):
-                ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(many)], add_special_tokens=False)[0].ids, dtype=self.kind)
-                parts = np.flatnonzero(ids == cut).tolist()
-                raw, w, start = ids.tobytes(), ids.itemsize, 0
-                if len(parts) != len(many) - 1:
-                    raise ValueError("the tokenizer joins text across newlines: it is not byte-level as expected")
-                for key, end in zip(many, [*parts, len(ids)], strict=True):
-                    self.cache[key] = raw[start * w : end * w]
-                    start = end + 1
-                many, held = [], 0
-            if chunk is not None:
-                if chunk.isspace() or len(chunk) > self.most_chars:
-                    self.cache[chunk] = self.library(chunk)
-                else:
-                    many.append(chunk)
-                    held += len(chunk)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian ids of each text, in self.kind."""
-        cut = [None if any(s in t for s in self.special) else self.chunks(t) for t in texts]
-        self.learn(self.cache.lacking(set().union(*(chunks for chunks in cut if chunks))))
-        get = self.cache.__getitem__
-        return [self.library(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut, strict=True)]
+        many = [c for c in missing if self.plain(c)]
+        for at in range(0, len(many), 20_000):
+            some = many[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"\n".join(some).decode()], add_special_tokens=False)[0].ids, dtype=self.kind)
+            ends = np.append(np.flatnonzero(ids == cut), len(ids))
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer joins text across newlines: it is not byte-level as expected")
+            raw, ends = ids.tobytes(), ends * ids.itemsize
+            begins = np.concatenate([[0], ends[:-1] + ids.itemsize])
+            self.cache.update(zip(some, [raw[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], strict=True))
+        for c in missing:
+            if not self.plain(c):
+                self.cache[c] = self.library(c.decode())
+
+    def encode(self, texts: pa.Array):
+        """(ids of all texts in self.kind, places where each text's ids begin and the last ends)."""
+        import numpy as np
+
+        raw, edges = bytes_of(texts)
+        first = chunk_starts(raw, edges)
+        whole: set[bytes] = set()
+        for s in self.special:
+            for k in np.flatnonzero(pc.match_substring(texts, s).to_numpy(zero_copy_only=False)).tolist():
+                first[edges[k] + 1 : edges[k + 1]] = False
+                whole.add(raw[edges[k] : edges[k + 1]].tobytes())
+        starts = np.flatnonzero(first)
+        offsets = np.append(starts, len(raw)).astype("i4")
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        for text in whole:  # also those without white space
+            self.cache[text] = self.library(text.decode())
+        self.learn(self.cache.lacking(set(distinct)))
+        parts = [self.cache[c] for c in distinct]
+        pool, width = np.frombuffer(b"".join(parts), self.kind), np.dtype(self.kind).itemsize
+        sizes = np.fromiter(map(len, parts), "i4", len(parts)) // width
+        begins = np.cumsum(sizes, dtype="i4") - sizes
+        lengths = sizes[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype="i8")])
+        ids = pool[np.repeat(begins[codes] - ends[:-1].astype("i4"), lengths) + np.arange(ends[-1], dtype="i4")]
+        return ids, ends[np.searchsorted(starts, edges)]
 
 
 @lru_cache(maxsize=2)

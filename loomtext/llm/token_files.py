@@ -38,7 +38,6 @@ def write_token_files(
 
         enc = encoder(tokenizer)
         width = np.dtype(enc.kind).itemsize
-        end = np.array([end_id], dtype=enc.kind).tobytes()
         store, top = fs.FileSystem.from_uri(out)
         shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         store.create_dir(top, recursive=True)
@@ -53,12 +52,12 @@ def write_token_files(
         ):
             offsets_file.write(np.zeros(1, "<u8").tobytes())
             for part in slices(batches, "text"):
-                ids = enc.encode(part.column(1).to_pylist())
-                ids_file.write(b"".join(x + end for x in ids))
-                ends = total + np.cumsum([len(x) // width + 1 for x in ids])
+                ids, places = enc.encode(part.column(1))
+                ids_file.write(np.insert(ids, places[1:], end_id).tobytes())
+                ends = total + places[1:] + np.arange(1, len(places))
                 offsets_file.write(ends.astype("<u8").tobytes())
                 documents.write(pa.record_batch([part.column(0)], names=["doc_id"]))
-                n_docs, total = n_docs + len(ids), int(ends[-1])
+                n_docs, total = n_docs + part.num_rows, int(ends[-1])
         for kind in kinds:
             store.move(name(kind) + attempt, name(kind))
         yield pa.RecordBatch.from_pydict({"shard": [shard], "width": [width], "n_docs": [n_docs], "n_tokens": [total]})
@@ -101,12 +100,13 @@ def digest_token_files(spark: SparkSession, out: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids, offsets, documents = ids_of(out, row["shard"], row["width"])
-                for at in range(0, len(documents), 10_000):
-                    cut = offsets[at : at + 10_001]
-                    sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                for at in range(0, len(documents), 2_000):
+                    cut = offsets[at : at + 2_001]
+                    wide, low = memoryview(ids[cut[0] : cut[-1]].astype("<u4").tobytes()), int(cut[0])
+                    sums = [zlib.crc32(wide[4 * (a - low) : 4 * (b - low)]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            documents.slice(at, 10_000).combine_chunks(),
+                            documents.slice(at, 2_000).combine_chunks(),
                             pa.array(cut[:-1] + row["base"]),
                             pa.array(cut[1:] - cut[:-1]),
                             pa.array(sums, pa.int64()),
