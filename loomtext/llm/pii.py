@@ -351,14 +351,29 @@ def examples_of(texts: list[str]) -> list[tuple[list[str], set[tuple[int, int, s
     return out
 
 
-def fit(docs: DataFrame, *, sample: int = 400, epochs: int = 5, rate: float = 0.5, decay: float = 0.001, id_col: str = "doc_id", text_col: str = "text") -> SemiMarkov:
+#: Texts that can serve as examples have a run of digits and marks, or an at sign.
+HAS_EXAMPLE = r"[0-9][0-9(). -]{5,}[0-9]|@"
+
+
+def fit(
+    docs: DataFrame, *, sample: int = 400, windows_each: int = 4, most_chars: int = 400, epochs: int = 5, rate: float = 0.5, decay: float = 0.001, id_col: str = "doc_id", text_col: str = "text"
+) -> SemiMarkov:
     """A model from at most `sample` documents that have a digit run or an at sign, the first by a hash of id and text.
 
-    Only their windows of about 200 characters reach the driver. Without such documents the model is empty and adds nothing.
+    Rows are hashed first, and only those under a limit of the hash are searched; it is raised until they hold enough, so what
+    reaches the driver doesn't grow with the table. Of a document at most windows_each windows are used, of a window at most
+    most_chars characters. Without such documents the model is empty and adds nothing.
     """
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    rows = rows.where(F.col("text").rlike(r"[0-9][0-9(). -]{5,}[0-9]|@")).select("h", F.slice(F.regexp_extract_all("text", F.lit(r"(?s).{0,64}(?:[0-9][0-9(). -]{5,}[0-9]|@).{0,64}"), F.lit(0)), 1, 4).alias("parts"))
-    texts = [p[:400] for r in rows.orderBy("h").limit(sample).collect() for p in r["parts"]]
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 40) - 1)).alias("h"), F.col(text_col).alias("text"))
+    share = min(1.0, 40 * sample / max(1, docs.count()))
+    while True:
+        found = rows.where((F.col("h") < int(share * (1 << 40))) & F.col("text").rlike(HAS_EXAMPLE))
+        if share == 1.0 or found.select("h").distinct().count() >= sample:
+            break
+        share = min(1.0, 10 * share)
+    parts = F.slice(F.regexp_extract_all("text", F.lit(rf"(?s).{{0,64}}(?:{HAS_EXAMPLE}).{{0,64}}"), F.lit(0)), 1, windows_each)
+    some = found.groupBy("h").agg(F.first(F.transform(parts, lambda x: F.substring(x, 1, most_chars))).alias("parts"))
+    texts = [p for r in some.orderBy("h").limit(sample).collect() for p in r["parts"]]
     model = SemiMarkov()
     model.train(examples_of(texts), epochs, rate, decay)
     model.weights = {f: w for f, w in model.weights.items() if abs(w) > 1e-3}

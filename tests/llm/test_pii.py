@@ -122,3 +122,34 @@ def test_spans_that_stand_alone_in_disguise(docs, spark):
 def test_regions_take_linear_time():
     for text in ("at-" * 100_000, "@" * 100_000, "1." * 100_000, "1" + "½" * 100_000, "at" + " " * 100_000, "(" * 100_000, "a.at " * 20_000):
         pii.regions(text)
+
+
+def test_added_spans_are_right_and_most_are_found(docs, spark):
+    """Held-out sentences with disguised spans, and sentences with numbers and words like them that are none."""
+    rnd = random.Random(12)
+    planted, rows = {}, []
+    for i in range(240):
+        kind = pii.KINDS[i % 4]
+        old = {"email": f"kim{i}@mail{i % 9}.example.com", "ip": f"{i}.{i % 250}.9.{i % 98}", "card": "4111111111111111", "phone": f"+1 ({200 + i}) 555-{2000 + i}"}[kind]
+        new = rnd.choice(pii.disguises(kind, old, rnd.randrange(12)))
+        lead = rnd.choice(["the note came from ", "we had ", "and with "])
+        rows.append((i, f"{lead}{new} {rnd.choice(['or so', 'in it', 'today'])}"))
+        planted[i] = (kind, len(lead), len(lead) + len(new))
+    rows += [(1000 + i, rnd.choice([f"version {i}.0 of 20{i % 90 + 10} has 12 parts", f"we met at {i % 12} dot sharp, at home. Then on", f"lines {i} to {i + 90}, 3 of 4"])) for i in range(120)]
+    got = {r.doc_id: {tuple(s) for s in r.spans} - {tuple(s) for s in r.base_spans} for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), pii.fit(docs)).collect()}
+    based = {i for i, t in rows if pii.base_spans(t)}
+    wanted = {i: x for i, x in planted.items() if i not in based}
+    right = sum(x in got[i] for i, x in wanted.items())
+    added = sum(len(x) for i, x in got.items() if i not in based)
+    assert len(wanted) > 150 and right >= 0.85 * len(wanted) and right >= 0.9 * added, (right, len(wanted), added)
+    assert not any(got[i] for i in got if i >= 1000)
+
+
+def test_the_fit_reads_few_rows_of_a_large_table(spark, monkeypatch):
+    """Rows under a hash limit only: the texts that reach the driver are no more than sample, and the same for any partitioning."""
+    seen = []
+    monkeypatch.setattr(pii, "examples_of", lambda texts: seen.append(sorted(texts)) or [])
+    many = spark.createDataFrame([(i, f"mail a{i}@b.example.com now" if i % 3 == 0 else "none") for i in range(9000)] + [(7, "x@y.example.com")] * 500, "doc_id long, text string")
+    for n in (1, 7):
+        pii.fit(many.repartition(n), sample=5)
+    assert len(seen[0]) == 5 and seen[0] == seen[1]
