@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import discard, stored
+
 
 def normalised(text: Column) -> Column:
     """The text without the characters 0x20 and 0x09 to 0x0D; null counts as empty."""
@@ -23,44 +25,61 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def best(n_points: str, doc_id: str) -> Column:
+    """The greatest (code points, complement of the id): a longer text first, then a smaller id, null ids last."""
+    return F.max(F.struct(F.col(n_points).alias("n_points"), F.bitwise_not(doc_id).alias("order")))
+
+
 class DigestIndex:
-    """A table of digests with the row that was kept for each: digest, keep_id, group_size; bucketed and sorted by digest.
+    """A table of digests, a row for each: digest, keep_id, n_points, group_size; bucketed and sorted by digest. Beside it, in
+    <table>_again, what later increments hold of digests that it has.
 
-    It outlives sessions where the catalog does. The anti-join of new digests reads it bucket by bucket, without a shuffle of
-    it where there are as many buckets as shuffle partitions.
+    Both outlive sessions where the catalog does. The joins of an increment read them bucket by bucket, without a shuffle of
+    them where there are as many buckets as shuffle partitions.
     """
 
     def __init__(self, spark: SparkSession, table: str, buckets: int):
         self.spark, self.table, self.buckets = spark, table, buckets
 
-    def rows(self) -> DataFrame | None:
-        return self.spark.table(self.table) if self.spark.catalog.tableExists(self.table) else None
+    def read(self, table: str) -> DataFrame | None:
+        return self.spark.table(table) if self.spark.catalog.tableExists(table) else None
+
+    def write(self, rows: DataFrame, table: str) -> None:
+        if self.buckets < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            rows = rows.coalesce(self.buckets)  # else a task has whole buckets as it is
+        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(table)
+
+    def rows(self) -> DataFrame:
+        """digest, keep_id, group_size over all increments: of equal texts the longest row, then the least id."""
+        first, again = self.read(self.table), self.read(f"{self.table}_again")
+        if again is None:
+            return first.select("digest", "keep_id", "group_size")
+        more = again.groupBy("digest").agg(best("n_points", "keep_id").alias("best"), F.sum("group_size").alias("more"))
+        both = first.join(more, "digest", "left")
+        keep = F.greatest(F.struct("n_points", F.bitwise_not("keep_id").alias("order")), "best")
+        return both.select("digest", F.bitwise_not(keep["order"]).alias("keep_id"), (F.col("group_size") + F.coalesce("more", F.lit(0))).alias("group_size"))
 
     def append(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> None:
-        """Adds the texts of docs that the index lacks, by a sort-merge anti-join.
+        """Adds an increment: texts that the index lacks, by a sort-merge anti-join, and counts and best rows of those it has.
 
-        Of equal new texts, the row with the most code points stays, then the one with the smallest id (a null id comes
-        after all others). Equal rows are counted before the shuffle, so a text with a third of all rows costs one row a
-        task. Texts that the index has keep their earlier row.
+        Of equal texts, the row with the most code points stays, then the one with the smallest id (a null id comes after all
+        others), whichever increment it came in. Equal rows are counted before the shuffle, so a text with a third of all rows
+        costs one row a task.
         """
         new = (
             digests(docs, id_col=id_col, text_col=text_col)
             .groupBy("digest")
-            .agg(F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("order"))).alias("best"), F.count(F.lit(1)).alias("group_size"))
-            .select("digest", F.bitwise_not("best.order").alias("keep_id"), "group_size")
-        )
-        known = self.rows()
-        if known is not None:
-            new = new.join(known.select("digest").hint("merge"), "digest", "left_anti")
-        if self.buckets < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
-            new = new.coalesce(self.buckets)  # else a task has whole buckets as it is
-        (
-            new.write.format("parquet")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-            .mode("append")
-            .saveAsTable(self.table)
+            .agg(best("n_points", "doc_id").alias("best"), F.count(F.lit(1)).alias("group_size"))
+            .select("digest", F.bitwise_not("best.order").alias("keep_id"), "best.n_points", "group_size")
         )
+        known = self.read(self.table)
+        if known is None:
+            self.write(new, self.table)
+            return
+        new, known = stored(new, "increment"), known.select("digest").hint("merge")
+        self.write(new.join(known, "digest", "left_semi"), f"{self.table}_again")
+        self.write(new.join(known, "digest", "left_anti"), self.table)
+        discard(new)
 
     def match(self, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs whose text the index has.
@@ -75,15 +94,17 @@ class DigestIndex:
         )
 
 
-def exact_dedup(docs: DataFrame, table: str, *, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, table: str, *, increments: int = 2, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Indexes all of docs in a table and returns each row with the row that stays for its text: see DigestIndex.
 
-    Null and empty texts are equal to each other. Rows that repeat an id and a text are all marked kept where that id stays.
-    Other columns are ignored; an empty table gives no rows. By default there is a bucket for about 100,000 rows, at most as
-    many as shuffle partitions.
+    The index grows by increments, dealt by a hash of the id: each after the first goes through the anti-join. Null and empty
+    texts are equal to each other. Rows that repeat an id and a text are all marked kept where that id stays. Other columns are
+    ignored; an empty table gives no rows. By default there is a bucket for about 100,000 rows, at most as many as shuffle
+    partitions.
     """
     spark = docs.sparkSession
     buckets = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + docs.count() // 100_000)
     index = DigestIndex(spark, table, buckets)
-    index.append(docs, id_col=id_col, text_col=text_col)
+    for k in range(increments):
+        index.append(docs.where(F.pmod(F.xxhash64(id_col), F.lit(increments)) == k), id_col=id_col, text_col=text_col)
     return index.match(docs, id_col=id_col, text_col=text_col)

@@ -15,7 +15,8 @@ ROWS = [(1, "a b"), (2, "ab"), (3, "a  b"), (4, "c"), (5, None), (6, ""), (7, "
 def table(spark):
     name = "digests_" + uuid.uuid4().hex
     yield name
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    for each in (name, f"{name}_again"):
+        spark.sql(f"DROP TABLE IF EXISTS {each}")
 
 
 def plain(rows):
@@ -33,21 +34,22 @@ def test_against_a_plain_version(spark, table):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
 
 
-def test_increments_keep_the_earlier_row(spark, table):
+def test_increments_give_what_one_gives(spark, table):
     index = DigestIndex(spark, table, 3)
-    first = spark.createDataFrame([(5, "a"), (6, "b")], "doc_id long, text string")
-    second = spark.createDataFrame([(1, "a"), (2, "c"), (3, "c ")], "doc_id long, text string")
-    index.append(first)
-    index.append(second)
-    assert {(r.doc_id, r.keep_id) for r in index.match(second).collect()} == {(1, 5), (2, 3), (3, 3)}
-    assert index.rows().count() == 3
+    parts = [ROWS[:4], [*ROWS[4:9], (1, "a b"), (20, "a   b"), (0, "c")], [*ROWS[9:], (30, " a  b  "), (30, " a  b  ")], []]
+    for part in parts:
+        index.append(spark.createDataFrame(part, "doc_id long, text string"))
+    every = [r for part in parts for r in part]
+    got = index.match(spark.createDataFrame(every, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == plain(every)
+    assert index.rows().count() == index.read(table).count() == len({r.text_sha256 for r in got})
 
 
 def test_the_anti_join_reads_the_index_by_bucket(spark, table):
     index = DigestIndex(spark, table, int(spark.conf.get("spark.sql.shuffle.partitions")))
     index.append(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string"))
     new = spark.createDataFrame([(3, "c")], "doc_id long, text string")
-    joined = digests(new).join(index.rows().select("digest").hint("merge"), "digest", "left_anti")
+    joined = digests(new).join(index.read(table).select("digest").hint("merge"), "digest", "left_anti")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
 
