@@ -9,28 +9,40 @@ from .quality import let
 
 #: The multiplier of the rolling hash over the last three line hashes, and the chunk boundary's modulus.
 ROLL, MODULUS = 31, 4
+#: Words from which a line is a chunk of its own, as long as several lines.
+LONG_WORDS = 40
+#: A character outside 0x20 and 0x09 to 0x0D.
+NO_SPACE = r"[^\x20\x09-\x0D]"
 
 
-def chunk_ends(lines: Column, modulus: int) -> Column:
-    """1-based last lines of the chunks: where the rolling hash of a line and the two before it is 0 by the modulus, and at the end.
+def is_long(line: Column, long_words: int) -> Column:
+    """A line of at least long_words words, as its spaces tell."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= long_words - 1
 
-    The place of a boundary depends on three lines only, so text that moves keeps its chunks, but for the first and last ones.
+
+def chunk_ends(lines: Column, modulus: int, long_words: int) -> Column:
+    """1-based last lines of the chunks: where the rolling hash of a line and the two before it is 0 by the modulus, at and before
+    long lines, and at the end.
+
+    The place of a boundary depends on a few lines only, so text that moves keeps its chunks, but for the first and last ones;
+    a long line is a chunk wherever it stands.
     """
-    number = lambda line: F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
+    number = lambda line: F.struct(F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long").alias("h"), is_long(line, long_words).alias("long"))
 
     def ends(h: Column) -> Column:
-        before = lambda i, k: F.coalesce(F.get(h, i - 1 - k), F.lit(0))
+        before = lambda i, k: F.coalesce(F.get(h, i - 1 - k)["h"], F.lit(0))
         rolled = lambda i: (before(i, 0) + ROLL * before(i, 1) + ROLL * ROLL * before(i, 2)) % modulus
-        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (rolled(i) == 0) | (i == F.size(h)))
+        long = lambda i: F.coalesce(F.get(h, i - 1)["long"], F.lit(False))
+        return F.filter(F.sequence(F.lit(1), F.size(h)), lambda i: (rolled(i) == 0) | long(i) | long(i + 1) | (i == F.size(h)))
 
     return let(F.transform(lines, number), ends)
 
 
-def chunked(docs: DataFrame, *, modulus: int, id_col: str, text_col: str) -> DataFrame:
+def chunked(docs: DataFrame, *, modulus: int, long_words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, t (a hash of the text), lines, chunks (array of struct k, first, n: place, 1-based first line, number of lines)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.split(text, "\n").alias("lines"))
-    rows = rows.withColumn("ends", chunk_ends(F.col("lines"), modulus))
+    rows = rows.withColumn("ends", chunk_ends(F.col("lines"), modulus, long_words))
     first = lambda k: F.coalesce(F.get("ends", k - 1), F.lit(0)) + 1
     return rows.select("doc_id", "t", "lines", F.transform("ends", lambda e, k: F.struct(k.alias("k"), first(k).alias("first"), (e - first(k) + 1).alias("n"))).alias("chunks"))
 
@@ -39,16 +51,16 @@ def chunk_text(lines: Column, first: Column, n: Column) -> Column:
     return F.array_join(F.slice(lines, first, n), "\n")
 
 
-def repeats(docs: DataFrame, *, modulus: int = MODULUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, t, k of the multi-line chunks to remove: those whose bytes occurred before, by document id and place.
+def repeats(docs: DataFrame, *, modulus: int = MODULUS, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, t, k of the chunks to remove, of several lines or one long one: those whose bytes occurred before, by document id and place.
 
     Hashes find the chunks that occur twice; only their texts are shuffled, and a chunk is removed only if all texts under its
     hash are the same bytes. Counts, firsts and byte comparisons are combined in tasks before the shuffle, so a chunk that a
     third of all documents has costs a row a task.
     """
-    rows = chunked(docs, modulus=modulus, id_col=id_col, text_col=text_col)
-    many = F.filter("chunks", lambda c: c["n"] > 1)
-    about = lambda c, x: F.struct(c["k"].alias("k"), c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(x).alias("h"), F.length(x).alias("size"), (F.trim(x) != "").alias("any"))
+    rows = chunked(docs, modulus=modulus, long_words=long_words, id_col=id_col, text_col=text_col)
+    many = F.filter("chunks", lambda c: (c["n"] > 1) | is_long(F.get("lines", c["first"] - 1), long_words))
+    about = lambda c, x: F.struct(c["k"].alias("k"), c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(x).alias("h"), F.length(x).alias("size"), x.rlike(NO_SPACE).alias("any"))
     hashed = F.transform(many, lambda c: let(chunk_text(F.col("lines"), c["first"], c["n"]), lambda x: about(c, x)))
     places = rows.select("doc_id", "t", F.explode(F.filter(hashed, lambda c: c["any"])).alias("c")).select("doc_id", "t", "c.k", "c.first", "c.n", "c.h", "c.size")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "k")
@@ -62,28 +74,31 @@ def repeats(docs: DataFrame, *, modulus: int = MODULUS, id_col: str = "doc_id",
     return found.join(equal, ["h", "size"]).where(~place.eqNullSafe(F.col("kept"))).select("doc_id", "t", "k")
 
 
-def line_dedup(docs: DataFrame, *, modulus: int = MODULUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, *, modulus: int = MODULUS, long_words: int = LONG_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text that is left in text_col, and n_lines, n_chunks, removed_chunks, removed_lines.
 
-    The first occurrence of a chunk stays, by ascending id (null ids last), then text hash, then place. Single-line chunks and
-    chunks of spaces stay. Null and empty texts stay as the empty text, with one line. Rows that share id and text count as
-    one document and get the same result. Columns of docs with a result's name are replaced.
+    The first occurrence of a chunk stays, by ascending id (null ids last), then text hash, then place. Single lines of fewer
+    than long_words words and chunks of white space stay. Null and empty texts stay as the empty text, with one line. Rows that
+    share id and text count as one document and get the same result. Columns of docs with a result's name are replaced, all
+    others stay whatever their name; an empty table gives no rows.
     """
     results = ["n_lines", "n_chunks", "removed_chunks", "removed_lines"]
-    own = [c for c in docs.columns if c not in results]
-    gone = repeats(docs, modulus=modulus, id_col=id_col, text_col=text_col)
-    gone = gone.distinct().groupBy("doc_id", "t").agg(F.collect_list("k").alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("t").alias("_tt"), "_gone")
+    names = [c for c in docs.columns if c not in results]
+    own = [f"own{k}" for k in range(len(names))]
+    gone = repeats(docs, modulus=modulus, long_words=long_words, id_col=id_col, text_col=text_col)
+    gone = gone.distinct().groupBy("doc_id", "t").agg(F.collect_list("k").alias("_gone")).select(F.col("doc_id").alias("_of"), F.col("t").alias("_tt"), "_gone")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(*own, F.xxhash64(text).alias("_t"))
-    joined = rows.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_tt")), "left").drop("_id", "_t", "_tt")
-    joined = joined.withColumn("_lines", F.split(text, "\n")).withColumn("_ends", chunk_ends(F.col("_lines"), modulus))
+    rows = docs.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)], F.xxhash64(text).alias("_t"), F.col(id_col).cast("long").alias("_id"))
+    joined = rows.join(gone, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_t") == F.col("_tt")), "left")
+    text = F.coalesce(F.col(own[names.index(text_col)]), F.lit(""))
+    joined = joined.withColumn("_lines", F.split(text, "\n")).withColumn("_ends", chunk_ends(F.col("_lines"), modulus, long_words))
     end = lambda k: F.coalesce(F.get("_ends", k), F.lit(0))
     piece = lambda k: F.slice(F.col("_lines"), end(k - 1) + 1, end(k) - end(k - 1))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_ends") - 1), F.col("_gone"))
     left = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.flatten(F.transform(stay, piece)))
     joined = joined.withColumn("_left", left)
     return joined.select(
-        *[F.array_join("_left", "\n").alias(c) if c == text_col else F.col(c) for c in own],
+        *[F.array_join("_left", "\n").alias(c) if c == text_col else F.col(o).alias(c) for c, o in zip(names, own, strict=True)],
         F.size("_lines").cast("long").alias("n_lines"),
         F.size("_ends").cast("long").alias("n_chunks"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed_chunks"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: White space as the contract has it, and the characters that count as symbols.
 SPACE = "\t\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -45,23 +47,32 @@ def line_hash(words: Column) -> Column:
     return F.xxhash64(F.lower(F.array_join(words, " ")))
 
 
-def frequent_lines(docs: DataFrame, *, min_docs: int, max_share: float, host_col: str, text_col: str) -> DataFrame:
-    """host, frequent: for each host the hashes of normalised lines in more than min_docs and more than max_share of its documents.
+def frequent_lines(docs: DataFrame, *, min_docs: int, root_factor: float, host_col: str, text_col: str) -> DataFrame:
+    """host, line: hashes of normalised lines in more than min_docs and more than root_factor * sqrt(n) of the n documents of the host.
 
-    Equal texts of a host count as one document. A line in more than a share s of a host's documents occurs s times their
-    number at least, so a host has at most (lines per document) / s such lines: the arrays stay short.
+    Equal texts of a host count as one document. The limit grows far slower than the host, so a large one doesn't hide what many
+    of its documents share.
     """
     lines = with_lines(docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(text_col).alias("text")), "text")
     hashes = F.array_distinct(F.transform(F.filter("_line_words", lambda ws: F.size(ws) > 0), line_hash))
     texts = lines.select("host", F.xxhash64("text").alias("t"), F.xxhash64(F.reverse("text")).alias("u"), hashes.alias("hashes")).dropDuplicates(["host", "t", "u"])
     in_host = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     counts = texts.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
-    return (
-        counts.join(in_host, "host")
-        .where(F.col("n") > F.lit(max_share) * F.col("n_host"))
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_list("line")).alias("frequent"))
-    )
+    return counts.join(in_host, "host").where(F.col("n") > F.lit(root_factor) * F.sqrt("n_host")).select("host", "line")
+
+
+def with_frequent(rows: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
+    """rows with _frequent: the frequent lines of _host, or null.
+
+    Up to `most` lines (16 bytes each) are counted and broadcast, and no row moves. More are joined with the rows dealt by host
+    and one of 64 salts, so that a large host is many tasks.
+    """
+    by_host = frequent.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("_frequent")).withColumnRenamed("host", "_host")
+    if frequent.count() <= most:
+        return rows.join(F.broadcast(by_host), "_host", "left")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<long>"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(64)))
+    return salted.join(by_host.withColumn("_salt", salts), ["_host", "_salt"], "left").drop("_salt")
 
 
 def quality(
@@ -71,35 +82,41 @@ def quality(
     max_repeat_pct: int = 30,
     window: int = 8,
     min_docs: int = 10,
-    max_share: float = 0.10,
+    root_factor: float = 1.0,
     max_lost_share: float = 0.70,
+    broadcast_lines: int = 1_000_000,
     host_col: str = "source",
     text_col: str = "text",
 ) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_frequent_lines, lost_words, left_text, kept.
 
-    A line is frequent if more than min_docs documents of its host and more than max_share of them have it (normalised; equal
-    texts count once). left_text is the text without frequent lines. A document is depleted, and not kept, if frequent lines
-    hold more than max_lost_share of its words; also if it has under min_words words, or repeated windows of `window` words
-    hold more than max_repeat_pct percent of them (base_failed). Windows and lines are compared by 64-bit hashes.
+    A line is frequent if more than min_docs documents of its host, and more than root_factor times the square root of their
+    number, have it (normalised; equal texts count once, so that exact copies don't look like boilerplate). left_text is the text
+    without frequent lines. A document is depleted, and not kept, if frequent lines hold more than max_lost_share of its words;
+    also if it has under min_words words, or repeated windows of `window` words hold more than max_repeat_pct percent of them
+    (base_failed). Windows and lines are compared by 64-bit hashes.
 
     Null and empty texts have no words and fail; their left_text is empty. A null host is the host "". Repeated rows each get
-    the same result. Columns of docs that have a result's name are replaced. Hosts meet their frequent lines in a join that
-    Spark broadcasts where their measured size allows, and else splits where a host is large.
+    the same result. Columns of docs that have a result's name are replaced, all others stay whatever their name. Frequent lines
+    are written once to the shared folder; up to broadcast_lines of them are broadcast (see with_frequent).
     """
     n = F.col("n_words").cast("int")
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_lines", "lost_words", "left_text", "kept"]
-    own = [c for c in docs.columns if c not in results]
-    rows = with_lines(docs.select(*own, F.coalesce(F.col(host_col), F.lit("")).alias("_host")), text_col)
+    names = [c for c in docs.columns if c not in results]
+    own = [f"own{k}" for k in range(len(names))]
+    text = F.col("_text")
+    renamed = [F.col(f"`{c}`").alias(o) for c, o in zip(names, own, strict=True)]
+    rows = docs.select(*renamed, F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = with_lines(rows, "_text")
     rows = rows.withColumn("_words", F.flatten("_line_words")).withColumn("n_words", F.size("_words").cast("long"))
     rows = rows.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     places = F.when(n >= window, F.sequence(F.lit(1), n - (window - 1))).otherwise(F.array().cast("array<int>"))
     rows = rows.withColumn("_windows", let(F.col("_hashes"), lambda hs: F.transform(places, lambda i: F.xxhash64(F.slice(hs, i, window)))))
-    text = F.coalesce(F.col(text_col), F.lit(""))
     with_word = F.filter("_lines", lambda line, i: F.size(F.get("_line_words", i)) > 0)
     counted = rows.select(
         *own,
         "_host",
+        "_text",
         "_lines",
         F.transform("_line_words", lambda ws: F.struct(F.when(F.size(ws) > 0, line_hash(ws)).alias("h"), F.size(ws).alias("n"))).alias("_of_lines"),
         "n_words",
@@ -109,13 +126,13 @@ def quality(
         repeated_words(F.col("_windows"), window).cast("long").alias("n_repeat_words"),
     ).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
 
-    frequent = frequent_lines(docs, min_docs=min_docs, max_share=max_share, host_col=host_col, text_col=text_col).withColumnRenamed("host", "_host").withColumnRenamed("frequent", "_frequent")
-    joined = counted.join(frequent, "_host", "left")
+    frequent = stored(frequent_lines(docs, min_docs=min_docs, root_factor=root_factor, host_col=host_col, text_col=text_col), "frequent-lines")
+    joined = with_frequent(counted, frequent, broadcast_lines)
     is_frequent = lambda e: F.coalesce(F.array_contains(F.col("_frequent"), e["h"]), F.lit(False))
     hit = F.filter("_of_lines", is_frequent)
     left = F.array_join(F.filter("_lines", lambda line, i: ~is_frequent(F.get("_of_lines", i))), "\n")
     return joined.select(
-        *own,
+        *[F.col(o).alias(c) for c, o in zip(names, own, strict=True)],
         *results[:6],
         F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(F.size(hit)).cast("long").alias("n_frequent_lines"),
         F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(F.aggregate(hit, F.lit(0), lambda acc, e: acc + e["n"])).cast("long").alias("lost_words"),

@@ -87,16 +87,16 @@ ORACLE: dict[str, str] = {
           SELECT doc_id, text, i, lines[i] AS line, len(lines) AS n_lines
           FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d) s, unnest(range(1, len(lines) + 1)) u(i)
         ), h AS (
-          SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS number FROM l
+          SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS number, length(line) - length(replace(line, ' ', '')) >= 39 AS long FROM l
         ), b AS (
-          SELECT *, (number + 31 * coalesce(lag(number, 1) OVER w, 0) + 961 * coalesce(lag(number, 2) OVER w, 0)) % 4 = 0 OR i = n_lines AS last
+          SELECT *, (number + 31 * coalesce(lag(number, 1) OVER w, 0) + 961 * coalesce(lag(number, 2) OVER w, 0)) % 4 = 0 OR i = n_lines OR long OR coalesce(lead(long) OVER w, false) AS last
           FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)
         ), k AS (
           SELECT *, coalesce(sum(CAST(last AS INT)) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b
         ), c AS (
-          SELECT doc_id, text, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k GROUP BY ALL
+          SELECT doc_id, text, k, count(*) AS n, count(*) > 1 OR bool_or(long) AS passage, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k GROUP BY ALL
         ), r AS (
-          SELECT *, n > 1 AND trim(chunk) <> '' AND row_number() OVER (PARTITION BY n > 1, chunk ORDER BY doc_id, k) > 1 AS gone FROM c
+          SELECT *, passage AND regexp_matches(chunk, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY passage, chunk ORDER BY doc_id, k) > 1 AS gone FROM c
         )
         SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS removed_chunks,
                CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines,
@@ -120,7 +120,7 @@ ORACLE: dict[str, str] = {
           SELECT source, count(*) AS n_host FROM t GROUP BY source
         ), frequent AS (
           SELECT source, norm FROM (SELECT source, lower(norm) AS norm, count(DISTINCT r) AS n FROM l WHERE r IN (SELECT r FROM t) GROUP BY ALL)
-          JOIN hosts USING (source) WHERE n > 10 AND n > 0.1 * n_host
+          JOIN hosts USING (source) WHERE n > 10 AND n > sqrt(n_host)
         ), lost AS (
           SELECT r, count(*) AS n_frequent_lines, CAST(sum(n) AS BIGINT) AS lost_words
           FROM l WHERE (source, lower(norm)) IN (SELECT (source, norm) FROM frequent) GROUP BY r

@@ -21,7 +21,7 @@ def texts():
     rnd = random.Random(8)
     w = [f"w{k}" for k in range(60)]
     line = lambda: " ".join(rnd.choice(w) for _ in range(rnd.randint(0, 12)))
-    shared = [[line() for _ in range(12)] for _ in range(4)]
+    shared = [[line() for _ in range(12)] for _ in range(4)] + [["", "", "\t"]] * 2 + [[" ".join(f"p{k}x{j}" for j in range(55))] for k in range(2)]
     out = []
     for _ in range(60):
         lines = [line() for _ in range(rnd.randint(1, 8))]
@@ -46,7 +46,8 @@ def plain_chunks(text):
     lines = (text or "").split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     at = lambda k: h[k] if k >= 0 else 0
-    ends = [k for k in range(len(h)) if (at(k) + 31 * at(k - 1) + 961 * at(k - 2)) % 4 == 0 or k == len(h) - 1]
+    long = [x.count(" ") >= 39 for x in lines] + [False]
+    ends = [k for k in range(len(h)) if (at(k) + 31 * at(k - 1) + 961 * at(k - 2)) % 4 == 0 or long[k] or long[k + 1] or k == len(h) - 1]
     return [lines[a + 1 : b + 1] for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
 
 
@@ -58,9 +59,10 @@ def test_line_dedup_like_a_plain_version(docs, rows):
         kept = []
         for chunk in plain_chunks(t):
             key = "\n".join(chunk)
-            if len(chunk) > 1 and key.strip(" ") and key in seen:
+            passage = (len(chunk) > 1 or key.count(" ") >= 39) and words(key)
+            if passage and key in seen:
                 continue
-            if len(chunk) > 1:
+            if passage:
                 seen.add(key)
             kept.append(key)
         left[i, t] = "\n".join(kept)
@@ -83,7 +85,7 @@ def plain_quality(rows, min_docs, share, lost):
         for t in ts:
             for n in {norm(x) for x in t.split("\n") if words(x)}:
                 counts[n] = counts.get(n, 0) + 1
-        frequent[host] = {n for n, c in counts.items() if c > min_docs and c > share * len(ts)}
+        frequent[host] = {n for n, c in counts.items() if c > min_docs and c > share * len(ts) ** 0.5}
     out = []
     for i, t in rows:
         t = t or ""
@@ -102,13 +104,42 @@ def plain_quality(rows, min_docs, share, lost):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("min_docs", "share", "lost"), [(10, 0.1, 0.7), (2, 0.05, 0.3)])
+@pytest.mark.parametrize(("min_docs", "share", "lost"), [(10, 1.0, 0.7), (2, 0.5, 0.3)])
 def test_quality_like_a_plain_version(docs, rows, min_docs, share, lost):
-    got = quality(docs, min_docs=min_docs, max_share=share, max_lost_share=lost)
+    got = quality(docs, min_docs=min_docs, root_factor=share, max_lost_share=lost)
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_lines", "lost_words", "kept"]
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == plain_quality(rows, min_docs, share, lost)
 
 
+def test_frequent_lines_that_are_not_broadcast(docs, rows):
+    got = quality(docs, min_docs=2, root_factor=0.5, broadcast_lines=0).select("doc_id", "n_words", "lost_words", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((r[0], r[1], r[8], r[9]) for r in plain_quality(rows, 2, 0.5, 0.7)), key=str)
+
+
+def test_passages_of_a_few_lines_of_over_50_words_go(spark):
+    """A passage in long lines goes whole wherever it stands; short lines that repeat stay."""
+    rnd = random.Random(3)
+    line = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    passages = [[line(51)], [line(60), line(45)], [line(41) for _ in range(4)]]
+    rows, own = [], {}
+    for i in range(30):
+        lines = [line(rnd.randint(3, 70)) for _ in range(rnd.randint(1, 5))] + ["short line"]
+        at = rnd.randint(0, len(lines))
+        own[i] = lines
+        rows.append((i, "\n".join(lines[:at] + passages[i % 3] + lines[at:])))
+    got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert all(got[i] == rows[i][1] for i in range(3))
+    assert all(got[i] == "\n".join(own[i]) for i in range(3, 30))
+
+
+def test_columns_with_clashing_names(spark):
+    names = ["_host", "_lines", "_t", "_id", "_gone", "_ends", "_words", "own0", "own1", "line", "host", "a.b"]
+    rows = [(i, f"some words here {i}\nand\nmore", "s", *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    for got in (quality(docs), line_dedup(docs)):
+        assert {(r["doc_id"], *[r[n] for n in names]) for r in got.collect()} == {(r[0], *r[3:]) for r in rows}
+
+
 def test_no_python_in_the_plans(docs):
     for df in (quality(docs), line_dedup(docs)):
         assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().executedPlan().toString())
