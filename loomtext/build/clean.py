@@ -23,10 +23,12 @@ def first_of_each(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return best.select(*keys, *[F.col("_best").getField(c).alias(c) for c in others]).select(*df.columns)
 
 
-def clean(rows: DataFrame, text_columns: Sequence[str], *, index: str, version: str = "v", date_column: str | None = None, dedup: bool = True) -> DataFrame:
-    """The cleaned table: ids <version>:row:<index>, raw and cleaned text, created_at, the row as JSON, further columns as they are.
+def clean(rows: DataFrame, text_columns: Sequence[str], *, index: str, version: str = "v", date_column: str | None = None, dedup: bool = True, typed: bool = True) -> DataFrame:
+    """The cleaned table: ids <version>:row:<index>, raw and cleaned text, created_at, the row as JSON, further columns.
 
     `index` is the source's row order. Rows whose cleaned text is empty go. With dedup the first row of each cleaned text stays.
+    If typed, further columns of text become integers, floats or timestamps where their values in all rows are (see infer_types,
+    which is one aggregate with a row a column), and blanks in them null; else they stay as they are.
     """
     raw = tx.join_text([F.col(f"`{c}`").cast("string") for c in text_columns])
     row_id = F.concat(F.lit(f"{version}:row:"), F.col(index).cast("string"))
@@ -34,6 +36,9 @@ def clean(rows: DataFrame, text_columns: Sequence[str], *, index: str, version:
     used = {*text_columns, index, date_column}
     more = [c for c in rows.columns if c not in used]
     names = vx.column_aliases(more)
+    texts = [f.name for f in rows.schema.fields if f.name in more and f.dataType.simpleString() == "string"]
+    types = {r["column"]: r["type"] for r in vx.infer_types(rows, texts).collect()} if typed and texts else {}
+    further = lambda c: vx.coerce(F.col(f"`{c}`"), types[c]) if c in types else F.col(f"`{c}`")
     out = rows.select(
         row_id.alias("row_id"),
         row_id.alias("doc_id"),
@@ -44,7 +49,7 @@ def clean(rows: DataFrame, text_columns: Sequence[str], *, index: str, version:
         F.lit("ok").alias("clean_status"),
         F.lit(None).cast("string").alias("clean_reason"),
         F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("source_json"),
-        *[F.col(f"`{c}`").alias(n) for c, n in zip(more, names, strict=True)],
+        *[further(c).alias(n) for c, n in zip(more, names, strict=True)],
     ).where("cleaned_text <> ''")
     return first_of_each(out, ["cleaned_text"], ["source_row_index"]).select(*out.columns) if dedup else out
 

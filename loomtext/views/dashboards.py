@@ -74,20 +74,19 @@ def keyword_totals(keywords: DataFrame) -> DataFrame:
     )
 
 
-def best(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """key, <name>, <name>_n: each key's most frequent value; ties by value, null last."""
-    n = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))
+def best(df: DataFrame, key: str, value: str, name: str, times: str | None = None) -> DataFrame:
+    """key, <name>, <name>_n: each key's most frequent value (rows, or the sum of `times`); ties by value, null last."""
+    n = df.groupBy(key, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
     first = F.min_by(F.struct(F.col(value), F.col("n")), F.struct((-F.col("n")).alias("o"), F.col(value).isNull().alias("z"), F.col(value).alias("v")))
     return n.groupBy(key).agg(first.alias("b")).select(key, F.col("b").getField(value).alias(name), F.col("b.n").alias(f"{name}_n"))
 
 
 def keyword_table(keywords: DataFrame) -> DataFrame:
     """Per keyword: count, document_count, dominant_sentiment and its ratio, top_aspect, representative_clause (longest, then first)."""
-    rows = keywords.where("keyword is not null")
     longest = F.min_by("clause", F.struct((-F.length("clause")).alias("o"), F.col("clause").alias("c")))
-    base = rows.groupBy("keyword").agg(F.count(F.lit(1)).alias("count"), F.countDistinct("doc_id").alias("document_count"))
-    whole = rows.groupBy("keyword").agg(longest.alias("representative_clause"))
-    joined = base.join(best(rows, "keyword", "sentiment", "dominant_sentiment"), "keyword").join(best(rows, "keyword", "aspect", "top_aspect"), "keyword").join(whole, "keyword")
+    rows = keywords.where("keyword is not null").groupBy("keyword", "doc_id", "sentiment", "aspect").agg(F.count(F.lit(1)).alias("n"), longest.alias("clause"))
+    base = rows.groupBy("keyword").agg(F.sum("n").alias("count"), F.countDistinct("doc_id").alias("document_count"), longest.alias("representative_clause"))
+    joined = base.join(best(rows, "keyword", "sentiment", "dominant_sentiment", "n"), "keyword").join(best(rows, "keyword", "aspect", "top_aspect", "n"), "keyword")
     ratio = F.round(F.col("dominant_sentiment_n").cast("double") / F.col("count"), 4)
     return joined.select("keyword", "count", "document_count", "dominant_sentiment", ratio.alias("dominant_sentiment_ratio"), "top_aspect", "representative_clause")
 
@@ -102,8 +101,9 @@ def word_cloud(keywords: DataFrame, n: int = 30) -> DataFrame:
     rows = keywords.where(F.col("sentiment").isin("positive", "negative") & F.col("keyword").isNotNull())
     found = rows.groupBy("aspect", "sentiment", "keyword").agg(F.count(F.lit(1)).alias("count"))
     group = Window.partitionBy("aspect", "sentiment")
-    ranked = found.withColumns({"rank": F.row_number().over(group.orderBy(F.desc("count"), "keyword")), "most": F.max("count").over(group)})
-    return ranked.where(F.col("rank") <= n).select("aspect", "sentiment", "keyword", "count", F.round(F.col("count").cast("double") / F.col("most"), 4).alias("weight"))
+    ranked = found.withColumn("rank", F.row_number().over(group.orderBy(F.desc("count"), "keyword"))).where(F.col("rank") <= n)
+    ranked = ranked.withColumn("most", F.max("count").over(group))  # of the rows that are left: rank 1 is among them
+    return ranked.select("aspect", "sentiment", "keyword", "count", F.round(F.col("count").cast("double") / F.col("most"), 4).alias("weight"))
 
 
 def keywords_by_clause(keywords: DataFrame, *, query: str = "") -> DataFrame:

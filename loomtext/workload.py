@@ -388,7 +388,19 @@ register("json_extract", """SELECT event_id, json_extract_string(props, '$."k"')
 register("source_url", "SELECT page_id, CASE WHEN regexp_matches(trim(url), '^https?://[^ \t\r\n]*$') THEN trim(url) ELSE '' END AS found FROM pages")(
     lambda s, d: table(s, d, "pages").select("page_id", vx.source_url(F.to_json(F.struct(F.lit("no link").alias("a"), F.col("url").alias("b")))).alias("found"))
 )
-register("infer_types", "SELECT * FROM (VALUES ('o_orderkey', 'integer'), ('o_totalprice', 'float'), ('o_orderdate', 'timestamp'), ('o_orderstatus', 'string')) v(\"column\", type)")(
+register(
+    "infer_types",
+    """WITH v AS (
+         SELECT unnest(['o_orderkey', 'o_totalprice', 'o_orderdate', 'o_orderstatus']) AS "column",
+                trim(unnest([CAST(o_orderkey AS VARCHAR), CAST(o_totalprice AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderstatus])) AS v
+         FROM orders
+       ), n AS (
+         SELECT "column", count(*) FILTER (WHERE v <> '') AS filled, count(*) FILTER (WHERE regexp_matches(v, '^[0-9]{4}-') AND try_cast(v AS TIMESTAMP) IS NOT NULL) AS times,
+                count(*) FILTER (WHERE regexp_full_match(v, '[+-]?[0-9]+')) AS wholes, count(*) FILTER (WHERE v <> '' AND try_cast(v AS DOUBLE) IS NOT NULL) AS reals
+         FROM v GROUP BY "column"
+       )
+       SELECT "column", CASE WHEN filled = 0 THEN 'string' WHEN times >= 0.9 * filled THEN 'timestamp' WHEN wholes = filled THEN 'integer' WHEN reals = filled THEN 'float' ELSE 'string' END AS type FROM n""",
+)(
     lambda s, d: vx.infer_types(table(s, d, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus"), order_by=["o_orderkey"])
 )
 register("coerce_values", "SELECT event_id, event_id AS whole, value AS real FROM events")(
@@ -551,7 +563,11 @@ register(
 # Reports (RPT).
 
 register("channel_genuine", f"WITH {DOCS}, {LABELS} SELECT source AS channel, count(*) AS n FROM docs JOIN label_rows USING (doc_id) WHERE genuineness = 'genuine_review' GROUP BY 1")(lambda s, d: reports.channel_genuine(docs(s, d), labels(s, d), "source"))
-register("best_filled_key", "SELECT 'k' AS key")(lambda s, d: reports.best_filled(table(s, d, "events"), "props", ["nothing", "k", "also nothing"]))
+register(
+    "best_filled_key",
+    """SELECT key FROM (SELECT unnest(['nothing', 'k', 'also nothing']) AS key, unnest([1, 2, 3]) AS place, props FROM events)
+       GROUP BY key, place ORDER BY count(*) FILTER (WHERE trim(json_extract_string(props, '$."' || key || '"')) <> '') DESC, place LIMIT 1""",
+)(lambda s, d: reports.best_filled(table(s, d, "events"), "props", ["nothing", "k", "also nothing"]))
 register("field_values", """SELECT DISTINCT trim(json_extract_string(props, '$."k"')) AS value FROM events WHERE trim(json_extract_string(props, '$."k"')) <> ''""")(lambda s, d: reports.field_values(table(s, d, "events"), "props", "k"))
 register("data_period", "SELECT min(CAST(o_orderdate AS DATE)) AS first_day, max(CAST(o_orderdate AS DATE)) AS last_day, CAST(min(CAST(o_orderdate AS DATE)) AS VARCHAR) || ' ~ ' || CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS period FROM orders")(
     lambda s, d: reports.data_period(table(s, d, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd")), "day")

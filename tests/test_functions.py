@@ -95,7 +95,7 @@ def test_clean_keeps_the_first_of_equal_texts(spark):
     rows = spark.createDataFrame([(2, "A  b", "2025-01-01", "7"), (1, "A b<br>", "2025/01/02", "8"), (3, " ", None, None), (4, "c", "bad", "9")], "place long, body string, day string, `점수` string")
     got = {r.source_row_index: r for r in build.clean(rows, ["body"], index="place", version="v9", date_column="day").collect()}
     assert set(got) == {1, 4}
-    assert (got[1].doc_id, got[1].cleaned_text, got[1].created_at, got[1].col_0) == ("v9:row:1", "A b", "2025-01-02T00:00:00Z", "8")
+    assert (got[1].doc_id, got[1].cleaned_text, got[1].created_at, got[1].col_0) == ("v9:row:1", "A b", "2025-01-02T00:00:00Z", 8)
     assert '"점수":"8"' in got[1].source_json and got[4].created_at is None
     s = build.clean_summary(rows, ["body"], index="place").first()
     assert (s.input_rows, s.kept_rows, s.dropped_rows, s.deduped_rows) == (4, 2, 1, 1)
@@ -154,3 +154,13 @@ def test_types_are_those_of_all_rows_unless_a_sample_is_asked_for(spark):
     df = spark.range(400).selectExpr("id", "if(id = 300, 'none', cast(id as string)) n")
     assert [r.type for r in vx.infer_types(df, ["n"], ["id"]).collect()] == ["string"]
     assert [r.type for r in vx.infer_types(df, ["n"], ["id"], sample=200).collect()] == ["integer"]
+
+
+def test_clean_types_further_columns(spark):
+    rows = [(i, f"text {i}", f"{i},000", f"{i}.5", "2025-01-02 03:04:05", " " if i == 2 else f"s{i}", i) for i in range(1, 5)]
+    docs = spark.createDataFrame(rows, "place long, body string, `N Items` string, price string, day string, name string, own int")
+    got = build.clean(docs, ["body"], index="place")
+    assert dict(got.dtypes)["n_items"] == "bigint" and dict(got.dtypes)["price"] == "double" and dict(got.dtypes)["own"] == "int"
+    r = {r.source_row_index: r for r in got.collect()}
+    assert (r[3].n_items, r[3].price, r[3].name, r[3].own) == (3000, 3.5, "s3", 3) and r[2].name is None
+    assert dict(build.clean(docs, ["body"], index="place", typed=False).dtypes)["n_items"] == "string"
