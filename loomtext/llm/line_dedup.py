@@ -11,13 +11,14 @@ from .quality import let
 ROLL, MODULUS = 31, 4
 #: Words from which a line is a chunk of its own, as long as several lines.
 LONG_WORDS = 40
-#: A character outside 0x20 and 0x09 to 0x0D.
-NO_SPACE = r"[^\x20\x09-\x0D]"
+#: White space: 0x20 and 0x09 to 0x0D.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def is_long(line: Column, long_words: int) -> Column:
-    """A line of at least long_words words, as its spaces tell."""
-    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= long_words - 1
+    """A line of at least long_words words, as its length and its spaces tell."""
+    enough = F.length(line) >= 2 * long_words - 1
+    return enough & (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) >= long_words - 1)
 
 
 def chunk_ends(lines: Column, modulus: int, long_words: int) -> Column:
@@ -60,7 +61,7 @@ def repeats(docs: DataFrame, *, modulus: int = MODULUS, long_words: int = LONG_W
     """
     rows = chunked(docs, modulus=modulus, long_words=long_words, id_col=id_col, text_col=text_col)
     many = F.filter("chunks", lambda c: (c["n"] > 1) | is_long(F.get("lines", c["first"] - 1), long_words))
-    about = lambda c, x: F.struct(c["k"].alias("k"), c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(x).alias("h"), F.length(x).alias("size"), x.rlike(NO_SPACE).alias("any"))
+    about = lambda c, x: F.struct(c["k"].alias("k"), c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(x).alias("h"), F.length(x).alias("size"), (F.btrim(x, F.lit(SPACES)) != "").alias("any"))
     hashed = F.transform(many, lambda c: let(chunk_text(F.col("lines"), c["first"], c["n"]), lambda x: about(c, x)))
     places = rows.select("doc_id", "t", F.explode(F.filter(hashed, lambda c: c["any"])).alias("c")).select("doc_id", "t", "c.k", "c.first", "c.n", "c.h", "c.size")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "k")

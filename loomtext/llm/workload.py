@@ -87,7 +87,7 @@ ORACLE: dict[str, str] = {
           SELECT doc_id, text, i, lines[i] AS line, len(lines) AS n_lines
           FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d) s, unnest(range(1, len(lines) + 1)) u(i)
         ), h AS (
-          SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS number, length(line) - length(replace(line, ' ', '')) >= 39 AS long FROM l
+          SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS number, length(line) >= 79 AND length(line) - length(replace(line, ' ', '')) >= 39 AS long FROM l
         ), b AS (
           SELECT *, (number + 31 * coalesce(lag(number, 1) OVER w, 0) + 961 * coalesce(lag(number, 2) OVER w, 0)) % 4 = 0 OR i = n_lines OR long OR coalesce(lead(long) OVER w, false) AS last
           FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)

@@ -46,7 +46,7 @@ def plain_chunks(text):
     lines = (text or "").split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     at = lambda k: h[k] if k >= 0 else 0
-    long = [x.count(" ") >= 39 for x in lines] + [False]
+    long = [len(x) >= 79 and x.count(" ") >= 39 for x in lines] + [False]
     ends = [k for k in range(len(h)) if (at(k) + 31 * at(k - 1) + 961 * at(k - 2)) % 4 == 0 or long[k] or long[k + 1] or k == len(h) - 1]
     return [lines[a + 1 : b + 1] for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
 
@@ -59,7 +59,7 @@ def test_line_dedup_like_a_plain_version(docs, rows):
         kept = []
         for chunk in plain_chunks(t):
             key = "\n".join(chunk)
-            passage = (len(chunk) > 1 or key.count(" ") >= 39) and words(key)
+            passage = (len(chunk) > 1 or (len(key) >= 79 and key.count(" ") >= 39)) and words(key)
             if passage and key in seen:
                 continue
             if passage:
