@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality import let
+from .shared import discard, stored
 
 #: The multiplier of the rolling hash over the last three line hashes, and the chunk boundary's modulus.
 ROLL, MODULUS = 31, 4
@@ -57,21 +58,26 @@ def repeats(docs: DataFrame, *, modulus: int = MODULUS, long_words: int = LONG_W
 
     Hashes find the chunks that occur twice; only their texts are shuffled, and a chunk is removed only if all texts under its
     hash are the same bytes. Counts, firsts and byte comparisons are combined in tasks before the shuffle, so a chunk that a
-    third of all documents has costs a row a task.
+    third of all documents has costs a row a task. Texts are hashed once: places, repeated hashes and equal ones are tables in
+    the shared folder, so that each join has plain sides, of which Spark broadcasts a small one and splits a hot key of the other.
     """
     rows = chunked(docs, modulus=modulus, long_words=long_words, id_col=id_col, text_col=text_col)
     many = F.filter("chunks", lambda c: (c["n"] > 1) | is_long(F.get("lines", c["first"] - 1), long_words))
     about = lambda c, x: F.struct(c["k"].alias("k"), c["first"].alias("first"), c["n"].alias("n"), F.xxhash64(x).alias("h"), F.length(x).alias("size"), (F.btrim(x, F.lit(SPACES)) != "").alias("any"))
     hashed = F.transform(many, lambda c: let(chunk_text(F.col("lines"), c["first"], c["n"]), lambda x: about(c, x)))
     places = rows.select("doc_id", "t", F.explode(F.filter(hashed, lambda c: c["any"])).alias("c")).select("doc_id", "t", "c.k", "c.first", "c.n", "c.h", "c.size")
+    places = stored(places, "places")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "k")
     twice = places.groupBy("h", "size").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("kept")).where("times > 1")
-    found = places.join(twice.select("h", "size", "kept"), ["h", "size"])
+    twice = stored(twice.select("h", "size", "kept"), "twice")
+    found = stored(places.join(twice, ["h", "size"]), "found")
+    discard(places, twice)
     wanted = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("first", "n", "h", "size")).alias("wanted"))
     same_doc = (F.col("r.doc_id").eqNullSafe(F.col("w.doc_id"))) & (F.col("r.t") == F.col("w.t"))
     texts = rows.alias("r").join(wanted.alias("w"), same_doc).select("r.lines", F.explode("w.wanted").alias("c"))
     texts = texts.select("c.h", "c.size", chunk_text(F.col("lines"), F.col("c.first"), F.col("c.n")).alias("x"))
     equal = texts.groupBy("h", "size").agg(F.min("x").alias("least"), F.max("x").alias("most")).where("least = most").select("h", "size")
+    equal = stored(equal, "equal")
     return found.join(equal, ["h", "size"]).where(~place.eqNullSafe(F.col("kept"))).select("doc_id", "t", "k")
 
 
