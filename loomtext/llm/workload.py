@@ -87,16 +87,21 @@ ORACLE: dict[str, str] = {
           SELECT doc_id, text, i, lines[i] AS line, len(lines) AS n_lines
           FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d) s, unnest(range(1, len(lines) + 1)) u(i)
         ), h AS (
-          SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS number, length(line) >= 79 AND length(line) - length(replace(line, ' ', '')) >= 39 AS long FROM l
+          SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS number, length(line) >= 19 AND length(line) - length(replace(line, ' ', '')) >= 9 AS long FROM l
         ), b AS (
           SELECT *, (number + 31 * coalesce(lag(number, 1) OVER w, 0) + 961 * coalesce(lag(number, 2) OVER w, 0)) % 4 = 0 OR i = n_lines OR long OR coalesce(lead(long) OVER w, false) AS last
           FROM h WINDOW w AS (PARTITION BY doc_id, text ORDER BY i)
         ), k AS (
           SELECT *, coalesce(sum(CAST(last AS INT)) OVER (PARTITION BY doc_id, text ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM b
         ), c AS (
-          SELECT doc_id, text, k, count(*) AS n, count(*) > 1 OR bool_or(long) AS passage, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k GROUP BY ALL
+          SELECT doc_id, text, k, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS chunk FROM k GROUP BY ALL
+        ), a AS (
+          SELECT *, length(chunk) - length(translate(chunk, ' ' || chr(10), '')) + 1 AS words,
+                 regexp_matches(chunk, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS again FROM c
+        ), p AS (
+          SELECT *, k - row_number() OVER (PARTITION BY doc_id, text, again ORDER BY k) AS run FROM a
         ), r AS (
-          SELECT *, passage AND regexp_matches(chunk, '[^\x20\x09-\x0D]') AND row_number() OVER (PARTITION BY passage, chunk ORDER BY doc_id, k) > 1 AS gone FROM c
+          SELECT *, again AND (max(n) OVER w > 1 OR sum(words) OVER w >= 40) AS gone FROM p WINDOW w AS (PARTITION BY doc_id, text, again, run)
         )
         SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS removed_chunks,
                CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS removed_lines,

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from itertools import groupby
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ def plain_chunks(text):
     lines = (text or "").split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     at = lambda k: h[k] if k >= 0 else 0
-    long = [len(x) >= 79 and x.count(" ") >= 39 for x in lines] + [False]
+    long = [len(x) >= 19 and x.count(" ") >= 9 for x in lines] + [False]
     ends = [k for k in range(len(h)) if (at(k) + 31 * at(k - 1) + 961 * at(k - 2)) % 4 == 0 or long[k] or long[k + 1] or k == len(h) - 1]
     return [lines[a + 1 : b + 1] for a, b in zip([-1, *ends[:-1]], ends, strict=True)]
 
@@ -56,16 +57,18 @@ def test_line_dedup_like_a_plain_version(docs, rows):
     seen, left = set(), {}
     distinct = {(i, t or "") for i, t in rows}
     for i, t in sorted(distinct, key=lambda x: (x[0] is None, x[0] or 0, from_spark[x])):
-        kept = []
-        for chunk in plain_chunks(t):
-            key = "\n".join(chunk)
-            passage = (len(chunk) > 1 or (len(key) >= 79 and key.count(" ") >= 39)) and words(key)
-            if passage and key in seen:
-                continue
-            if passage:
-                seen.add(key)
-            kept.append(key)
-        left[i, t] = "\n".join(kept)
+        chunks = plain_chunks(t)
+        keys = ["\n".join(c) for c in chunks]
+        again = []
+        for key in keys:
+            again.append(bool(words(key)) and key in seen)
+            seen.add(key)
+        gone = set()
+        for old, run in groupby(range(len(keys)), lambda k: again[k]):
+            run = list(run)
+            if old and (any(len(chunks[k]) > 1 for k in run) or sum(len(re.split("[ \n]", keys[k])) for k in run) >= 40):
+                gone.update(run)
+        left[i, t] = "\n".join(key for k, key in enumerate(keys) if k not in gone)
     got = line_dedup(docs.withColumn("was", F.coalesce("text", F.lit("")))).collect()
     assert len(got) == len(rows)
     for r in got:
@@ -116,20 +119,21 @@ def test_frequent_lines_that_are_not_broadcast(docs, rows):
     assert sorted(map(tuple, got), key=str) == sorted(((r[0], r[1], r[8], r[9]) for r in plain_quality(rows, 2, 0.5, 0.7)), key=str)
 
 
-def test_passages_of_a_few_lines_of_over_50_words_go(spark):
-    """A passage in long lines goes whole wherever it stands; short lines that repeat stay."""
+def test_passages_of_over_50_words_go_and_short_lines_stay(spark):
+    """A passage goes whole wherever it stands, in one line or in eight; single lines that repeat stay."""
     rnd = random.Random(3)
     line = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
-    passages = [[line(51)], [line(60), line(45)], [line(41) for _ in range(4)]]
+    passages = [[line(n) for n in sizes] for sizes in ([51], [26, 25], [18, 17, 17], [41, 12], [13] * 4, [10] * 6, [30, 20, 10, 15, 11, 12, 10, 10])]
+    stays = [line(39), line(12), "short line"]
     rows, own = [], {}
-    for i in range(30):
-        lines = [line(rnd.randint(3, 70)) for _ in range(rnd.randint(1, 5))] + ["short line"]
-        at = rnd.randint(0, len(lines))
+    for i in range(len(passages) * 8):
+        lines = [stays[i % 3]] + [line(rnd.randint(3, 70)) for _ in range(rnd.randint(1, 5))]
+        at = rnd.randint(2, len(lines))
         own[i] = lines
-        rows.append((i, "\n".join(lines[:at] + passages[i % 3] + lines[at:])))
+        rows.append((i, "\n".join(lines[:at] + passages[i % len(passages)] + lines[at:])))
     got = {r.doc_id: r.text for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
-    assert all(got[i] == rows[i][1] for i in range(3))
-    assert all(got[i] == "\n".join(own[i]) for i in range(3, 30))
+    assert all(got[i] == rows[i][1] for i in range(len(passages)))
+    assert all(got[i] == "\n".join(own[i]) for i in range(len(passages), len(rows)))
 
 
 def test_columns_with_clashing_names(spark):
