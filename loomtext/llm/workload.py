@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, shared, suffix_tree, token_count, token_files
+from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, shared, spelling, suffix_tree, token_count, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -65,6 +65,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), table)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir), drop_one_in=199)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_line_dedup": op2_line_dedup,
@@ -76,9 +80,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
+#: crc_table (256 numbers by the rule of the polynomial), and the CRC-32 of a text's UTF-8 bytes as an expression over it.
+CRC_TABLE = "crc_table AS (SELECT list(t ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i) AS t FROM range(256) r(i)))"
+CRC = "xor(4294967295, list_reduce(list_transform(range(1, strlen({s}) + 1), lambda i: CAST('0x' || substr(hex({s}), 2 * i - 1, 2) AS BIGINT)), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295))"
+
 ORACLE: dict[str, str] = {
     "op2_line_dedup": r"""
         WITH d AS (
@@ -161,4 +170,35 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
     """,
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE {CRC_TABLE}, runs AS (
+          SELECT id, run, count(*) AS n
+          FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+                       unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents)
+          GROUP BY ALL
+        ), hashed AS (
+          SELECT run, n, {CRC.format(s="(id || ':' || run)")} AS h FROM runs, crc_table
+        ), words AS (
+          SELECT word, CAST(sum(n) AS BIGINT) AS n
+          FROM (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+        ), cut AS (
+          SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM words, unnest(range(1, length(word) + 1)) u(i)
+        ), near AS (
+          SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT word, rest FROM cut WHERE rest IN (SELECT word FROM words)
+          UNION SELECT rest, word FROM cut WHERE rest IN (SELECT word FROM words)
+        ), ranked AS (
+          SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS place
+          FROM near JOIN words o ON o.word = other
+        ), formed AS (
+          SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+          FROM words LEFT JOIN ranked ON ranked.word = words.word AND place = 1
+        ), steps AS (
+          SELECT word, word AS here FROM formed
+          UNION ALL SELECT steps.word, f.form FROM steps JOIN formed f ON f.word = steps.here WHERE f.form IS NOT NULL
+        )
+        SELECT formed.word, form, here AS root, n, n_near, form_n
+        FROM formed JOIN steps USING (word) WHERE here IN (SELECT word FROM formed WHERE form IS NULL)
+    """,
 }
