@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, shared, spelling, suffix_tree, token_count, token_files
+from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, resampling, shared, spelling, suffix_tree, token_count, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -69,6 +69,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir), drop_one_in=199)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_line_dedup": op2_line_dedup,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_resampling": op12_resampling,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -201,4 +206,30 @@ ORACLE: dict[str, str] = {
         SELECT formed.word, form, here AS root, n, n_near, form_n
         FROM formed JOIN steps USING (word) WHERE here IN (SELECT word FROM formed WHERE form IS NULL)
     """,
+    "op12_resampling": rf"""
+        WITH {CRC_TABLE}, texts AS (
+          SELECT row_number() OVER () AS r, doc_id AS id, text, true AS mine FROM documents UNION ALL SELECT row_number() OVER (), item_id, text, false FROM benchmark
+        ), lists AS (
+          SELECT r, id, mine, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS words FROM texts
+        ), runs AS (
+          SELECT r, id, mine, run, count(*) AS n
+          FROM (SELECT r, id, mine, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS run FROM lists) GROUP BY ALL
+        ), hashed AS (
+          SELECT run, {CRC.format(s="run")} % 10000 AS bucket FROM (SELECT DISTINCT run FROM runs), crc_table
+        ), totals AS (
+          SELECT bucket, coalesce(sum(n) FILTER (WHERE mine), 0) AS s, coalesce(sum(n) FILTER (WHERE NOT mine), 0) AS t FROM runs JOIN hashed USING (run) GROUP BY bucket
+        ), gains AS (
+          SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM totals
+        ), weights AS (
+          SELECT r, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS total FROM runs JOIN hashed USING (run) JOIN gains USING (bucket) WHERE mine GROUP BY r
+        ), scored AS (
+          SELECT id AS doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features,
+                 CASE WHEN n_features IS NULL THEN 0 ELSE (total - ((total % n_features) + n_features) % n_features) // n_features END AS weight,
+                 CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('7:' || coalesce(CAST(id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS noise
+          FROM lists LEFT JOIN weights USING (r) WHERE mine
+        ), ranked AS (
+          SELECT doc_id, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+        )
+        SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
+    """,
 }
