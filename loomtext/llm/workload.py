@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, line_dedup, near_dedup, packing, pii, quality, resampling, shared, spelling, suffix_tree, token_count, token_files
+from . import byte_bpe, exact_dedup, group_join, line_dedup, near_dedup, packing, pii, quality, resampling, shared, spelling, suffix_tree, token_count, token_files
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -73,6 +73,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.importance(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.similar_documents(documents(spark, sf_dir), width=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_line_dedup": op2_line_dedup,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_resampling": op12_resampling,
+    "op13_group_join": op13_group_join,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -232,4 +237,24 @@ ORACLE: dict[str, str] = {
         )
         SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + noise AS BIGINT) AS score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
     """,
+    "op13_group_join": r"""
+        WITH RECURSIVE lists AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words
+          FROM documents
+        ), shingles AS (
+          SELECT DISTINCT r, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS s
+          FROM lists
+        ), sizes AS (
+          SELECT r, count(*) AS n FROM shingles GROUP BY r
+        ), both AS (
+          SELECT a.r AS x, b.r AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY ALL
+        ), links AS (
+          SELECT x, y FROM both JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * both.n >= 80 * (p.n + q.n - both.n)
+        ), reach AS (
+          SELECT r, r AS z FROM lists UNION SELECT reach.r, y FROM reach JOIN links ON x = z
+        )
+        SELECT l.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(o.doc_id) AS component_id
+        FROM lists l JOIN reach ON reach.r = l.r JOIN lists o ON o.r = z LEFT JOIN sizes ON sizes.r = l.r GROUP BY l.r, l.doc_id
+    """,
 }
