@@ -247,10 +247,10 @@ ORACLE: dict[str, str] = {
           FROM lists
         ), sizes AS (
           SELECT r, count(*) AS n FROM shingles GROUP BY r
-        ), both AS (
+        ), common AS (
           SELECT a.r AS x, b.r AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.r <> b.r GROUP BY ALL
         ), links AS (
-          SELECT x, y FROM both JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * both.n >= 80 * (p.n + q.n - both.n)
+          SELECT x, y FROM common JOIN sizes p ON p.r = x JOIN sizes q ON q.r = y WHERE 100 * common.n >= 80 * (p.n + q.n - common.n)
         ), reach AS (
           SELECT r, r AS z FROM lists UNION SELECT reach.r, y FROM reach JOIN links ON x = z
         )
