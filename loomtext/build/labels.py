@@ -85,14 +85,15 @@ def settle_aspects(a: Column, b: Column) -> tuple[Column, Column]:
 def reconcile_sentences(pairs: DataFrame) -> DataFrame:
     """pairs (a, b: structs of parse_labels, null where a model failed) with outcome, sentiment, aspects, resolution.
 
-    outcome: review if a model failed, drop if neither finds the sentence relevant, judge if one does or their answers conflict, else
-    final, by union, sentiment_auto or agree.
+    outcome: review if both models failed, drop if neither finds the sentence relevant, judge if only one has an answer or finds it
+    relevant or their answers conflict, else final, by union, sentiment_auto or agree.
     """
     a, b = F.col("a"), F.col("b")
     sentiment, by_sentiment = settle_sentiment(a["sentiment"], b["sentiment"])
     aspects, by_aspects = settle_aspects(a["aspects"], b["aspects"])
     outcome = (
-        F.when(a.isNull() | b.isNull(), "review")
+        F.when(a.isNull() & b.isNull(), "review")
+        .when(a.isNull() | b.isNull(), "judge")
         .when(~a["relevant"] & ~b["relevant"], "drop")
         .when(a["relevant"] != b["relevant"], "judge")
         .when((by_sentiment == "judge") | (by_aspects == "judge"), "judge")
