@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_type
 
 Ask = Callable[[list[dict[str, Any]]], Iterable[Mapping[str, Any]]]
 
@@ -61,7 +61,7 @@ def ask(
     given, at_size = list(give), rows.columns.index(size_of)
     at_given, at_wanted = [rows.columns.index(c) for c in given], rows.columns.index(wanted) if wanted else None
     out = T.StructType([*rows.schema.fields, T.StructField(name, T.StructType.fromDDL(answer)), T.StructField(f"{name}_failure", T.StringType())])
-    schema = to_arrow_schema(out)
+    names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows before the current batch that still wait
@@ -78,7 +78,7 @@ def ask(
                 at += part.num_rows
                 if part.num_rows:
                     columns = [*part.columns, pa.array([b[0] for b in both], kind), pa.array([b[1] for b in both], pa.string())]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
             held, slots, items, chars, waiting = [], [], [], 0, 0
 
         for batch in batches:

@@ -627,4 +627,4 @@ register(
     )
 )
 
-
+from . import workload_labels  # noqa: E402, F401  (registers its queries)
