@@ -40,31 +40,48 @@ def keyword_summary(clauses: DataFrame, keywords: DataFrame, top: int = 20) -> D
     return totals.crossJoin(used).crossJoin(best)  # one row each
 
 
+def chunk_spans(sentences: Column, *, most_sentences: int, most_chars: int, overlap: int) -> Column:
+    """Array of struct s, e: chunks of an array of sentences, from place s to before e, as chunk_sentences has them.
+
+    A fold over the sentences: where one doesn't fit, the open chunk ends before it, and the next one begins `overlap` sentences
+    earlier, if that is behind the last chunk's begin and the sentence fits there; else at the sentence.
+    """
+    chunk = lambda s, e: F.struct(s.alias("s"), e.alias("e"))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def grown(acc: Column, start: Column, more: Column) -> Column:
+        full = F.size(acc["few"]) >= 256  # so that adding one doesn't copy them all
+        return F.struct(start.alias("start"), F.when(full, more).otherwise(F.concat(acc["few"], more)).alias("few"), F.when(full, F.concat(acc["many"], F.array(acc["few"]))).otherwise(acc["many"]).alias("many"))
+
+    def fold(totals: Column) -> Column:
+        at = lambda k: F.get(totals, k)
+        fits = lambda start, k: (k == start) | ((k - start < most_sentences) & (at(k + 1) - at(start) <= most_chars))
+
+        def step(acc: Column, k: Column) -> Column:
+            start = acc["start"]
+            back = F.when((k - overlap > start) & F.lit(overlap > 0), k - overlap).otherwise(k)
+            twice = ~fits(back, k)
+            closed = F.when(fits(start, k), none).when(twice, F.array(chunk(start, k), chunk(back, k))).otherwise(F.array(chunk(start, k)))
+            return grown(acc, F.when(fits(start, k), start).when(twice, k).otherwise(back), closed)
+
+        last = F.size(totals) - 1
+        begin = F.struct(F.lit(0).alias("start"), none.alias("few"), F.array().cast("array<array<struct<s:int,e:int>>>").alias("many"))
+        places = F.filter(F.sequence(F.lit(0), last), lambda k: k < last)
+        return F.aggregate(places, begin, step, lambda acc: F.when(last > 0, F.concat(F.flatten(acc["many"]), acc["few"], F.array(chunk(acc["start"], last)))).otherwise(none))
+
+    return tx.let(tx.totals_before(F.transform(sentences, lambda s: F.length(s))), fold)
+
+
 def chunk_sentences(df: DataFrame, *, most_sentences: int = 20, most_chars: int = 4000, overlap: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, chunk_index, sentence_start, sentence_end (exclusive), chunk: greedy windows of sentences.
 
-    A chunk takes sentences up to both limits, one at least; the next starts `overlap` sentences back, but always further on.
+    A chunk takes sentences while there are at most most_sentences and their letters, without the spaces between, at most most_chars;
+    one at least. The next one starts `overlap` sentences back, or behind the chunk if that wouldn't be further on.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = []
-            for doc, found in zip(part[id_col], part["_s"], strict=True):
-                start = n = 0
-                found = list(found)
-                while start < len(found):
-                    end, size = start + 1, len(found[start])
-                    while end < len(found) and end - start < most_sentences and size + 1 + len(found[end]) <= most_chars:
-                        size += 1 + len(found[end])
-                        end += 1
-                    rows.append((doc, n, start, end, " ".join(found[start:end])))
-                    n += 1
-                    start = end if end == len(found) else max(start + 1, end - overlap)
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "sentence_start", "sentence_end", "chunk"])
-
-    kind = df.schema[id_col].dataType.simpleString()
     listed = df.select(id_col, F.coalesce(tx.sentences(F.col(text_col)), F.array().cast("array<string>")).alias("_s"))
-    return listed.mapInPandas(run, f"`{id_col}` {kind}, chunk_index long, sentence_start long, sentence_end long, chunk string")
+    chunks = listed.select(id_col, "_s", F.posexplode(chunk_spans(F.col("_s"), most_sentences=max(1, most_sentences), most_chars=max(1, most_chars), overlap=max(0, overlap))).alias("_n", "_c"))
+    text = F.array_join(F.slice("_s", F.col("_c.s") + 1, F.col("_c.e") - F.col("_c.s")), " ")
+    return chunks.select(id_col, F.col("_n").cast("long").alias("chunk_index"), F.col("_c.s").cast("long").alias("sentence_start"), F.col("_c.e").cast("long").alias("sentence_end"), text.alias("chunk"))
 
 
 def label_texts(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ CLEAN_RULES: dict[str, tuple[str, ...]] = {
     "media_placeholder": ("존재하지 않는 이미지입니다", "존재하지 않는 스티커입니다", "Previous imageNext image"),
     "html_artifact": (r"<br\s*/?>", "&nbsp;"),
     "url_cleanup": (r"https?://\S+", r"www\.\S+"),
-    "zero_width_cleanup": ("[​-‍﻿]",),
+    "zero_width_cleanup": (r"[\u200b-\u200d\ufeff]",),
 }
 # Phrases that are taken out of texts wherever they stand.
 KNOWN_PHRASES = ("존재하지 않는 이미지입니다", "존재하지 않는 스티커입니다", "Previous imageNext image")
@@ -37,9 +37,32 @@ GARBAGE: dict[str, tuple[str, ...]] = {
 }
 # Words of no use as tokens, particles that end Korean nouns, and the token pattern.
 STOPWORDS = (
-    "the and for with this that from have were will about error issue please there 있습니다 합니다 계속 문의 내용 확인 처리 대한 관련".split()
+    "the",
+    "and",
+    "for",
+    "with",
+    "this",
+    "that",
+    "from",
+    "have",
+    "were",
+    "will",
+    "about",
+    "error",
+    "issue",
+    "please",
+    "there",
+    "있습니다",
+    "합니다",
+    "계속",
+    "문의",
+    "내용",
+    "확인",
+    "처리",
+    "대한",
+    "관련",
 )
-PARTICLES = tuple("이가은는을를와과도에")
+PARTICLES = ("이", "가", "은", "는", "을", "를", "와", "과", "도", "에")
 TOKEN = "[0-9A-Za-z가-힣]{2,}"
 
 
@@ -125,22 +148,61 @@ def replace_words(c: Column, synonyms: Mapping[str, str]) -> Column:
     return c if out is None else out.otherwise(c)
 
 
+#: What parts sentences: white space behind . ! ? (also full-width), and newlines.
+BREAK = r"(?<=[.!?。！？])\s+|\n+"
+LETTER = "[0-9A-Za-z가-힣]"
+
+
 def sentences(c: Column) -> Column:
     """Array of sentences: parted behind . ! ? (also full-width) and white space, and at newlines; those without a letter or digit go."""
-    parts = F.split(c, UNICODE + r"(?<=[.!?。！？])\s+|\n+")
-    return F.filter(F.transform(parts, strip), lambda s: s.rlike("[0-9A-Za-z가-힣]"))
+    parts = F.split(c, UNICODE + BREAK)
+    return F.filter(F.transform(parts, strip), lambda s: s.rlike(LETTER))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def totals_before(numbers: Column, block: int = 256) -> Column:
+    """Array of the sums of all numbers before each number, and of all of them at the end.
+
+    Sums of blocks come first, so n numbers cost about n * block / 2 additions, not n * n / 2.
+    """
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda t, x: t + x)
+    places = lambda n: F.sequence(F.lit(0), n)
+
+    def sums(xs: Column) -> Column:
+        blocks = F.transform(places(F.floor(F.size(xs) / block).cast("int")), lambda b: total(F.slice(xs, b * block + 1, block)))
+        return let(blocks, lambda bs: let(F.transform(places(F.size(bs) - 1), lambda b: total(F.slice(bs, F.lit(1), b))), lambda starts: at_each(xs, starts)))
+
+    def at_each(xs: Column, starts: Column) -> Column:
+        return F.transform(places(F.size(xs)), lambda i: F.get(starts, F.floor(i / block).cast("int")) + total(F.slice(xs, (F.floor(i / block) * block + 1).cast("int"), (i % block).cast("int"))))
+
+    return let(numbers, sums)
+
+
+def sentence_spans(c: Column) -> Column:
+    """Array of struct sentence, start, end (code points in the text; end exclusive) of the sentences of a text.
+
+    The text is cut into pieces that each hold a sentence and the white space that ends it, so that places are sums of lengths: the
+    cost grows with the text, not with its square.
+    """
+    pieces = F.regexp_extract_all(c, F.lit(rf"{UNICODE}(?s).+?(?:{BREAK}|\z)"), F.lit(0))
+
+    def spans(ps: Column) -> Column:
+        return let(totals_before(F.transform(ps, lambda p: F.length(p))), lambda starts: F.transform(ps, lambda p, i: span(p, F.get(starts, i))))
+
+    def span(piece: Column, at: Column) -> Column:
+        start = at + F.length(piece) - F.length(F.regexp_replace(piece, UNICODE + r"^\s+", ""))
+        return F.struct(strip(piece).alias("sentence"), start.alias("start"), (start + F.length(strip(piece))).alias("end"))
+
+    return F.filter(let(pieces, spans), lambda s: s["sentence"].rlike(LETTER))
 
 
 def sentence_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each sentence: id, sentence_index, sentence, start and end (code points in the text; end exclusive)."""
-    listed = df.select(id_col, F.col(text_col).alias("_text"), sentences(F.col(text_col)).alias("_s"))
-    exploded = listed.select(id_col, "_text", "_s", F.posexplode("_s").alias("sentence_index", "sentence"))
-    before = F.aggregate(
-        F.slice("_s", 1, F.col("sentence_index") + 1),
-        F.lit(0),
-        lambda at, s: F.call_function("locate", s, F.col("_text"), at + 1) - 1 + F.length(s),
-    )
-    return exploded.select(id_col, "sentence_index", "sentence", (before - F.length("sentence")).alias("start"), before.alias("end"))
+    """A row for each sentence: id, sentence_index, sentence, start and end (see sentence_spans)."""
+    return df.select(id_col, F.posexplode(sentence_spans(F.col(text_col))).alias("sentence_index", "_s")).select(id_col, "sentence_index", "_s.sentence", "_s.start", "_s.end")
 
 
 def truncate(c: Column, most: int) -> Column:

@@ -408,8 +408,29 @@ register("coerce_values", "SELECT event_id, event_id AS whole, value AS real FRO
 )
 register("clean_table")(lambda s, d: build.clean(table(s, d, "documents").withColumnRenamed("doc_id", "place"), ["text"], index="place", version="v1"))
 register("clean_summary")(lambda s, d: build.clean_summary(table(s, d, "documents"), ["text"], index="doc_id"))
-register("sentence_rows")(lambda s, d: tx.sentence_rows(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text"))
-register("sentence_chunks")(lambda s, d: build.chunk_sentences(table(s, d, "documents"), most_sentences=8, most_chars=600))
+WHITE = "' ' || chr(9) || chr(10) || chr(13)"
+register(
+    "sentence_rows",
+    rf"""WITH p AS (
+      SELECT id, i, pieces[i] AS piece
+      FROM (SELECT conv_id || '-' || turn AS id, regexp_extract_all(text, '(?s).*?(?:[.!?。！？]\s+|\n+|\z)') AS pieces FROM conversations), unnest(range(1, len(pieces) + 1)) u(i)
+    ), w AS (
+      SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(piece) - length(ltrim(piece, {WHITE})) AS start, trim(piece, {WHITE}) AS sentence FROM p
+    )
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS INTEGER) AS sentence_index, sentence, CAST(start AS INTEGER) AS start, CAST(start + length(sentence) AS INTEGER) AS "end" FROM w WHERE regexp_matches(sentence, '[0-9A-Za-z가-힣]')""",
+)(lambda s, d: tx.sentence_rows(table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"), "id", "text"))
+#: Sentences of a text as an array: parted behind full stops and the like, and at newlines; without a letter or digit they go.
+LISTED = rf"list_filter([trim(p, {WHITE}) FOR p IN string_split_regex(regexp_replace({{c}}, '([.!?。！？])\s+', '\1' || chr(10), 'g'), '\n+')], lambda s: regexp_matches(s, '[0-9A-Za-z가-힣]'))"
+register(
+    "sentence_chunks",
+    f"""WITH RECURSIVE l AS (SELECT doc_id, {LISTED.format(c='text')} AS ss FROM documents), t AS (SELECT doc_id, ss, len(ss) AS n, [length(s) FOR s IN ss] AS ls FROM l WHERE len(ss) > 0), c AS (
+      SELECT doc_id, ss, n, ls, 0 AS k, 0 AS s, greatest(1, len(list_filter(range(1, least(8, n) + 1), lambda j: list_sum(ls[1:j]) <= 600))) AS e FROM t
+      UNION ALL
+      SELECT doc_id, ss, n, ls, k + 1, f, f + greatest(1, len(list_filter(range(1, least(8, n - f) + 1), lambda j: list_sum(ls[f + 1:f + j]) <= 600)))
+      FROM (SELECT *, CASE WHEN e - 1 > s THEN e - 1 ELSE e END AS f FROM c WHERE e < n)
+    )
+    SELECT doc_id, CAST(k AS BIGINT) AS chunk_index, CAST(s AS BIGINT) AS sentence_start, CAST(e AS BIGINT) AS sentence_end, array_to_string(ss[s + 1:e], ' ') AS chunk FROM c""",
+)(lambda s, d: build.chunk_sentences(table(s, d, "documents"), most_sentences=8, most_chars=600))
 register("clause_ids", f"WITH {CLAUSE_IDS} SELECT doc_id, clause_id, clause FROM clause_ids")(lambda s, d: build.clause_ids(clauses(s, d)).select("doc_id", "clause_id", "clause"))
 register("clause_ids_by_place", f"WITH {CLAUSES} SELECT doc_id, turn, CAST(doc_id AS VARCHAR) || '-' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn NULLS LAST) - 1 AS VARCHAR) AS clause_id FROM clauses")(
     lambda s, d: build.clause_ids(clauses(s, d), ordinal="turn").select("doc_id", "turn", "clause_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import build
-from .workload import register, table
+from .workload import LISTED, register, table
 
 ASPECTS = ("food", "place", "price")
 
@@ -56,8 +56,6 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = {"allowed": ASPECTS, "fallback": "general", "areas": ("overall", "service", "staff")}
-#: Sentences of a text as an array: parted behind full stops and the like, and at newlines; without a letter or digit they go.
-LISTED = r"list_filter([trim(p, ' ' || chr(9) || chr(13)) FOR p IN string_split_regex(regexp_replace({c}, '([.!?。！？])\s+', '\1' || chr(10), 'g'), '\n+')], lambda s: regexp_matches(s, '[0-9A-Za-z가-힣]'))"
 SENTENCES = f"listed AS (SELECT doc_id, {LISTED.format(c='text')} AS ss FROM documents), sentences AS (SELECT doc_id, i AS sentence_index, ss[i] AS sentence, length(ss[i]) AS n FROM listed, unnest(range(1, len(ss) + 1)) u(i))"
 
 
