@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import UNICODE, strip
 
@@ -29,6 +30,76 @@ def to_date(c: Column) -> Column:
     return F.coalesce(c.try_cast("date"), *[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in DATES])
 
 
+# Keys of source rows that may hold the day of a text, in the order in which they are tried.
+DATE_KEYS = (
+    "게시일",
+    "작성일",
+    "작성시간",
+    "등록일",
+    "수집일",
+    "날짜",
+    "docDatetime",
+    "doc_datetime",
+    "pub_date",
+    "reg_date",
+    "post_date",
+    "write_date",
+    "regdate",
+    "datetime",
+    "date",
+    "published_at",
+)
+
+
+def with_day(df: DataFrame, *, created: str = "created_at", json_col: str = "source_json", keys: Sequence[str] = DATE_KEYS, name: str = "day") -> DataFrame:
+    """df with the date of each row: from `created` if any row has one there, else from the first key of the JSON that has any.
+
+    One aggregate counts the dates under all keys, with the JSON parsed once a row to a map; its one row, the key chosen, is joined
+    to the rows, so nothing runs before a result is asked for. A column that isn't there has no dates; with no date at all, all are
+    null. JSON that isn't an object has no keys.
+    """
+    if name in df.columns:
+        raise ValueError(f"column exists already: {name}")
+    own = to_date(F.col(f"`{created}`").cast("string")) if created in df.columns else F.lit(None).cast("date")
+    fields = F.from_json(F.col(f"`{json_col}`").cast("string"), "map<string,string>") if json_col in df.columns else F.lit(None).cast("map<string,string>")
+    found = df.select(own.alias("own"), fields.alias("fields"))
+    counts = found.agg(F.count("own").alias("own"), *[F.count(to_date(F.try_element_at("fields", F.lit(k)))).alias(f"k{i}") for i, k in enumerate(keys)])
+    chosen = F.coalesce(F.when(F.col("own") > 0, ""), *[F.when(F.col(f"k{i}") > 0, k) for i, k in enumerate(keys)])
+    day = F.when(F.col("_key") == "", own).otherwise(to_date(F.try_element_at(fields, F.col("_key"))))
+    return df.crossJoin(F.broadcast(counts.select(chosen.alias("_key")))).withColumn(name, day).drop("_key")  # by a single row
+
+
+def as_text(kind: T.DataType) -> T.DataType:
+    """The same shape with text at every leaf: what JSON of unknown types is read as."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, as_text(f.dataType)) for f in kind])
+    return T.ArrayType(as_text(kind.elementType)) if isinstance(kind, T.ArrayType) else T.StringType()
+
+
+def normalised(c: Column, kind: T.DataType) -> Column:
+    """A value of shape as_text(kind) as `kind`, by a walk over it.
+
+    Booleans are true for the text true in any case, else false, also for null. Integers are read as such, else null. An object
+    whose fields are all null before that is null. Blank texts stay; other types are cast where that can be.
+    """
+    if isinstance(kind, T.StructType):
+        filled = F.array_contains(F.array(*[c[f.name].isNotNull() for f in kind]), True)
+        return F.when(filled, F.struct(*[normalised(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: normalised(x, kind.elementType))
+    if isinstance(kind, T.BooleanType):
+        return F.coalesce(F.lower(strip(c)) == "true", F.lit(False))
+    if isinstance(kind, T.IntegralType):
+        return F.when(strip(c).rlike(r"^[+-]?[0-9]+$"), strip(c).try_cast(kind))
+    return c if isinstance(kind, T.StringType) else c.try_cast(kind)
+
+
+def json_value(c: Column, schema: str) -> Column:
+    """JSON text as a struct by a DDL schema, leniently: each field is normalised by its type; text that is no object is null."""
+    kind = T.StructType.fromDDL(schema)
+    return normalised(F.from_json(c, as_text(kind)), kind)
+
+
 def json_field(c: Column, key: str) -> Column:
     """A field of a JSON object as text; the key is taken as it is, dots and all."""
     return F.get_json_object(c, "$['" + key.replace("'", "\\'") + "']")
@@ -111,4 +182,4 @@ def percent_of(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.floor(part.cast("double") / whole * 1000 + 0.5) / 10).otherwise(0.0)
 
 
-__all__ = ["UNICODE", "blank_to", "bucket", "coerce", "coerce_timestamp", "column_aliases", "infer_types", "json_field", "percent_of", "source_url", "to_date"]
+__all__ = ["UNICODE", "blank_to", "bucket", "coerce", "coerce_timestamp", "column_aliases", "infer_types", "json_field", "json_value", "percent_of", "source_url", "to_date", "with_day"]

@@ -353,9 +353,6 @@ register(
     "clean_rules",
     r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', ' ', 'gi'), '&nbsp;', ' ', 'gi'), 'https?://\S+', ' ', 'gi'), 'www\.\S+', ' ', 'gi') AS cleaned FROM pages""",
 )(lambda s, d: table(s, d, "pages").select("page_id", tx.clean_rules(F.col("html"), ["html_artifact", "url_cleanup"]).alias("cleaned")))
-register("noise_scrub", r"SELECT doc_id, regexp_replace(text, 'the[^.!?]{0,30}re\b', ' ', 'g') AS cleaned, CAST(len(regexp_extract_all(text, 'the[^.!?]{0,30}re\b')) AS INTEGER) AS hits FROM documents WHERE regexp_full_match(text, '[ -~\n]*')")(
-    lambda s, d: table(s, d, "documents").where(F.col("text").rlike(r"^[ -~\n]*$")).select("doc_id", tx.scrub_noise(F.col("text"), [r"the[^.!?]{0,30}re\b"]).alias("cleaned"), tx.noise_hits(F.col("text"), [r"the[^.!?]{0,30}re\b"]).alias("hits"))
-)
 register("text_join", "SELECT doc_id, trim(concat_ws(chr(10) || chr(10), nullif(trim(lang), ''), nullif(trim(source), ''), nullif(trim(text, ' ' || chr(10)), ''))) AS joined FROM documents")(
     lambda s, d: table(s, d, "documents").select("doc_id", tx.join_text([F.col("lang"), F.col("source"), F.col("text")]).alias("joined"))
 )
@@ -406,8 +403,64 @@ register(
 register("coerce_values", "SELECT event_id, event_id AS whole, value AS real FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", vx.coerce(F.col("event_id").cast("string"), "integer").alias("whole"), vx.coerce(F.col("value").cast("string"), "float").alias("real"))
 )
-register("clean_table")(lambda s, d: build.clean(table(s, d, "documents").withColumnRenamed("doc_id", "place"), ["text"], index="place", version="v1"))
-register("clean_summary")(lambda s, d: build.clean_summary(table(s, d, "documents"), ["text"], index="doc_id"))
+
+
+def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with what real sources have besides: links, markup, noise, and dates and numbers as text."""
+    k = F.col("doc_id") % 6
+    tail = F.when(k == 0, "<BR />x. 네트워크 오류가 발생했습니다.").when(k == 1, " https://a.b/c?d WWW.x.y z").when(k == 2, " 재생1:23 재생12:34").when(k == 3, " 3km NAVER Corp. 지도 보기! 50m NAVER Corp. 끝").when(k == 4, "&nbsp;존재하지 않는 이미지입니다...").otherwise("")
+    day = F.when(F.col("doc_id") % 3 == 0, "2024-01-05 10:00:00").when(F.col("doc_id") % 3 == 1, "2024/02/07").otherwise("unknown")
+    number = F.col("doc_id").cast("string")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("place"), F.concat("text", tail).alias("body"), day.alias("day"), F.concat(number, F.lit(",000")).alias("Score (all)"), F.concat(number, F.lit(".5")).alias("price"))
+
+
+REVIEWS = """reviews AS (SELECT doc_id AS place, text || ['<BR />x. 네트워크 오류가 발생했습니다.', ' https://a.b/c?d WWW.x.y z', ' 재생1:23 재생12:34', ' 3km NAVER Corp. 지도 보기! 50m NAVER Corp. 끝', '&nbsp;존재하지 않는 이미지입니다...', ''][CAST(doc_id % 6 AS INTEGER) + 1] AS body,
+  ['2024-01-05T10:00:00Z', '2024-02-07T00:00:00Z', NULL][CAST(doc_id % 3 AS INTEGER) + 1] AS created_at, doc_id FROM documents)"""
+
+
+def _cleaning() -> str:
+    """CTEs s0, s1, ...: a step of cleaning each, t0 the text before and tn the text after; the last is `done`."""
+    rule = lambda c, patterns: c if not patterns else rule(f"regexp_replace({c}, '{patterns[0]}', ' ', 'gi')", patterns[1:])
+    patterns = [[p.replace("\\u200b-\\u200d\\ufeff", "\\x{200B}-\\x{200D}\\x{FEFF}") for p in ps] for ps in tx.CLEAN_RULES.values()]
+    steps = ["s0 AS (SELECT *, trim(coalesce(body, ''), ' ' || chr(9) || chr(10) || chr(13)) AS t0 FROM reviews)"]
+    for k, ps in enumerate(patterns):
+        steps.append(f"s{k + 1} AS (SELECT *, {rule(f't{k}', ps)} AS t{k + 1} FROM s{k})")
+    for k, p in enumerate(tx.NOISE, len(patterns)):
+        steps.append(f"s{k + 1} AS (SELECT *, regexp_replace(t{k}, '{p}', ' ', 'g') AS t{k + 1}, len(regexp_extract_all(t{k}, '{p}')) AS noise_{k - len(patterns)} FROM s{k})")
+    n = len(patterns) + len(tx.NOISE)
+    phrases = "|".join(tx.KNOWN_PHRASES)
+    marks = rf"regexp_replace(regexp_replace(regexp_replace(t{n}, '{phrases}', ' ', 'g'), '[!?.]{{2,}}', '.', 'g'), '[_\-=/]{{3,}}', ' ', 'g')"
+    steps.append(f"done AS (SELECT *, {SPACES.format(c=marks)} AS cleaned FROM s{n})")
+    return ", ".join(steps)
+
+
+CLEANING = _cleaning()
+register(
+    "noise_scrub",
+    f"WITH {REVIEWS}, {CLEANING} SELECT place, t{len(tx.CLEAN_RULES) + len(tx.NOISE)} AS cleaned, CAST({' + '.join(f'noise_{i}' for i in range(len(tx.NOISE)))} AS INTEGER) AS hits FROM done",
+)(
+    lambda s, d: reviews(s, d)
+    .select("place", tx.clean_rules(tx.join_text([F.col("body")])).alias("body"))
+    .select("place", tx.scrub_noise(F.col("body")).alias("cleaned"), tx.noise_hits(F.col("body")).alias("hits"))
+)
+register(
+    "clean_table",
+    f"""WITH {REVIEWS}, {CLEANING} SELECT 'v1:row:' || place AS row_id, 'v1:row:' || place AS doc_id, place AS source_row_index, t0 AS raw_text, cleaned AS cleaned_text, created_at, 'keep' AS clean_status, doc_id * 1000 AS score_all, doc_id + 0.5::DOUBLE AS price,
+      ['2024-01-05 10:00:00', '2024/02/07', 'unknown'][CAST(doc_id % 3 AS INTEGER) + 1] AS day_given
+    FROM done WHERE cleaned <> '' QUALIFY row_number() OVER (PARTITION BY cleaned ORDER BY place) = 1""",
+)(
+    lambda s, d: build.clean(reviews(s, d), ["body"], index="place", version="v1", date_column="day", types={"Score (all)": "integer", "price": "float"})
+    .withColumn("day_given", vx.json_field(F.col("source_json"), "day"))
+    .drop("source_json", "clean_reason")
+)
+register(
+    "clean_summary",
+    f"""WITH {REVIEWS}, {CLEANING}, d AS (SELECT *, {" + ".join(f"noise_{i}" for i in range(len(tx.NOISE)))} AS hits, cleaned <> '' AND row_number() OVER (PARTITION BY cleaned ORDER BY place) = 1 AS kept FROM done)
+    SELECT count(*) AS input_rows, count(*) FILTER (WHERE kept) AS kept_rows, count(*) FILTER (WHERE cleaned = '') AS dropped_rows, count(*) FILTER (WHERE t0 = '') AS skipped_rows, count(*) FILTER (WHERE cleaned <> '' AND NOT kept) AS deduped_rows,
+           CAST(sum(length(t0)) AS BIGINT) AS raw_chars, CAST(sum(length(cleaned)) FILTER (WHERE kept) AS BIGINT) AS cleaned_chars, count(*) FILTER (WHERE kept AND created_at IS NULL) AS date_misses,
+           CAST(sum(hits) AS BIGINT) AS noise_hits, count(*) FILTER (WHERE hits > 0) AS noise_rows,
+           {", ".join(f"count(*) FILTER (WHERE t{k + 1} <> t{k}) AS rule_{name}" for k, name in enumerate(tx.CLEAN_RULES))}, {", ".join(f"CAST(sum(noise_{i}) AS BIGINT) AS noise_{i}" for i in range(len(tx.NOISE)))} FROM d""",
+)(lambda s, d: build.clean_summary(reviews(s, d), ["body"], index="place", date_column="day"))
 WHITE = "' ' || chr(9) || chr(10) || chr(13)"
 register(
     "sentence_rows",

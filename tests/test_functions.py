@@ -96,12 +96,28 @@ def test_percent_and_blanks(spark):
 
 def test_clean_keeps_the_first_of_equal_texts(spark):
     rows = spark.createDataFrame([(2, "A  b", "2025-01-01", "7"), (1, "A b<br>", "2025/01/02", "8"), (3, " ", None, None), (4, "c", "bad", "9")], "place long, body string, day string, `점수` string")
-    got = {r.source_row_index: r for r in build.clean(rows, ["body"], index="place", version="v9", date_column="day").collect()}
+    got = {r.source_row_index: r for r in build.clean(rows, ["body"], index="place", version="v9", date_column="day", types=build.column_types(rows, ["점수"])).collect()}
     assert set(got) == {1, 4}
     assert (got[1].doc_id, got[1].cleaned_text, got[1].created_at, got[1].col_0) == ("v9:row:1", "A b", "2025-01-02T00:00:00Z", 8)
     assert '"점수":"8"' in got[1].source_json and got[4].created_at is None
     s = build.clean_summary(rows, ["body"], index="place").first()
     assert (s.input_rows, s.kept_rows, s.dropped_rows, s.deduped_rows) == (4, 2, 1, 1)
+    assert [f.dataType.simpleString() for f in build.clean(rows, ["body"], index="place").schema.fields][-2:] == ["string", "string"]  # no types, no job
+
+
+def test_what_is_counted_is_what_is_written(spark, tmp_path):
+    texts = ["a<br>b", "a b", None, " ", "see https://x.y/z now", "재생1:23 재생2:34 길 50m NAVER Corp. 지도", "존재하지 않는 이미지입니다", "네트워크 오류가 발생했습니다. 네트워크 오류가 발생했습니다", "a  b"]
+    rows = spark.createDataFrame([(k, t, "2024-01-01" if k % 2 else "bad") for k, t in enumerate(texts)], "place long, body string, day string").repartition(3)
+    table, summary = build.write_clean(rows, ["body"], f"{tmp_path}/clean", index="place", date_column="day")
+    s = build.clean_summary(rows, ["body"], index="place", date_column="day").first().asDict()
+    assert summary == s
+    assert {r.source_row_index: r.cleaned_text for r in table.collect()} == {0: "a b", 4: "see now", 5: "길"}
+    assert (s["input_rows"], s["kept_rows"], s["dropped_rows"], s["skipped_rows"], s["deduped_rows"], s["date_misses"]) == (9, 3, 4, 2, 2, 2)
+    assert (s["rule_html_artifact"], s["rule_url_cleanup"], s["rule_media_placeholder"], s["noise_hits"], s["noise_rows"]) == (1, 1, 1, 5, 2)
+    whole = build.clean(rows, ["body"], index="place", dedup=False)
+    assert whole.count() == 5
+    empty = build.clean_summary(rows.where("place > 99"), ["body"], index="place").first()
+    assert (empty.input_rows, empty.kept_rows, empty.raw_chars) == (0, 0, 0)
 
 
 def test_clause_ids_of_both_kinds(spark):
@@ -211,8 +227,8 @@ def test_types_are_those_of_all_rows_unless_a_sample_is_asked_for(spark):
 def test_clean_types_further_columns(spark):
     rows = [(i, f"text {i}", f"{i},000", f"{i}.5", "2025-01-02 03:04:05", " " if i == 2 else f"s{i}", i) for i in range(1, 5)]
     docs = spark.createDataFrame(rows, "place long, body string, `N Items` string, price string, day string, name string, own int")
-    got = build.clean(docs, ["body"], index="place")
+    got = build.clean(docs, ["body"], index="place", types=build.column_types(docs, ["N Items", "price", "day", "name"]))
     assert dict(got.dtypes)["n_items"] == "bigint" and dict(got.dtypes)["price"] == "double" and dict(got.dtypes)["own"] == "int"
     r = {r.source_row_index: r for r in got.collect()}
     assert (r[3].n_items, r[3].price, r[3].name, r[3].own) == (3000, 3.5, "s3", 3) and r[2].name is None
-    assert dict(build.clean(docs, ["body"], index="place", typed=False).dtypes)["n_items"] == "string"
+    assert dict(build.clean(docs, ["body"], index="place").dtypes)["n_items"] == "string"
