@@ -20,16 +20,12 @@ class TokenIndex:
 
     @staticmethod
     def of(docs: DataFrame, tokens: Column, *, id_col: str = "doc_id") -> TokenIndex:
-        """From an array of tokens a row. A document's tokens are counted in its row, so what is made is a row for each distinct one.
-
-        Null arrays and null tokens count as none. Rows that share an id are documents of their own in counts, and one in results.
-        """
-        words = F.array_sort(F.filter(tokens, lambda t: t.isNotNull()))
-        first = F.array_distinct(words)
-        counted = F.transform(first, lambda t, i: F.struct(t.alias("token"), (F.coalesce(_place(words, F.get(first, i + 1)), F.size(words)) - _place(words, t)).cast("long").alias("n")))
-        rows = docs.select(F.col(id_col).alias("doc_id"), counted.alias("c"))
-        norm = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, e: s + e["n"].cast("double") * e["n"]))
-        return TokenIndex(rows.select("doc_id", norm.alias("norm"), F.explode("c").alias("e")).select("e.token", "doc_id", "e.n", "norm"))
+        """From an array of tokens a row. Null arrays and null tokens count as none; rows that share an id are one document."""
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(tokens).alias("token")).where("token is not null")
+        counts = rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))  # tasks count a row's tokens before the shuffle
+        square = F.sum(F.col("n").cast("double") * F.col("n"))
+        whole = counts.groupBy("doc_id").agg(F.sqrt(square).alias("norm"), F.collect_list(F.struct("token", "n")).alias("c"))
+        return TokenIndex(whole.select("doc_id", "norm", F.explode("c").alias("e")).select("e.token", "doc_id", "e.n", "norm"))
 
     def search(self, query: Sequence[str], *, k: int = 10) -> DataFrame:
         """rank, doc_id, overlap (the document's tokens that the query has, each as often as it occurs there), cosine.
@@ -53,12 +49,6 @@ class TokenIndex:
         return sums.select("doc_id", "overlap", (F.col("dot") / (F.col("norm") * F.lit(norm or 1.0))).alias("cosine"))
 
 
-def _place(words: Column, token: Column) -> Column:
-    """Where a token first stands in an array, from 0; null if it doesn't."""
-    at = F.array_position(words, token)
-    return F.when(at > 0, at - 1)
-
-
 def _ranked(scores: DataFrame, k: int, by: str) -> DataFrame:
     top = scores.orderBy(F.desc(by), "doc_id").limit(k)  # each task keeps k rows
     listed = top.agg(F.sort_array(F.collect_list(F.struct((-F.col(by)).alias("o"), "doc_id", "overlap", "cosine"))).alias("l"))
@@ -73,6 +63,27 @@ def term_deltas(current: DataFrame, previous: DataFrame, *, top: int = 20) -> Da
     return delta.orderBy(F.desc(F.abs("delta")), F.desc("current_count"), "term").limit(top)
 
 
-def taxonomy_matches(tokens: Column, taxonomy: Mapping[str, Sequence[str]]) -> Column:
-    """Array of the names in taxonomy any of whose words is among the tokens, in its order."""
-    return F.filter(F.array(*[F.when(F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in words])), F.lit(name)) for name, words in taxonomy.items()]), lambda x: x.isNotNull())
+def token_counts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """token, n (occurrences), docs (rows that have it), in one aggregate by the token: sorted tokens show which is a row's first."""
+    listed = docs.select(F.array_sort(tokens).alias("t"))
+    marked = F.transform("t", lambda t, i: F.struct(t.alias("token"), (~F.coalesce(F.get("t", i - 1) == t, F.lit(False))).cast("int").alias("first")))
+    rows = listed.select(F.explode(marked).alias("e")).select("e.token", "e.first")
+    return rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))
+
+
+def taxonomy_matches(text: Column, tokens: Column, taxonomy: Mapping[str, Sequence[str]], *, most: int = 3) -> Column:
+    """Array of at most `most` names of taxonomy that fit a text, the best first, ties by name.
+
+    A pattern of several words scores one if the text has it; a single word scores one for each token that it holds or is held by.
+    Case doesn't count.
+    """
+    low, words = F.lower(text), F.transform(tokens, lambda t: F.lower(t))
+
+    def score(patterns: Sequence[str]) -> Column:
+        total = F.lit(0)
+        for p in filter(None, (p.strip().lower() for p in patterns)):
+            total = total + (low.contains(p).cast("int") if " " in p else F.size(F.filter(words, lambda t, p=p: t.contains(p) | F.contains(F.lit(p), t))))
+        return total
+
+    scored = F.array(*[F.struct((-score(patterns)).alias("o"), F.lit(name).alias("name")) for name, patterns in taxonomy.items()])
+    return F.transform(F.slice(F.array_sort(F.filter(scored, lambda e: e["o"] < 0)), 1, most), lambda e: e["name"])

@@ -16,6 +16,7 @@ from . import build, operators
 from .catalog import Catalog
 from .functions import text as tx
 from .functions import values as vx
+from .operators import search
 from .plans.run import frame
 from .views import dashboards, exports, overlay, reports
 
@@ -360,7 +361,7 @@ register("clean_dedup", "SELECT min(doc_id) AS doc_id, text FROM documents GROUP
 register(
     "tokens_count",
     f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_filter([{CUT} FOR t IN regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]{{2,}}')], lambda t: t NOT IN ({WORDS}))) AS token FROM documents) GROUP BY token",
-)(lambda s, d: table(s, d, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs")))
+)(lambda s, d: search.token_counts(table(s, d, "documents"), tx.tokens(F.col("text"))))
 register("particle_strip", f"SELECT doc_id, {CUT.replace('(t)', '(source)').replace('(t,', '(source,').replace('ELSE t ', 'ELSE source ')} AS cut FROM (SELECT doc_id, source || ['은', 'x', '는'][CAST(doc_id % 3 AS INTEGER) + 1] AS source FROM documents)")(
     lambda s, d: table(s, d, "documents").select("doc_id", tx.cut_particle(F.concat("source", F.element_at(F.array(F.lit("은"), F.lit("x"), F.lit("는")), (F.col("doc_id") % 3 + 1).cast("int")))).alias("cut"))
 )
@@ -484,6 +485,47 @@ register(
     )
     SELECT doc_id, CAST(k AS BIGINT) AS chunk_index, CAST(s AS BIGINT) AS sentence_start, CAST(e AS BIGINT) AS sentence_end, array_to_string(ss[s + 1:e], ' ') AS chunk FROM c""",
 )(lambda s, d: build.chunk_sentences(table(s, d, "documents"), most_sentences=8, most_chars=600))
+QUESTION = ["the", "the", "thand", "of", "la", "que", "estion"]
+INDEXED = f"""counts AS (SELECT doc_id, t AS token, count(*) AS n FROM (SELECT doc_id, unnest([{CUT} FOR t IN regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]{{2,}}')]) AS t FROM documents) GROUP BY ALL),
+  norms AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM counts GROUP BY 1), asked AS (SELECT token, count(*) AS m FROM (SELECT unnest({QUESTION}) AS token) GROUP BY 1),
+  scores AS (SELECT doc_id, sum(n) AS overlap, sum(n * m) / (any_value(norm) * (SELECT sqrt(sum(m * m)) FROM asked)) AS cosine FROM counts JOIN asked USING (token) JOIN norms USING (doc_id) GROUP BY 1)"""
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> search.TokenIndex:
+    return search.TokenIndex.of(table(spark, sf_dir, "documents"), tx.tokens(F.col("text"), ()))
+
+
+register("overlap_ranking", f"WITH {INDEXED} SELECT CAST(row_number() OVER (ORDER BY overlap DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(overlap AS BIGINT) AS overlap, round(cosine, 9) AS cosine FROM scores ORDER BY overlap DESC, doc_id LIMIT 25")(
+    lambda s, d: indexed(s, d).search(QUESTION, k=25).withColumn("cosine", F.round("cosine", 9))
+)
+register("cosine_ranking", f"WITH {INDEXED} SELECT CAST(row_number() OVER (ORDER BY round(cosine, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id, CAST(overlap AS BIGINT) AS overlap, round(cosine, 9) AS cosine FROM scores ORDER BY round(cosine, 9) DESC, doc_id LIMIT 25")(
+    lambda s, d: indexed(s, d).similar(QUESTION, k=25).withColumn("cosine", F.round("cosine", 9))
+)
+register(
+    "term_deltas",
+    f"""WITH t AS (SELECT lang, unnest([{CUT} FOR t IN regexp_extract_all(lower(text), '[0-9A-Za-z가-힣]{{2,}}')]) AS term FROM documents), c AS (SELECT term, count(*) FILTER (WHERE lang = 'en') AS current_count, count(*) FILTER (WHERE lang = 'fr') AS previous_count FROM t WHERE lang IN ('en', 'fr') GROUP BY 1)
+    SELECT *, current_count - previous_count AS delta FROM c ORDER BY abs(delta) DESC, current_count DESC, term LIMIT 20""",
+)(lambda s, d: search.term_deltas(*[table(s, d, "documents").where(F.col("lang") == lang).select(F.explode(tx.tokens(F.col("text"), ())).alias("term")) for lang in ("en", "fr")]))
+register("json_values", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type = 'click' AS yes, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN user_id END AS inner_n, event_id % 3 = 2 AS no_inner FROM events""")(
+    lambda s, d: table(s, d, "events")
+    .withColumn("inner", F.when(F.col("event_id") % 3 == 0, F.expr("named_struct('n', 'x12', 'yes', cast(null as string))")).when(F.col("event_id") % 3 == 1, F.expr("named_struct('n', cast(user_id as string), 'yes', 'no')")).otherwise(F.expr("named_struct('n', cast(null as string), 'yes', cast(null as string))")))
+    .withColumn("json", F.to_json(F.struct(vx.json_field(F.col("props"), "k").alias("k"), F.when(F.col("event_type") == "click", " TRUE ").otherwise("1").alias("yes"), "inner")))
+    .select("event_id", vx.json_value(F.col("json"), "k long, yes boolean, inner struct<n: int, yes: boolean>").alias("v"))
+    .select("event_id", "v.k", "v.yes", F.col("v.inner.n").cast("long").alias("inner_n"), F.col("v.inner").isNull().alias("no_inner"))
+)
+
+
+def undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events whose date is under a late key of their JSON, in some rows, and under an earlier key not at all."""
+    day = F.when(F.col("event_id") % 5 != 0, F.date_format("ts", "yyyy-MM-dd"))
+    fields = F.struct(F.lit("soon").alias("작성일"), F.col("event_type").alias("date"), F.when(F.col("event_id") % 2 == 0, day).alias("pub_date"), F.date_format("ts", "yyyy/MM/dd").alias("published_at"), "value")
+    return table(spark, sf_dir, "events").select("event_id", F.lit("n/a").alias("created_at"), F.to_json(fields).alias("source_json"))
+
+
+register("report_day", "SELECT event_id, CASE WHEN event_id % 2 = 0 AND event_id % 5 <> 0 THEN CAST(ts AS DATE) END AS day FROM events")(lambda s, d: vx.with_day(undated(s, d)).select("event_id", "day"))
+register("report_period", "SELECT min(CAST(ts AS DATE)) AS first_day, max(CAST(ts AS DATE)) AS last_day, CAST(min(CAST(ts AS DATE)) AS VARCHAR) || ' ~ ' || CAST(max(CAST(ts AS DATE)) AS VARCHAR) AS period FROM events WHERE event_id % 2 = 0 AND event_id % 5 <> 0")(
+    lambda s, d: reports.data_period(vx.with_day(undated(s, d)), "day")
+)
 register("clause_ids", f"WITH {CLAUSE_IDS} SELECT doc_id, clause_id, clause FROM clause_ids")(lambda s, d: build.clause_ids(clauses(s, d)).select("doc_id", "clause_id", "clause"))
 register("clause_ids_by_place", f"WITH {CLAUSES} SELECT doc_id, turn, CAST(doc_id AS VARCHAR) || '-' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn NULLS LAST) - 1 AS VARCHAR) AS clause_id FROM clauses")(
     lambda s, d: build.clause_ids(clauses(s, d), ordinal="turn").select("doc_id", "turn", "clause_id")
