@@ -14,7 +14,7 @@ from .shared import discard, slices, stored
 from .shingles import shingle_sets
 
 #: Most documents and about the most tokens of a group, and queries of a group that one task answers.
-MEMBERS, TOKENS, QUERIES = 64, 1 << 18, 1024
+MEMBERS, TOKENS, QUERIES = 256, 1 << 18, 1024
 
 
 def required(n: Column, percent: int) -> Column:
@@ -142,16 +142,23 @@ def star_links(probes: DataFrame, comps: DataFrame, sets: DataFrame, percent: in
 def opened(members: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links between components that the token-group matrix allows; enough of them to join what similar sets join.
 
-    The matrix has a row for each token and group (and component, with its size): tokens that are probes of a member. A set asks the
-    groups that share a probe with it and hold another component, the smaller component the larger. There it meets the union of all
-    members' tokens, and only if that has required(n) of its own is the group opened and compared set by set.
+    The matrix has a row for each token and group: tokens that are probes of a member, with the largest component and the sizes of
+    the members that have it. A set asks the groups that share a probe with it and hold a larger component than its own, so that of
+    two components the smaller asks. A shared probe counts only if enough tokens are left from it on: if it is the rarest common
+    one, no more can be common (`left`, of the set and the most of a member), and similar sets share percent / (100 + percent) of
+    both sizes. In the group the set meets the union of all members' tokens, and only if that has required(n) of its own is the
+    group opened and compared set by set.
     """
     sized = comps.join(comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size")), "comp")
-    rows = members.join(sized, "node").select("node", "group", "comp", "size", F.explode("probes").alias("token"))
-    matrix = rows.groupBy("token", "group", "comp", "size").agg(F.lit(1).alias("one")).select("token", F.col("group").alias("to"), F.struct("size", "comp").alias("theirs"))
-    several = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
-    asking = rows.join(several, "token", "left_semi").select("token", "node", F.struct("size", "comp").alias("own"))
-    asked = stored(asking.join(matrix, "token").where("own < theirs").select("node", "to").distinct(), "asked")
+    placed = members.select("node", "n", "group", F.size("probes").alias("k"), F.posexplode("probes").alias("i", "token"))
+    left = required(F.col("n"), percent) - 1 + F.col("k") - F.col("i")
+    rows = placed.withColumn("left", left).join(sized, "node").select("token", "node", "n", "left", "group", F.struct("size", "comp").alias("own"))
+    several = rows.groupBy("token").agg(F.min("own.comp").alias("x"), F.max("own.comp").alias("y")).where("x <> y").select("token")
+    rows = rows.join(several, "token", "left_semi")
+    matrix = rows.groupBy("token", F.col("group").alias("to")).agg(F.max("own").alias("theirs"), F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("left").alias("most_left"))
+    sizes = (100 * F.col("most_n") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("least_n"))
+    enough = (100 + percent) * F.least("left", "most_left") >= percent * (F.col("n") + F.col("least_n"))
+    asked = stored(rows.drop("group").join(matrix, "token").where((F.col("own") < F.col("theirs")) & sizes & enough).select("node", "to").distinct(), "asked")
     salts = asked.groupBy("to").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("salts"))
     part = lambda salt: F.xxhash64("to", salt).alias("part")
     told = comps.join(sets, "node")
