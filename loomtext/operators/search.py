@@ -79,11 +79,13 @@ def taxonomy_matches(text: Column, tokens: Column, taxonomy: Mapping[str, Sequen
     """
     low, words = F.lower(text), F.transform(tokens, lambda t: F.lower(t))
 
+    def fits(pattern: str) -> Column:
+        if " " in pattern:
+            return low.contains(pattern).cast("int")
+        return F.size(F.filter(words, lambda t: t.contains(pattern) | F.contains(F.lit(pattern), t)))
+
     def score(patterns: Sequence[str]) -> Column:
-        total = F.lit(0)
-        for p in filter(None, (p.strip().lower() for p in patterns)):
-            total = total + (low.contains(p).cast("int") if " " in p else F.size(F.filter(words, lambda t, p=p: t.contains(p) | F.contains(F.lit(p), t))))
-        return total
+        return sum((fits(p) for p in (p.strip().lower() for p in patterns) if p), F.lit(0))
 
     scored = F.array(*[F.struct((-score(patterns)).alias("o"), F.lit(name).alias("name")) for name, patterns in taxonomy.items()])
     return F.transform(F.slice(F.array_sort(F.filter(scored, lambda e: e["o"] < 0)), 1, most), lambda e: e["name"])

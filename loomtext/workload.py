@@ -718,6 +718,43 @@ register("export_genuineness", f"WITH {LABELS}, {CLEAN} SELECT doc_id, genuinene
     lambda s, d: exports.genuineness_rows(labels(s, d), clean_rows(s, d)).select("doc_id", "genuineness", "reason", "cleaned_text")
 )
 
+
+
+def report_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    documents = operators.join(dated(spark, sf_dir), labels(spark, sf_dir), ["doc_id"], "left").select("doc_id", "genuineness", F.col("lang").alias("channel"), vx.to_date(F.col("created_at")).alias("day"))
+    return reports.with_years({"documents": documents, "clauses": clauses(spark, sf_dir), "keywords": keyword_rows(spark, sf_dir)})
+
+
+def _section(section: str, panel: int, metric: str, cells: str, *, weight: str = "n", fixed: str = "1", top: int = 1000, stacked: bool = False) -> str:
+    whole = "PARTITION BY label" if stacked else ""
+    return f"""SELECT '{section}' AS section, {panel} AS panel, '{metric}' AS metric, CAST(rank AS INTEGER) AS rank, label, series, n, floor(CAST(n AS DOUBLE) / greatest(whole, 1) * 1000 + 0.5) / 10 AS percent
+      FROM (SELECT *, dense_rank() OVER (ORDER BY {fixed}, w DESC, label) AS rank FROM (SELECT *, sum(n) OVER ({whole}) AS whole, sum({weight}) OVER (PARTITION BY label) AS w FROM ({cells}))) WHERE rank <= {top}"""
+
+
+_ONE = "SELECT CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS series, count(*) AS n FROM {}"
+_BY = "SELECT {0} AS label, CAST(NULL AS VARCHAR) AS series, count(*) AS n FROM {1} GROUP BY 1"
+_BOTH = "SELECT aspect AS label, sentiment AS series, count(*) AS n FROM late_clauses GROUP BY 1, 2"
+SECTIONS = (
+    ("doc_overview", 1, "genuine_docs_total", _ONE.format("all_docs WHERE genuineness = 'genuine_review'")),
+    ("doc_overview", 2, "genuine_docs_recent_year", _ONE.format("all_docs WHERE genuineness = 'genuine_review' AND y = 2024")),
+    ("doc_overview", 3, "clauses_total", _ONE.format("clauses")),
+    ("doc_overview", 4, "clauses_recent_year", _ONE.format("late_clauses")),
+    ("channel_distribution", 1, "channel_genuine_distribution", _BY.format("lang", "all_docs WHERE genuineness = 'genuine_review' AND y = 2024"), {"top": 8}),
+    ("sentiment_distribution", 1, "sentiment_distribution", _BY.format("sentiment", "late_clauses"), {"fixed": "CASE label WHEN 'positive' THEN 1 WHEN 'neutral' THEN 2 WHEN 'negative' THEN 3 ELSE 4 END"}),
+    ("aspect_distribution", 1, "aspect_distribution", _BY.format("aspect", "late_clauses")),
+    ("aspect_sentiment", 1, "aspect_sentiment", _BOTH, {"stacked": True}),
+    ("aspect_sentiment", 2, "aspect_sentiment", _BOTH, {"stacked": True, "top": 6, "weight": "CASE WHEN series = 'positive' THEN n ELSE 0 END"}),
+    ("aspect_sentiment", 3, "aspect_sentiment", _BOTH, {"stacked": True, "top": 6, "weight": "CASE WHEN series = 'negative' THEN n ELSE 0 END"}),
+    ("keyword_distribution", 1, "keywords_positive", _BY.format("keyword", "late_keywords WHERE sentiment = 'positive'"), {"top": 10}),
+    ("keyword_distribution", 2, "keywords_negative", _BY.format("keyword", "late_keywords WHERE sentiment = 'negative'"), {"top": 10}),
+)
+register(
+    "report_sections",
+    f"WITH {KEYWORDS}, {LABELS}, all_docs AS (SELECT doc_id, lang, genuineness, CASE WHEN doc_id % 2 = 1 THEN 2024 ELSE 2023 END AS y FROM documents LEFT JOIN label_rows USING (doc_id)), late_docs AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 1), "
+    + "late_clauses AS (SELECT clauses.* FROM clauses JOIN late_docs USING (doc_id)), late_keywords AS (SELECT keyword_rows.* FROM keyword_rows JOIN late_docs USING (doc_id)) "
+    + " UNION ALL ".join(_section(*s[:4], **(s[4] if len(s) > 4 else {})) for s in SECTIONS),
+)(lambda s, d: reports.report_sections(report_tables(s, d)))
+
 # The golden chain: counts per aspect in two halves of the turns, side by side, with their change, biggest first.
 
 register(
