@@ -74,21 +74,44 @@ def keyword_totals(keywords: DataFrame) -> DataFrame:
     )
 
 
-def best(df: DataFrame, key: str, value: str, name: str, times: str | None = None) -> DataFrame:
-    """key, <name>, <name>_n: each key's most frequent value (rows, or the sum of `times`); ties by value, null last."""
-    n = df.groupBy(key, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
-    first = F.min_by(F.struct(F.col(value), F.col("n")), F.struct((-F.col("n")).alias("o"), F.col(value).isNull().alias("z"), F.col(value).alias("v")))
-    return n.groupBy(key).agg(first.alias("b")).select(key, F.col("b").getField(value).alias(name), F.col("b.n").alias(f"{name}_n"))
-
-
 def keyword_table(keywords: DataFrame) -> DataFrame:
-    """Per keyword: count, document_count, dominant_sentiment and its ratio, top_aspect, representative_clause (longest, then first)."""
-    longest = F.min_by("clause", F.struct((-F.length("clause")).alias("o"), F.col("clause").alias("c")))
-    rows = keywords.where("keyword is not null").groupBy("keyword", "doc_id", "sentiment", "aspect").agg(F.count(F.lit(1)).alias("n"), longest.alias("clause"))
-    base = rows.groupBy("keyword").agg(F.sum("n").alias("count"), F.countDistinct("doc_id").alias("document_count"), longest.alias("representative_clause"))
-    joined = base.join(best(rows, "keyword", "sentiment", "dominant_sentiment", "n"), "keyword").join(best(rows, "keyword", "aspect", "top_aspect", "n"), "keyword")
-    ratio = F.round(F.col("dominant_sentiment_n").cast("double") / F.col("count"), 4)
-    return joined.select("keyword", "count", "document_count", "dominant_sentiment", ratio.alias("dominant_sentiment_ratio"), "top_aspect", "representative_clause")
+    """Per keyword: count, document_count, dominant_sentiment and its ratio, top_aspect, representative_clause (longest, then first).
+
+    Dominant values are those with the most rows, ties by value, null last. The keywords are read once: what a keyword has in a
+    document becomes one row, whose first entry counts the document; then rows are counts by keyword, sentiment and aspect, of which
+    a keyword has few.
+    """
+    longest = F.min_by("clause", F.struct((-F.length("clause")).alias("o"), F.col("clause").alias("c"))).alias("clause")
+    in_doc = keywords.where("keyword is not null").groupBy("keyword", "doc_id").agg(F.collect_list(F.struct("sentiment", "aspect")).alias("all"), longest)
+    rows = in_doc.select("keyword", F.col("doc_id").isNotNull().alias("is_doc"), "clause", F.posexplode("all").alias("i", "e"))
+    cells = rows.groupBy("keyword", "e.sentiment", "e.aspect").agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("i") == 0) & F.col("is_doc"), 1)).alias("docs"), longest)
+    out = cells.groupBy("keyword").agg(F.sum("n").alias("count"), F.sum("docs").alias("document_count"), longest, F.collect_list(F.struct("sentiment", "aspect", "n")).alias("cells"))
+
+    def most(name: str) -> Column:
+        total = lambda v: F.aggregate(F.filter("cells", lambda c: c[name].eqNullSafe(v)), F.lit(0).cast("long"), lambda t, c: t + c["n"])
+        values = F.array_distinct(F.transform("cells", lambda c: c[name]))
+        return F.array_min(F.transform(values, lambda v: F.struct((-total(v)).alias("o"), v.isNull().alias("z"), v.alias("v"))))
+
+    best = out.withColumns({"s": most("sentiment"), "a": most("aspect")})
+    ratio = F.round((-F.col("s.o")).cast("double") / F.col("count"), 4)
+    return best.select("keyword", "count", "document_count", F.col("s.v").alias("dominant_sentiment"), ratio.alias("dominant_sentiment_ratio"), F.col("a.v").alias("top_aspect"), F.col("clause").alias("representative_clause"))
+
+
+def clause_summary(clauses: DataFrame) -> DataFrame:
+    """kind, label, n: the total, clauses by sentiment and aspect (null and blank are unknown), and, of verified clauses, by resolution
+    and those that need review; one aggregate over grouping sets."""
+    known = [c for c in ("sentiment", "aspect", "resolution") if c in clauses.columns]
+    review = F.col("needs_review") == F.lit(True) if "needs_review" in clauses.columns else F.lit(False)
+    rows = clauses.select(*[blank_to(F.col(c)).alias(c) for c in known], review.alias("review"))
+    sets = rows.groupingSets([[], *[[c] for c in known]], *known).agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("review"), 1)).alias("reviews"))
+    all_bits = (1 << len(known)) - 1
+    own = lambda k: all_bits - (1 << (len(known) - 1 - k))
+    entry = lambda kind, label, n: F.struct(F.lit(kind).alias("kind"), label.cast("string").alias("label"), n.alias("n"))
+    whole = [entry("total", F.lit(None), F.col("n"))] + ([entry("needs_review", F.lit(None), F.col("reviews"))] if "needs_review" in clauses.columns else [])
+    entries = F.when(F.col("g") == all_bits, F.array(*whole))
+    for k, c in enumerate(known):
+        entries = entries.when(F.col("g") == own(k), F.array(entry(c, F.col(c), F.col("n"))))
+    return sets.select(F.explode(entries).alias("e")).select("e.*")
 
 
 def top_keywords(keywords: DataFrame, sentiment: str, n: int = 5) -> DataFrame:
@@ -124,6 +147,12 @@ def compare_runs(a: DataFrame, b: DataFrame, label: str = "genuineness") -> Data
     return both.groupBy("label_a", "label_b", presence.alias("presence")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def patterns(a: DataFrame, b: DataFrame, label: str = "genuineness") -> DataFrame:
+    """rank, label_a, label_b, n of the documents that two runs label differently, the most frequent first, ties by label."""
+    both = compare_runs(a, b, label).where("presence = 'both' and label_a <> label_b").select("label_a", "label_b", "n")
+    return both.select(F.row_number().over(Window.orderBy(F.desc("n"), "label_a", "label_b")).alias("rank"), "label_a", "label_b", "n")  # a row a pair of labels
+
+
 def agreement(a: DataFrame, b: DataFrame, truth: DataFrame | None = None, label: str = "genuineness", enough: float = 0.85) -> DataFrame:
     """One row: compared, matched, agreement, accuracy_a, accuracy_b (against truth), verdict."""
     rows = a.select("doc_id", F.col(label).alias("x")).join(b.select("doc_id", F.col(label).alias("y")), "doc_id")

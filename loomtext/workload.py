@@ -531,9 +531,11 @@ register("clause_ids_by_place", f"WITH {CLAUSES} SELECT doc_id, turn, CAST(doc_i
     lambda s, d: build.clause_ids(clauses(s, d), ordinal="turn").select("doc_id", "turn", "clause_id")
 )
 register("keyword_rows", f"WITH {KEYWORDS} SELECT doc_id, clause_id, keyword, keyword_rank_in_clause FROM keyword_rows")(lambda s, d: keyword_rows(s, d).select("doc_id", "clause_id", "keyword", "keyword_rank_in_clause"))
-register("keyword_counts", f"WITH {KEYWORDS} SELECT (SELECT count(*) FROM clauses) AS clause_count, count(DISTINCT clause_id) AS with_keywords, count(DISTINCT keyword) AS unique_keywords FROM keyword_rows")(
-    lambda s, d: build.keyword_summary(clauses(s, d), keyword_rows(s, d)).drop("top_keywords")
-)
+register(
+    "keyword_counts",
+    f"""WITH {KEYWORDS}, n AS (SELECT keyword, count(*) AS n FROM keyword_rows GROUP BY 1 ORDER BY n DESC, keyword LIMIT 20)
+    SELECT (SELECT count(*) FROM clauses) AS clause_count, count(DISTINCT clause_id) AS with_keywords, count(DISTINCT keyword) AS unique_keywords, (SELECT string_agg(keyword || '=' || n, '|' ORDER BY n DESC, keyword) FROM n) AS top_keywords FROM keyword_rows""",
+)(lambda s, d: build.keyword_summary(clauses(s, d), keyword_rows(s, d)).withColumn("top_keywords", F.array_join(F.transform("top_keywords", lambda e: F.concat_ws("=", e["keyword"], e["n"].cast("string"))), "|")))
 
 # Labels of two runs (BLD-11..14, JON-13, AGG-20). Run B flips some labels by document id.
 
@@ -555,6 +557,24 @@ register(
     SELECT count(*) AS compared, count(*) FILTER (WHERE x = y) AS matched, CAST(NULL AS DOUBLE) AS accuracy_a, CAST(NULL AS DOUBLE) AS accuracy_b, count(*) FILTER (WHERE x = y) / count(*) AS agreement,
            CASE WHEN count(*) FILTER (WHERE x = y) / count(*) >= 0.85 THEN 'agreement_only' ELSE 'review_needed' END AS verdict FROM j""",
 )(lambda s, d: dashboards.agreement(labels(s, d), flipped(s, d)))
+
+
+def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What people said of some documents of the first run."""
+    return labels(spark, sf_dir).where("doc_id % 4 = 1").withColumn("genuineness", F.when(F.col("doc_id") % 3 == 0, "uncertain").otherwise(F.col("genuineness")))
+
+
+register(
+    "run_accuracy",
+    f"""WITH {FLIPPED}, t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'uncertain' ELSE genuineness END AS t FROM label_rows WHERE doc_id % 4 = 1),
+    j AS (SELECT a.genuineness AS x, b.genuineness AS y, t FROM label_rows a JOIN flipped b USING (doc_id) LEFT JOIN t USING (doc_id))
+    SELECT count(*) AS compared, count(*) FILTER (WHERE x = y) AS matched, count(*) FILTER (WHERE x = t) / count(t) AS accuracy_a, count(*) FILTER (WHERE y = t) / count(t) AS accuracy_b, count(*) FILTER (WHERE x = y) / count(*) AS agreement, 'ground_truth' AS verdict FROM j""",
+)(lambda s, d: dashboards.agreement(labels(s, d), flipped(s, d), truth(s, d)))
+register(
+    "run_patterns",
+    f"""WITH {FLIPPED}, p AS (SELECT a.genuineness AS label_a, b.genuineness AS label_b, count(*) AS n FROM label_rows a JOIN flipped b USING (doc_id) WHERE a.genuineness <> b.genuineness GROUP BY ALL)
+    SELECT CAST(row_number() OVER (ORDER BY n DESC, label_a, label_b) AS INTEGER) AS rank, * FROM p""",
+)(lambda s, d: dashboards.patterns(labels(s, d), flipped(s, d)))
 register(
     "label_reconcile",
     f"""WITH {FLIPPED} SELECT doc_id, a.genuineness AS label_a, b.genuineness AS label_b,
@@ -639,6 +659,12 @@ register(
     f"""WITH {KEYWORDS}, k AS (SELECT clause, keyword, min(keyword_rank_in_clause) AS rk FROM keyword_rows GROUP BY ALL), g AS (SELECT clause, string_agg(keyword, '|' ORDER BY rk, keyword) AS keywords, count(*) AS keyword_count FROM k GROUP BY 1), o AS (SELECT clause, count(DISTINCT clause_id) AS occurrence_count FROM keyword_rows GROUP BY 1)
     SELECT clause, keywords, keyword_count, occurrence_count FROM g JOIN o USING (clause)""",
 )(lambda s, d: dashboards.keywords_by_clause(keyword_rows(s, d)).withColumn("keywords", F.array_join("keywords", "|")))
+register(
+    "clauses_with_keyword",
+    f"""WITH {KEYWORDS}, hit AS (SELECT DISTINCT clause FROM keyword_rows WHERE keyword ILIKE '%tion%' OR clause ILIKE '%tion%'), k AS (SELECT clause, keyword, min(keyword_rank_in_clause) AS rk FROM keyword_rows JOIN hit USING (clause) GROUP BY ALL),
+    g AS (SELECT clause, string_agg(keyword, '|' ORDER BY rk, keyword) AS keywords, count(*) AS keyword_count FROM k GROUP BY 1), o AS (SELECT clause, count(DISTINCT clause_id) AS occurrence_count FROM keyword_rows GROUP BY 1)
+    SELECT clause, keywords, keyword_count, occurrence_count FROM g JOIN o USING (clause)""",
+)(lambda s, d: dashboards.keywords_by_clause(keyword_rows(s, d), query="tion").withColumn("keywords", F.array_join("keywords", "|")))
 register("keyword_search", f"WITH {KEYWORDS} SELECT doc_id, clause_id, keyword FROM keyword_rows WHERE aspect = 'user' AND (keyword ILIKE '%th%e%' OR clause ILIKE '%th%e%')")(
     lambda s, d: dashboards.keyword_filter(keyword_rows(s, d), aspect="user", query="th%e").select("doc_id", "clause_id", "keyword")
 )

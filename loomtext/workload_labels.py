@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import build
-from .workload import LISTED, register, table
+from .views import dashboards
+from .workload import LISTED, clean_rows, register, table
 
 ASPECTS = ("food", "place", "price")
 
@@ -124,6 +125,26 @@ VERIFIED = f"""{SENTENCES}, pairs AS (SELECT *, {A} AS a, {B} AS b FROM sentence
 register("verified_clauses", f"WITH {VERIFIED} SELECT doc_id, sentence_index, clause, sentiment, aspect, resolution, needs_review FROM verified")(
     lambda s, d: verified(s, d).select("doc_id", "sentence_index", "clause", "sentiment", "aspect", "resolution", "needs_review")
 )
+register(
+    "verified_summary",
+    f"""WITH {VERIFIED} SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS label, count(*) AS n FROM verified UNION ALL SELECT 'needs_review', NULL, count(*) FILTER (WHERE needs_review) FROM verified
+    UNION ALL SELECT 'sentiment', sentiment, count(*) FROM verified GROUP BY 2 UNION ALL SELECT 'aspect', aspect, count(*) FROM verified GROUP BY 2 UNION ALL SELECT 'resolution', resolution, count(*) FROM verified GROUP BY 2""",
+)(lambda s, d: dashboards.clause_summary(verified(s, d)))
+register(
+    "review_page",
+    f"""WITH {VERIFIED}, ids AS (SELECT *, CAST(doc_id AS VARCHAR) || '-' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index * 10 + CASE aspect WHEN 'food' THEN 1 WHEN 'general' THEN 2 WHEN 'place' THEN 3 ELSE 4 END) - 1 AS VARCHAR) AS clause_id FROM verified)
+    SELECT doc_id, clause_id, aspect, resolution, needs_review FROM ids WHERE sentiment = 'negative' AND needs_review AND resolution <> 'agree' ORDER BY doc_id NULLS LAST, clause_id NULLS LAST LIMIT 40 OFFSET 20""",
+)(
+    lambda s, d: dashboards.clause_view(
+        build.clause_ids(verified(s, d).withColumn("place", F.col("sentence_index") * 10 + F.array_position(F.array(*map(F.lit, ("food", "general", "place", "price"))), F.col("aspect"))), ordinal="place"),
+        clean_rows(s, d),
+        sentiment="negative",
+        only_review=True,
+        only_disputed=True,
+        limit=40,
+        offset=20,
+    ).select("doc_id", "clause_id", "aspect", "resolution", "needs_review")
+)
 
 
 def flat(c: str):
