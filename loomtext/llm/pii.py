@@ -82,10 +82,12 @@ def joined(parts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-#: How an address may be written at all, with marks or words for the at sign and the dots.
-ADDRESS = re.compile(
-    r"[\w+%-]+(?:\W{0,3}(?:\.|\bdot\b)\W{0,3}[\w+%-]+)*\s*[(\[<]?\s*(?:@|\bat\b)\s*[)\]>]?\s*[\w-]+(?:\s*[(\[<]?\s*(?:\.|\bdot\b)\s*[)\]>]?\s*[\w-]+)+", re.IGNORECASE
-)
+#: How an address may be written at all, with marks or words for the at sign and the dots. A word is taken whole or not at all, and
+#: white space at once: a match never ends inside either, and without that a long word would be tried from each of its letters.
+NAME, HOST = r"(?:\w++|[+%-])+", r"(?:\w++|-)+"
+OPEN, CLOSE = r"\s*+(?:[(\[<]\s*+)?", r"\s*+(?:[)\]>]\s*+)?"
+LEFT = rf"{NAME}(?:\W{{0,3}}(?:\.|\bdot\b)\W{{0,3}}{NAME})*{OPEN}"
+ADDRESS = re.compile(rf"{LEFT}(?:@|\bat\b){CLOSE}{HOST}(?:{OPEN}(?:\.|\bdot\b){CLOSE}{HOST})+", re.IGNORECASE)
 JOINTS = frozenset(("@", "at", ".", "dot"))
 #: Characters of tokens of letters that aren't letters, as fractions: kinds_of takes such tokens for marks.
 ODD = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
@@ -93,7 +95,7 @@ ODD = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isalnum() and not c
 NUMBERS = re.compile(rf"[0-9](?:[^\n\w]|[\d_]|[{ODD}][^\W\d_]*+)*[0-9]")
 DIGITS = re.compile("[0-9]+")
 AT = re.compile(r"(?:@|\bat\b)\s*+(?:[)\]>]\s*+)?(?=[\w-])\w*(?:-\w*){0,24}\s*+(?:[(\[<]\s*+)?(?:\.|\bdot\b)\s*+(?:[)\]>]\s*+)?[\w-]", re.IGNORECASE)
-ADDRESS_LEFT = re.compile(r"[\w+%-]+(?:\W{0,3}(?:\.|\bdot\b)\W{0,3}[\w+%-]+)*\s*[(\[<]?\s*\Z", re.IGNORECASE)
+ADDRESS_LEFT = re.compile(rf"(?<![\w+%-]){LEFT}\Z", re.IGNORECASE)
 #: Common last labels of host names.
 LAST_LABELS = frozenset("com org net edu gov info biz io eu us uk de fr es it nl ch at be pl se no dk fi pt ie ca au nz jp cn in br mx".split())
 

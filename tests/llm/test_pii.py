@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -89,6 +90,41 @@ def test_best_segmentation_against_all_segmentations():
     assert sum(s for i, j, k, s in segments if (i, j, k) in chosen) == pytest.approx(best(0))
 
 
+def test_long_words_take_linear_time():
+    model = pii.SemiMarkov({"email:bias": 2.0})
+    word = "a" * 1_000_000
+    for text in (
+        f"{word}! @x.com",
+        f"{word}! at x dot com",
+        f"x {word} at mail dot com",
+        f"ann at {word} dot com",
+        f"{word}.{word}! @x.com and {word}-{word}% at y dot org",
+        "x" + " " * 1_000_000 + "! @x.com",
+        "ann" + " " * 1_000_000 + "at" + " " * 1_000_000 + "x dot com",
+        f"ann.lee @ {word}.{word} - {word}",
+    ):
+        began = time.perf_counter()
+        pii.added_spans(text, [], model, 0.0)
+        assert time.perf_counter() - began < 5, text[:30]  # about a second on a free machine; a day and more before
+
+
+#: The same expressions with words and white space that can be parted.
+SLOW_ADDRESS = re.compile(
+    r"[\w+%-]+(?:\W{0,3}(?:\.|\bdot\b)\W{0,3}[\w+%-]+)*\s*[(\[<]?\s*(?:@|\bat\b)\s*[)\]>]?\s*[\w-]+(?:\s*[(\[<]?\s*(?:\.|\bdot\b)\s*[)\]>]?\s*[\w-]+)+", re.IGNORECASE
+)
+SLOW_LEFT = re.compile(r"[\w+%-]+(?:\W{0,3}(?:\.|\bdot\b)\W{0,3}[\w+%-]+)*\s*[(\[<]?\s*\Z", re.IGNORECASE)
+
+
+def test_addresses_are_those_of_the_plain_expressions():
+    rnd = random.Random(8)
+    parts = ["ann", "lee", " at ", "at", "-at", "(at)", "@", " dot ", "dot", "-dot", "%dot ", "[dot]", ".", " ", "  ", "\n", "-", "+", "%", "_", "!", "<", ")", "9", "é", "com"]
+    for _ in range(60_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 11)))
+        assert bool(pii.ADDRESS.fullmatch(text)) == bool(SLOW_ADDRESS.fullmatch(text)), text
+        a, b = pii.ADDRESS_LEFT.search(text), SLOW_LEFT.search(text)
+        assert (a and a.start()) == (b and b.start()), text
+
+
 def test_empty_table_adds_nothing(spark):
     assert pii.find_pii(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
