@@ -42,6 +42,12 @@ def with_lines(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.withColumn("_lines", F.split(text, "\n")).withColumn("_line_words", F.transform("_lines", words))
 
 
+def text_key(text: str) -> list[Column]:
+    """_t, _u: 128 bits of hashes of a text, null as empty."""
+    c = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(c).alias("_t"), F.xxhash64(F.reverse(c)).alias("_u")]
+
+
 def line_hash(words: Column) -> Column:
     """Of a normalised line: its words in lower case, one space apart."""
     return F.xxhash64(F.lower(F.array_join(words, " ")))
@@ -55,24 +61,27 @@ def frequent_lines(docs: DataFrame, *, min_docs: int, root_factor: float, host_c
     """
     lines = with_lines(docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("host"), F.col(text_col).alias("text")), "text")
     hashes = F.array_distinct(F.transform(F.filter("_line_words", lambda ws: F.size(ws) > 0), line_hash))
-    texts = lines.select("host", F.xxhash64("text").alias("t"), F.xxhash64(F.reverse("text")).alias("u"), hashes.alias("hashes")).dropDuplicates(["host", "t", "u"])
+    texts = lines.select("host", *text_key("text"), hashes.alias("hashes")).dropDuplicates(["host", "_t", "_u"])
     in_host = texts.groupBy("host").agg(F.count(F.lit(1)).alias("n_host"))
     counts = texts.select("host", F.explode("hashes").alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
     return counts.join(in_host, "host").where(F.col("n") > F.lit(root_factor) * F.sqrt("n_host")).select("host", "line")
 
 
-def with_frequent(rows: DataFrame, frequent: DataFrame, most: int) -> DataFrame:
-    """rows with _frequent: the frequent lines of _host, or null.
+def frequent_places(docs: DataFrame, frequent: DataFrame, most: int, *, host_col: str, text_col: str) -> DataFrame:
+    """_host, _t, _u (hashes of a text), _hits: for each text of a host with frequent lines their places and words, array of struct i, n.
 
-    Up to `most` lines (16 bytes each) are counted and broadcast, and no row moves. More are joined with the rows dealt by host
-    and one of 64 salts, so that a large host is many tasks.
+    Lines are joined to the table of frequent ones by (host, hash), one look-up a line however many lines a host has. Up to `most`
+    frequent lines (16 bytes each) are counted and broadcast; beyond that both sides are dealt by host and hash, so that a host
+    is many tasks. Only places of frequent lines are shuffled, by their text.
     """
-    by_host = frequent.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("_frequent")).withColumnRenamed("host", "_host")
-    if frequent.count() <= most:
-        return rows.join(F.broadcast(by_host), "_host", "left")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<long>"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_text"), F.lit(64)))
-    return salted.join(by_host.withColumn("_salt", salts), ["_host", "_salt"], "left").drop("_salt")
+    lines = with_lines(docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(text_col).alias("text")), "text")
+    hashed = F.filter(F.transform("_line_words", lambda ws, i: F.struct(i.alias("i"), F.when(F.size(ws) > 0, line_hash(ws)).alias("line"), F.size(ws).alias("n"))), lambda e: e["line"].isNotNull())
+    keyed = lines.select("_host", *text_key("text"), hashed.alias("all"))  # below the explode, or each line would hash its whole text
+    rows = keyed.select("_host", "_t", "_u", F.explode("all").alias("e")).select("_host", "_t", "_u", "e.i", "e.line", "e.n")
+    known = frequent.select(F.col("host").alias("_host"), "line")
+    small = frequent.count() <= most
+    hits = rows.join(F.broadcast(known) if small else known, ["_host", "line"])
+    return hits.groupBy("_host", "_t", "_u").agg(F.collect_set(F.struct("i", "n")).alias("_hits"))  # equal texts count once
 
 
 def quality(
@@ -98,7 +107,7 @@ def quality(
 
     Null and empty texts have no words and fail; their left_text is empty. A null host is the host "". Repeated rows each get
     the same result. Columns of docs that have a result's name are replaced, all others stay whatever their name. Frequent lines
-    are written once to the shared folder; up to broadcast_lines of them are broadcast (see with_frequent).
+    are written once to the shared folder; up to broadcast_lines of them are broadcast (see frequent_places).
     """
     n = F.col("n_words").cast("int")
     results = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_frequent_lines", "lost_words", "left_text", "kept"]
@@ -117,8 +126,7 @@ def quality(
         *own,
         "_host",
         "_text",
-        "_lines",
-        F.transform("_line_words", lambda ws: F.struct(F.when(F.size(ws) > 0, line_hash(ws)).alias("h"), F.size(ws).alias("n"))).alias("_of_lines"),
+        *text_key("_text"),
         "n_words",
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -127,14 +135,15 @@ def quality(
     ).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
 
     frequent = stored(frequent_lines(docs, min_docs=min_docs, root_factor=root_factor, host_col=host_col, text_col=text_col), "frequent-lines")
-    joined = with_frequent(counted, frequent, broadcast_lines)
-    is_frequent = lambda e: F.coalesce(F.array_contains(F.col("_frequent"), e["h"]), F.lit(False))
-    hit = F.filter("_of_lines", is_frequent)
-    left = F.array_join(F.filter("_lines", lambda line, i: ~is_frequent(F.get("_of_lines", i))), "\n")
+    places = frequent_places(docs, frequent, broadcast_lines, host_col=host_col, text_col=text_col)
+    joined = counted.join(places, ["_host", "_t", "_u"], "left")
+    has = F.col("_hits").isNotNull()
+    lines = F.split(text, "\n")
+    stay = let(lines, lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.transform("_hits", lambda e: e["i"])), lambda i: F.get(ls, i)))
     return joined.select(
         *[F.col(o).alias(c) for c, o in zip(names, own, strict=True)],
         *results[:6],
-        F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(F.size(hit)).cast("long").alias("n_frequent_lines"),
-        F.when(F.col("_frequent").isNull(), F.lit(0)).otherwise(F.aggregate(hit, F.lit(0), lambda acc, e: acc + e["n"])).cast("long").alias("lost_words"),
-        F.when(F.col("_frequent").isNull(), text).otherwise(left).alias("left_text"),
+        F.when(has, F.size("_hits")).otherwise(0).cast("long").alias("n_frequent_lines"),
+        F.when(has, F.aggregate("_hits", F.lit(0), lambda acc, e: acc + e["n"])).otherwise(0).cast("long").alias("lost_words"),
+        F.when(has, F.array_join(stay, "\n")).otherwise(text).alias("left_text"),
     ).withColumn("kept", ~F.col("base_failed") & (F.col("lost_words") <= F.lit(max_lost_share) * F.col("n_words")))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from itertools import groupby
 
 import pytest
@@ -152,3 +153,15 @@ def test_no_python_in_the_plans(docs):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality(none).count() == 0 and line_dedup(none).count() == 0
+
+
+def test_many_frequent_lines_take_linear_time(spark):
+    took = []
+    for size in (4_000, 40_000):
+        text = "\n".join(f"line number {k} of many" for k in range(size))
+        docs = spark.createDataFrame([(i, f"{text}\nown words {i} " * (i < 9), "h") for i in range(8)], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        got = quality(docs, min_docs=5, root_factor=0.5).collect()
+        took.append(time.perf_counter() - began)
+        assert {(r.n_frequent_lines, r.lost_words) for r in got} == {(size, 5 * size)} and {r.left_text for r in got} == {f"own words {i} " for i in range(8)}
+    assert took[1] < 20 * max(took[0], 1), took
