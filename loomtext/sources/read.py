@@ -2,28 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 from io import BytesIO
+from itertools import islice
 from xml.etree import ElementTree
 from zipfile import ZipFile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All values are text; quotes are doubled inside quotes; fields may span lines."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', sep=sep)
+def read_csv(spark: SparkSession, path: str, sep: str = ",", *, multi_line: bool = True) -> DataFrame:
+    """All values are text; quotes are doubled inside quotes. Fields may span lines, so a file is one task; where none does, say
+    multi_line=False, and large files are split."""
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', sep=sep)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Objects, one a line; blank lines and lines that aren't objects are left out. A schema keeps names, order and types."""
+    """Objects, one a line; blank lines and lines that aren't objects are left out. A schema keeps names, order and types; without one
+    it is inferred from all lines, and objects that don't fit it are left out, too."""
     lines = spark.read.text(path).where(F.trim("value").rlike(r"^\{.*\}$"))
-    if schema is None:
-        return spark.read.option("mode", "DROPMALFORMED").json(lines.select("value").rdd.map(lambda r: r[0]))
-    parsed = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null")
-    return parsed.select("r.*")
+    if schema is not None:
+        return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null").select("r.*")
+    found = spark.read.json(path, mode="DROPMALFORMED", columnNameOfCorruptRecord="_broken_line").schema
+    marked = T.StructType([*[f for f in found if f.name != "_broken_line"], T.StructField("_broken_line", T.StringType())])
+    parsed = lines.select(F.from_json("value", marked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken_line"}).alias("r"))
+    return parsed.where(F.col("r._broken_line").isNull() & F.col("r").isNotNull()).select("r.*").drop("_broken_line")
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
@@ -33,44 +40,73 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
 SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
-def sheet_rows(content: bytes) -> list[list[str]]:
-    """Cells of a workbook's first sheet as text: its zip parts are read with the standard library."""
-    with ZipFile(BytesIO(content)) as z:
-        names = z.namelist()
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
-        first = min((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
-        out = []
-        for row in ElementTree.fromstring(z.read(first)).iter(f"{SHEET}row"):
-            cells: dict[int, str] = {}
-            for k, c in enumerate(row.iter(f"{SHEET}c")):
-                letters = "".join(x for x in c.get("r", "") if x.isalpha())
-                at = k
-                if letters:
-                    at = 0
-                    for x in letters:
-                        at = at * 26 + ord(x) - 64
-                    at -= 1
-                v = c.find(f"{SHEET}v")
-                text = "".join(t.text or "" for t in c.iter(f"{SHEET}t")) if c.get("t") == "inlineStr" else (v.text or "" if v is not None else "")
-                cells[at] = shared[int(text)] if c.get("t") == "s" and text else text
-            out.append([cells.get(k, "") for k in range(max(cells, default=-1) + 1)])
-        return out
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def first_sheet(book: ZipFile) -> str:
+    """The part that holds the first sheet in the workbook's own order; without that, the one with the smallest number."""
+    names = set(book.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        sheet = next(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{SHEET}sheet"), None)
+        for link in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels")):
+            if sheet is not None and link.get("Id") == sheet.get(LINK):
+                target = (link.get("Target") or "").lstrip("/")
+                return target if target.startswith("xl/") else f"xl/{target}"
+    return min((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+
+
+def column_of(place: str, otherwise: int) -> int:
+    """The column, from 0, of a cell's place such as AB12."""
+    at = 0
+    for x in place:
+        if x.isalpha():
+            at = at * 26 + ord(x) - 64
+    return at - 1 if at else otherwise
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str]]:
+    """Cells of a workbook's first sheet as text, row by row: its zip parts are read with the standard library, the sheet as a stream."""
+    with ZipFile(BytesIO(content)) as book:
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in book.namelist():
+            shared = ["".join(t.text or "" for t in si.iter(f"{SHEET}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
+        with book.open(first_sheet(book)) as sheet:
+            for _, row in ElementTree.iterparse(sheet):
+                if row.tag != f"{SHEET}row":
+                    continue
+                cells: dict[int, str] = {}
+                for k, c in enumerate(row.iter(f"{SHEET}c")):
+                    v = c.find(f"{SHEET}v")
+                    text = "".join(t.text or "" for t in c.iter(f"{SHEET}t")) if c.get("t") == "inlineStr" else (v.text or "" if v is not None else "")
+                    cells[column_of(c.get("r", ""), k)] = shared[int(text)] if c.get("t") == "s" and text else text
+                yield [cells.get(k, "") for k in range(max(cells, default=-1) + 1)]
+                row.clear()
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     """The first sheet: its first row names the columns, columns without a name and rows without a value are left out; all text.
 
-    A workbook is one file of bounded size (a sheet has at most 2^20 rows), so it is read by one task for each file.
+    A workbook is one file of bounded size (a sheet has at most 2^20 rows), so it is read by one task for each file, as a stream of
+    rows. Only the first row of one workbook comes to the driver, for the names.
     """
+
+    def run(batches: Iterator[pa.RecordBatch], head: bool) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0).to_pylist():
+                rows = sheet_rows(content)
+                some = list(islice(rows, 1))
+                if not head:
+                    while some := list(islice(rows, 5_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.string()))], names=["cells"])
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.list_(pa.string()))], names=["cells"])
+
     content = spark.read.format("binaryFile").load(path).select("content")
-    head = next(iter(sheet_rows(bytes(content.first()["content"]))), [])
-    names = [h.strip() for h in head]
-    rows = content.select("content").rdd.flatMap(lambda r: sheet_rows(bytes(r["content"]))[1:])
-    wanted = [k for k, n in enumerate(names) if n]
-    cells = rows.map(lambda r: [r[k] if k < len(r) else "" for k in wanted]).filter(lambda r: any(v != "" for v in r))
-    return spark.createDataFrame(cells, T.StructType([T.StructField(names[k], T.StringType()) for k in wanted]))
+    first = content.limit(1).mapInArrow(lambda batches: run(batches, True), "cells array<string>").first()
+    names = [(k, h.strip()) for k, h in enumerate(first["cells"] if first else []) if h.strip()]
+    cells = content.mapInArrow(lambda batches: run(batches, False), "cells array<string>")
+    rows = cells.select(*[F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(n) for k, n in names])
+    return rows.where(reduce(lambda x, y: x | y, [F.col(f"`{n}`") != "" for _, n in names], F.lit(False)))
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -119,6 +119,26 @@ def test_workbook(spark, tmp_path):
         z.writestr("xl/sharedStrings.xml", strings)
     df = sources.read_rows(spark, f"{tmp_path}/w.xlsx")
     assert df.columns == ["id", "본문"] and sorted(map(tuple, df.collect())) == [("", "값"), ("7", "")]
+    other = f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="AB1" t="inlineStr"><is><t>far</t></is></c></row><row r="2"><c r="AB2"><v>5</v></c></row></sheetData></worksheet>'
+    link = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "o.xlsx", "w") as z:  # the second file is the first sheet
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+        z.writestr("xl/worksheets/sheet2.xml", other)
+        z.writestr("xl/sharedStrings.xml", strings)
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{link}"><sheets><sheet name="b" sheetId="2" r:id="r2"/><sheet name="a" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+    assert [r.asDict() for r in sources.read_rows(spark, f"{tmp_path}/o.xlsx").collect()] == [{"far": "5"}]
+
+
+def test_json_lines_in_the_jvm_and_split_csv(spark, tmp_path):
+    (tmp_path / "y.jsonl").write_text('{"a": 1, "b": {"c": "x"}}\n{"a": 2.5}\n  {"b": null}  \n{"a": broken}\n"text"\n')
+    df = sources.read_rows(spark, f"{tmp_path}/y.jsonl")
+    assert sorted((r.a or 0, r.b and r.b.c) for r in df.collect()) == [(0, None), (1.0, "x"), (2.5, None)]
+    assert "RDD" not in df._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "z.csv").write_text('a,b\n1,"x, ""y"""\n2,\n')
+    from loomtext.sources.read import read_csv
+
+    assert [tuple(r) for r in read_csv(spark, f"{tmp_path}/z.csv", multi_line=False).collect()] == [("1", 'x, "y"'), ("2", None)]
 
 
 def test_provenance_ignores_the_order_of_inputs():
