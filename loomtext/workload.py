@@ -807,3 +807,4 @@ register(
 )
 
 from . import workload_labels  # noqa: E402, F401  (registers its queries)
+from . import workload_files  # noqa: E402, F401
