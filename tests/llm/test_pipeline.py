@@ -48,5 +48,27 @@ def test_stages(spark):
     assert {p.doc_id for p in pieces} == seen["personal_data"].keys()
 
 
+def test_odd_rows_go_through_all_stages(spark):
+    good = rows()[0][1]
+    odd = [
+        (1, good, None, None, None, 5, "x"),
+        (1, good, None, None, None, 5, "x"),
+        (None, good.replace("word1", "other"), "en", "s", 1, None, None),
+        (2, "", "en", "s", 0, 1, "y"),
+        (3, None, None, None, None, None, None),
+        (4, " \n\t ", "en", "s", 4, 1, "y"),
+        (5, "\n".join(f"long line number {k} with its own words a{k} b{k}" for k in range(20_000)), "en", "s", 0, 1, "y"),
+    ]
+    docs = spark.createDataFrame(odd, "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept string")
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for name, stage in cp.STAGES[:-1]:
+            kept = cp.stored(stage(spark, kept, ""), name)
+            assert kept.columns == COLUMNS
+        ids = sorted((r.doc_id or 0) for r in kept.collect())
+        pieces = cp.STAGES[-1][1](spark, kept, "").collect()
+        assert ids == ([0, 1, 5] if table is docs else []) and {p.doc_id or 0 for p in pieces} == set(ids)
+
+
 def test_the_stages_are_those_of_the_contract():
     assert [n for n, _ in cp.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "personal_data", "packing"] and cp.ORACLE_SQL is None

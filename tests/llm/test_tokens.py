@@ -1,8 +1,10 @@
 """Operators 1, 3, 7 and 8 against the libraries, on whole small tables with odd texts."""
 
 import base64
+import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -68,6 +70,44 @@ def test_byte_bpe_like_tiktoken(docs):
     assert byte_bpe.round_trip(docs, RANKS, P.PATTERN).where("decoded_sha256 is null").count() == 0
 
 
+def test_round_trip_by_value(docs):
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    expected = []
+    for r in docs.collect():
+        ids = encoding.encode_ordinary(r.text or "")
+        expected.append((r.doc_id or -1, len(ids), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode())))
+    got = byte_bpe.round_trip(docs, RANKS, P.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted((r.doc_id or -1, *r[1:]) for r in got) == sorted(expected)
+
+
+def test_packing_is_best_fit_decreasing(docs):
+    rows = packing.pack(docs.coalesce(1), JSON, 1, window=64, block_tokens=1 << 40).collect()
+    filled = Counter()
+    for r in rows:
+        filled[r.sequence_id] += r.length
+    plain = []
+    for n in sorted((r.length for r in rows), reverse=True):
+        fits = [k for k, left in enumerate(plain) if left >= n]
+        k = min(fits, key=plain.__getitem__) if fits else len(plain)
+        plain[k:] = plain[k:] or [64]
+        plain[k] -= n
+    assert sorted(filled.values()) == sorted(64 - left for left in plain)
+    full = {}
+    for r in rows:
+        full.setdefault((r.doc_id, r.doc_tokens), set()).add((r.start, r.length))
+    for (_, n), pieces in full.items():
+        assert pieces == {(s, min(64, n - s)) for s in range(0, n, 64)}
+
+
+def test_empty_tables(docs):
+    none = docs.limit(0)
+    assert byte_bpe.round_trip(none, RANKS, P.PATTERN).count() == token_count.count_tokens(none, PIECES).count() == packing.pack(none, JSON, 1).count() == 0
+
+
 def test_piece_counts_like_sentencepiece(docs):
     import sentencepiece
 
