@@ -18,7 +18,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = {"allowed": ASPECTS, "fallback": "general", "areas": ("overall", "service", "staff")}
-SENTENCES = f"listed AS (SELECT doc_id, {LISTED.format(c='text')} AS ss FROM documents), sentences AS (SELECT doc_id, i AS sentence_index, ss[i] AS sentence, length(ss[i]) AS n FROM listed, unnest(range(1, len(ss) + 1)) u(i))"
+SENTENCES = f"listed AS (SELECT doc_id, {LISTED.format(c='text')} AS ss FROM documents), sentences AS (SELECT doc_id, CAST(i AS INTEGER) AS sentence_index, ss[i] AS sentence, length(ss[i]) AS n FROM listed, unnest(range(1, len(ss) + 1)) u(i))"
 
 
 def _label(skip: int, off: int, mood: str, aspects: str, area: str) -> str:
