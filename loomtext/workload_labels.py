@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import build
 from .planted import grade, judge, model_a, model_b
 from .views import dashboards
-from .workload import LISTED, clean_rows, register, table
+from .workload import LISTED, ORACLE, clean_rows, register, table
 
 ASPECTS = ("food", "place", "price")
 
@@ -108,6 +108,46 @@ register(
 )
 
 
+def chunk_labels(spark: SparkSession, sf_dir: str, by: int) -> DataFrame:
+    """Chunks of documents with a label by their length."""
+    chunks = build.chunk_sentences(table(spark, sf_dir, "documents"), most_sentences=8, most_chars=600)
+    label = F.element_at(F.array(*map(F.lit, ("genuine_review", "uncertain", "non_review"))), (F.length("chunk") % by % 3 + 1).cast("int"))
+    return chunks.select("doc_id", "chunk_index", "sentence_start", "sentence_end", label.alias("label"))
+
+
+def spans_text(c):
+    return F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["sentence_start"].cast("string"), s["sentence_end"].cast("string"))), "|")
+
+
+_TIERS = "['genuine_review', 'uncertain', 'non_review']"
+CHUNK_LABELS = f"chunks AS ({ORACLE['sentence_chunks']}), labelled AS (SELECT *, {_TIERS}[length(chunk) % 3 + 1] AS label, {_TIERS}[length(chunk) % 4 % 3 + 1] AS other FROM chunks)"
+register(
+    "combined_chunks",
+    f"""WITH {CHUNK_LABELS} SELECT doc_id, CASE WHEN bool_or(label = 'genuine_review') THEN 'genuine_review' WHEN bool_or(label = 'uncertain') THEN 'uncertain' ELSE 'non_review' END AS label,
+      coalesce(string_agg(sentence_start || '-' || sentence_end, '|' ORDER BY chunk_index) FILTER (WHERE label = 'genuine_review'), '') AS spans FROM labelled GROUP BY doc_id""",
+)(lambda s, d: build.combine_chunks(chunk_labels(s, d, 3)).select("doc_id", "label", spans_text(F.col("genuine_spans")).alias("spans")))
+register(
+    "union_spans",
+    f"""WITH {CHUNK_LABELS}, u AS (SELECT DISTINCT doc_id, sentence_start, sentence_end FROM labelled WHERE label = 'genuine_review' OR other = 'genuine_review')
+    SELECT doc_id, coalesce(string_agg(sentence_start || '-' || sentence_end, '|' ORDER BY sentence_start, sentence_end), '') AS spans FROM (SELECT DISTINCT doc_id FROM chunks) LEFT JOIN u USING (doc_id) GROUP BY doc_id""",
+)(
+    lambda s, d: build.combine_chunks(chunk_labels(s, d, 3))
+    .select("doc_id", F.col("genuine_spans").alias("a"))
+    .join(build.combine_chunks(chunk_labels(s, d, 4)).select("doc_id", F.col("genuine_spans").alias("b")), "doc_id")
+    .select("doc_id", spans_text(build.union_spans(F.col("a"), F.col("b"))).alias("spans"))
+)
+register(
+    "span_sentences",
+    f"""WITH {CHUNK_LABELS}, {SENTENCES}, g AS (SELECT doc_id, sentence_start AS s, sentence_end AS e FROM labelled WHERE label = 'genuine_review'),
+    kept AS (SELECT doc_id, sentence_index FROM sentences WHERE doc_id NOT IN (SELECT doc_id FROM g) UNION SELECT sentences.doc_id, sentence_index FROM sentences JOIN g ON g.doc_id = sentences.doc_id AND sentence_index - 1 >= s AND sentence_index - 1 < e)
+    SELECT doc_id, count(*) AS n, CAST(sum(sentence_index) AS BIGINT) AS places FROM kept GROUP BY doc_id""",
+)(
+    lambda s, d: build.sentence_table(table(s, d, "documents"), spans=build.combine_chunks(chunk_labels(s, d, 3)), id_col="doc_id", text_col="text")
+    .groupBy("doc_id")
+    .agg(F.count(F.lit(1)).alias("n"), F.sum("sentence_index").alias("places"))
+)
+
+
 def flat(c: str):
     return F.array_join(F.transform(F.col(c), lambda e: F.concat_ws("=", e["label"], e["n"].cast("string"))), "|").alias(c)
 
