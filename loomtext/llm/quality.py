@@ -77,7 +77,8 @@ def frequent_places(docs: DataFrame, frequent: DataFrame, most: int, *, host_col
     lines = with_lines(docs.select(F.coalesce(F.col(host_col), F.lit("")).alias("_host"), F.col(text_col).alias("text")), "text")
     hashed = F.filter(F.transform("_line_words", lambda ws, i: F.struct(i.alias("i"), F.when(F.size(ws) > 0, line_hash(ws)).alias("line"), F.size(ws).alias("n"))), lambda e: e["line"].isNotNull())
     keyed = lines.select("_host", *text_key("text"), hashed.alias("all"))  # below the explode, or each line would hash its whole text
-    rows = keyed.select("_host", "_t", "_u", F.explode("all").alias("e")).select("_host", "_t", "_u", "e.i", "e.line", "e.n")
+    # outer, as Spark would filter by the array's size first and so make it twice; the join leaves nulls out
+    rows = keyed.select("_host", "_t", "_u", F.explode_outer("all").alias("e")).select("_host", "_t", "_u", "e.i", "e.line", "e.n")
     known = frequent.select(F.col("host").alias("_host"), "line")
     small = frequent.count() <= most
     hits = rows.join(F.broadcast(known) if small else known, ["_host", "line"])
