@@ -210,10 +210,11 @@ def truncate(c: Column, most: int) -> Column:
     return F.struct(F.left(c, F.lit(most)).alias("text"), F.length(c).alias("original_chars"), F.least(F.length(c), F.lit(most)).alias("kept_chars"), (F.length(c) > most).alias("truncated"))
 
 
-def garbage_flags(c: Column) -> Column:
-    """Array of the garbage rules that a text meets; empty_or_noise if no letter or digit is left."""
-    flags = [F.when(c.rlike(ANY_CASE + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in GARBAGE.items()]
-    flags.append(F.when(~F.coalesce(c, F.lit("")).rlike("[0-9A-Za-z가-힣]"), F.lit("empty_or_noise")))
+def garbage_flags(c: Column, rules: Sequence[str] = (*GARBAGE, "empty_or_noise")) -> Column:
+    """Array of those of the named garbage rules that a text meets, in their fixed order; empty_or_noise if no letter or digit is left."""
+    flags = [F.when(c.rlike(ANY_CASE + "|".join(f"(?:{p})" for p in patterns)), F.lit(name)) for name, patterns in GARBAGE.items() if name in rules]
+    if "empty_or_noise" in rules:
+        flags.append(F.when(~F.coalesce(c, F.lit("")).rlike("[0-9A-Za-z가-힣]"), F.lit("empty_or_noise")))
     return F.filter(F.array(*flags), lambda f: f.isNotNull())
 
 
