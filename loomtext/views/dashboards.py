@@ -74,27 +74,41 @@ def keyword_totals(keywords: DataFrame) -> DataFrame:
     )
 
 
+#: What stands for a clause's text where rows are shuffled: 128 bits of hashes and its length. Texts themselves are moved once each.
+MARK = ("_h", "_g", "_n")
+
+
+def marked(keywords: DataFrame) -> DataFrame:
+    c = F.col("clause")
+    return keywords.where("keyword is not null").withColumns({"_h": F.xxhash64(c), "_g": F.xxhash64(F.lit(1), c), "_n": F.length(c)})
+
+
 def keyword_table(keywords: DataFrame) -> DataFrame:
     """Per keyword: count, document_count, dominant_sentiment and its ratio, top_aspect, representative_clause (longest, then first).
 
-    Dominant values are those with the most rows, ties by value, null last. The keywords are read once: what a keyword has in a
-    document becomes one row, whose first entry counts the document; then rows are counts by keyword, sentiment and aspect, of which
-    a keyword has few.
+    Dominant values are those with the most rows, ties by value, null last. What a keyword has in a document becomes one row, whose
+    first entry counts the document; then rows are counts by keyword, sentiment and aspect, of which a keyword has few. Rows have the
+    lengths of their clauses; only texts as long as a keyword's longest are looked up, by their marks.
     """
-    longest = F.min_by("clause", F.struct((-F.length("clause")).alias("o"), F.col("clause").alias("c"))).alias("clause")
-    in_doc = keywords.where("keyword is not null").groupBy("keyword", "doc_id").agg(F.collect_list(F.struct("sentiment", "aspect")).alias("all"), longest)
-    rows = in_doc.select("keyword", F.col("doc_id").isNotNull().alias("is_doc"), "clause", F.posexplode("all").alias("i", "e"))
-    cells = rows.groupBy("keyword", "e.sentiment", "e.aspect").agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("i") == 0) & F.col("is_doc"), 1)).alias("docs"), longest)
+    rows = marked(keywords)
+    longest = F.max("_n").alias("_n")
+    in_doc = rows.groupBy("keyword", "doc_id").agg(F.collect_list(F.struct("sentiment", "aspect")).alias("all"), longest)
+    entries = in_doc.select("keyword", F.col("doc_id").isNotNull().alias("is_doc"), "_n", F.posexplode("all").alias("i", "e"))
+    cells = entries.groupBy("keyword", "e.sentiment", "e.aspect").agg(F.count(F.lit(1)).alias("n"), F.count(F.when((F.col("i") == 0) & F.col("is_doc"), 1)).alias("docs"), longest)
     out = cells.groupBy("keyword").agg(F.sum("n").alias("count"), F.sum("docs").alias("document_count"), longest, F.collect_list(F.struct("sentiment", "aspect", "n")).alias("cells"))
+    best = rows.groupBy("keyword").agg(longest)
+    tied = rows.select("keyword", *MARK).join(best, ["keyword", "_n"], "left_semi").distinct()
+    texts = rows.select(*MARK, "clause").distinct()
+    clause = tied.join(texts, list(MARK)).groupBy("keyword").agg(F.min("clause").alias("clause"))
 
     def most(name: str) -> Column:
         total = lambda v: F.aggregate(F.filter("cells", lambda c: c[name].eqNullSafe(v)), F.lit(0).cast("long"), lambda t, c: t + c["n"])
         values = F.array_distinct(F.transform("cells", lambda c: c[name]))
         return F.array_min(F.transform(values, lambda v: F.struct((-total(v)).alias("o"), v.isNull().alias("z"), v.alias("v"))))
 
-    best = out.withColumns({"s": most("sentiment"), "a": most("aspect")})
+    found = out.join(clause, "keyword", "left").withColumns({"s": most("sentiment"), "a": most("aspect")})
     ratio = F.round((-F.col("s.o")).cast("double") / F.col("count"), 4)
-    return best.select("keyword", "count", "document_count", F.col("s.v").alias("dominant_sentiment"), ratio.alias("dominant_sentiment_ratio"), F.col("a.v").alias("top_aspect"), F.col("clause").alias("representative_clause"))
+    return found.select("keyword", "count", "document_count", F.col("s.v").alias("dominant_sentiment"), ratio.alias("dominant_sentiment_ratio"), F.col("a.v").alias("top_aspect"), F.col("clause").alias("representative_clause"))
 
 
 def clause_summary(clauses: DataFrame) -> DataFrame:
@@ -130,14 +144,21 @@ def word_cloud(keywords: DataFrame, n: int = 30) -> DataFrame:
 
 
 def keywords_by_clause(keywords: DataFrame, *, query: str = "") -> DataFrame:
-    """clause, keywords (array by rank, then word), keyword_count, occurrence_count (clause ids); equal clause texts are one."""
-    rows = keywords.where("keyword is not null")
+    """clause, keywords (array by rank, then word), keyword_count, occurrence_count (clause ids); equal clause texts are one.
+
+    Rows are grouped by their clause's mark, which its text joins at the end.
+    """
+    rows = marked(keywords).where("clause is not null")
+    mark = list(MARK)
+    texts = rows.select(*mark, "clause")
     if query:
-        rows = rows.join(keyword_filter(rows, query=query).select("clause").distinct(), "clause", "left_semi")
-    once = rows.groupBy("clause", "keyword").agg(F.min("keyword_rank_in_clause").alias("rank"))
-    listed = once.groupBy("clause").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k"))
-    times = rows.groupBy("clause").agg(F.countDistinct("clause_id").alias("occurrence_count"))
-    return listed.join(times, "clause").select("clause", F.transform("k", lambda e: e["keyword"]).alias("keywords"), F.size("k").cast("long").alias("keyword_count"), "occurrence_count")
+        hits = keyword_filter(rows, query=query).select(*mark, "clause").distinct()
+        rows, texts = rows.join(hits.select(*mark), mark, "left_semi"), hits
+    once = rows.groupBy(*mark, "keyword").agg(F.min("keyword_rank_in_clause").alias("rank"))
+    listed = once.groupBy(*mark).agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k"))
+    times = rows.groupBy(*mark).agg(F.countDistinct("clause_id").alias("occurrence_count"))
+    found = listed.join(times, mark).join(texts.distinct(), mark)
+    return found.select("clause", F.transform("k", lambda e: e["keyword"]).alias("keywords"), F.size("k").cast("long").alias("keyword_count"), "occurrence_count")
 
 
 def compare_runs(a: DataFrame, b: DataFrame, label: str = "genuineness") -> DataFrame:
