@@ -35,10 +35,11 @@ def column_types(rows: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 def _made(source: DataFrame, text_columns: Sequence[str], index: str, version: str, date_column: str | None, types: Mapping[str, str]) -> DataFrame:
     """The cleaned table's columns, of rows that are kept."""
-    raw = _joined(text_columns)
+    names = source.columns
+    source, raw = source.withColumn("_raw_text", _joined(text_columns)), F.col("_raw_text")  # read twice, so it is made once
     row_id = F.concat(F.lit(f"{version}:row:"), F.col(f"`{index}`").cast("string"))
     created = vx.coerce_timestamp(F.col(f"`{date_column}`").cast("string")) if date_column else F.lit(None).cast("string")
-    more = [c for c in source.columns if c not in {*text_columns, index, date_column}]
+    more = [c for c in names if c not in {*text_columns, index, date_column}]
     further = lambda c: vx.coerce(F.col(f"`{c}`"), types[c]) if c in types else F.col(f"`{c}`")
     return source.select(
         row_id.alias("row_id"),
@@ -49,7 +50,7 @@ def _made(source: DataFrame, text_columns: Sequence[str], index: str, version: s
         created.alias("created_at"),
         F.lit("keep").alias("clean_status"),
         F.lit("text kept after deterministic cleaning").alias("clean_reason"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in source.columns])).alias("source_json"),
+        F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])).alias("source_json"),
         *[further(c).alias(n) for c, n in zip(more, vx.column_aliases(more), strict=True)],
     )
 
@@ -80,7 +81,8 @@ def clean(
     afterwards. Further columns keep their names in a safe form, and their values; those in `types` (see column_types) become
     integers, floats or timestamps, null where they are none.
     """
-    digested = rows.select(*_source(rows, index), _digest(cleaned(_joined(text_columns))).alias("digest"))
+    texts = rows.select(*_source(rows, index), cleaned(_joined(text_columns)).alias("text"))
+    digested = texts.select("r", "place", _digest(F.col("text")).alias("digest"))  # reads text twice, so it is made once
     return _made(_kept(digested, dedup), text_columns, index, version, date_column, types or {})
 
 
