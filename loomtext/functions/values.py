@@ -13,6 +13,8 @@ from .text import UNICODE, strip
 
 # Timestamp formats that are understood, in order.
 TIMESTAMPS = ("yyyy-MM-dd'T'HH:mm:ssXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd")
+#: How texts in these formats begin. Others aren't tried: each format that doesn't fit costs an exception.
+YEAR_FIRST = "^[+-]?[0-9]{4,}[-/]"
 DATES = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd")
 #: The share of filled values that must be timestamps.
 TIMESTAMP_SHARE = 0.9
@@ -21,7 +23,7 @@ TIMESTAMP_SHARE = 0.9
 def coerce_timestamp(c: Column) -> Column:
     """ISO text in UTC of a text in one of the known formats, else null. Without a zone it is UTC. The session's zone must be UTC."""
     text = strip(F.regexp_replace(c, "^﻿+", ""))
-    tried = F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMPS])
+    tried = F.when(text.rlike(YEAR_FIRST), F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIMESTAMPS]))
     return F.when(~F.lower(text).startswith("invalid"), F.date_format(tried, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
