@@ -32,18 +32,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_bytes: int | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: the lineage is cut, and a lost executor costs nothing.
 
-    The shuffle files behind it go when it is written.
+    The shuffle files behind it go when it is written. batch_bytes: about the most that an Arrow batch has meanwhile.
     """
-    spark, path, key = df.sparkSession, scratch(df.sparkSession, name), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    put = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    if batch_bytes:
+        put["spark.sql.execution.arrow.maxBytesPerBatch"] = str(batch_bytes)
+    before = {key: spark.conf.get(key, None) for key in put}
     try:
+        for key, value in put.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

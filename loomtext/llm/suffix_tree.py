@@ -8,7 +8,7 @@ from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import discard, scratch, slices, stored
@@ -19,6 +19,10 @@ END = 0
 FILTER = 1 << 26
 #: Most rows of a table that each worker reads to settle frequent rows without a join. It spares rows and changes no result.
 AT_HAND = 2_500_000
+#: The same for entries of a length. Others are asked for in packs, which costs about as much a token in a small corpus as in a large one.
+ENTRIES_AT_HAND = 1_000_000
+#: Bytes of an Arrow batch, about: texts and packs are large rows.
+BATCH = 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -129,19 +133,86 @@ class Tally:
         return out
 
 
+def bounds_of(parts: int):
+    """The least key of each of `parts` equal ranges of 64-bit keys."""
+    import numpy as np
+
+    return np.array([(i << 64) // parts - (1 << 63) for i in range(parts)], "i8")
+
+
+def packed(columns: list, by, parts: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A row for each range of the sorted keys `by` that has any: part, and the 64-bit columns of its records in one binary value.
+    They come in batches of about `most` bytes."""
+    import numpy as np
+
+    edges = np.append(np.searchsorted(by, bounds_of(parts)), len(by))
+    some = np.flatnonzero(np.diff(edges))
+    if not len(some):
+        return
+    cuts = np.flatnonzero(np.diff(edges[some] * 8 * len(columns) // most, prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(some)), strict=True):
+        least, end = edges[some[a]], edges[some[b - 1] + 1]
+        records = np.stack([c[least:end].view("i8") for c in columns], axis=1)
+        offsets = (np.append(edges[some[a:b]], end) - least) * 8 * len(columns)
+        values = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype("i4")), pa.py_buffer(records)])
+        yield pa.RecordBatch.from_arrays([pa.array(some[a:b].astype("i4")), values], names=["part", "records"])
+
+
+def records_in(column: pa.Array, width: int):
+    """The records of packed values, as one array of each of their columns."""
+    import numpy as np
+
+    edges = np.frombuffer(column.buffers()[1], "i4", len(column) + 1, 4 * column.offset)
+    raw = memoryview(column.buffers()[2] or b"")[edges[0] : edges[-1]]
+    return np.frombuffer(raw, "i8").reshape(-1, width).T
+
+
+def counted(packs: DataFrame, parts: int, names: list[str], least: int, most: int = 1_200_000) -> DataFrame:
+    """The named keys and their n, summed over packs of (keys, n), if it is `least` or more. Each range of keys is summed in a task of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        tally = Tally(most, len(names))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 8):
+                *keys, n = records_in(batch.column(0).slice(i, 8), len(names) + 1)
+                tally.add(keys[0].copy() if len(keys) == 1 else np.stack(keys), n.copy())
+                if tally.size > tally.most // 2:  # room grows with the distinct keys
+                    tally.most = 2 * max(tally.size, most)
+        keys, n = tally.take()
+        some = np.flatnonzero(n >= least)
+        keys = np.atleast_2d(keys)[:, some]
+        for at in range(0, len(some), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (*keys, n[some])], names=[*names, "n"])
+
+    return packs.repartitionById(parts, F.col("part")).select("records").mapInArrow(run, "".join(f"{k} long, " for k in names) + "n long")
+
+
+def partitions(spark, records: int = 0) -> int:
+    """Ranges of keys: as many as Spark's shuffle partitions, and more if one would have over 1.5 million of the records."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records // 1_500_000))
+
+
 def count_words(train: DataFrame, most: int = 1_000_000) -> DataFrame:
     """key, n of all words of the training texts, and of their ends. Tasks count first, in bounded arrays."""
+    parts = partitions(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap.cache_clear(), sorted_table.cache_clear()  # of an earlier tree
         tally = Tally(most, 1)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(x) for x in tally.take()], names=["key", "n"])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, n = tally.take()
+            return packed([keys, n], keys, parts)
+
         for part in slices(batches, "text", 2 << 20):
             found = pa.array(tokens_of(part.column(0))[0]).value_counts()
             if tally.add(found.field(0).to_numpy(), found.field(1).to_numpy()):
-                yield out()
-        yield out()
+                yield from out()
+        yield from out()
 
-    return train.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counted(train.mapInArrow(run, "part int, records binary"), parts, ["key"], 1)
 
 
 def mixed(a, b):
@@ -225,13 +296,14 @@ def found_at(table: tuple, keys):
     return np.where(table[0][at] == keys, at, -1)
 
 
-def at_hand(rows: DataFrame, n: str, columns: list[Column]) -> tuple[str, bool]:
-    """Writes the columns of the rows of largest n, at most AT_HAND of them; its path, and if these are all rows."""
+def at_hand(rows: DataFrame, n: str, columns: list[Column], most: int | None = None) -> tuple[str, bool]:
+    """Writes the columns of the rows of largest n, at most AT_HAND of them (and `most`); its path, and if these are all rows."""
+    most = AT_HAND if most is None else min(most, AT_HAND)
     power = F.when(F.col(n) < 16, F.col(n)).otherwise(F.floor(F.log2(n)) + 12).cast("int")
     sizes = {r["power"]: r["rows"] for r in rows.groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("rows")).collect()}  # 80 rows at most
     held, least = 0, 80
     for p in sorted(sizes, reverse=True):
-        if held + sizes[p] > AT_HAND:
+        if held + sizes[p] > most:
             break
         held, least = held + sizes[p], p
     path = scratch(rows.sparkSession, "at-hand")
@@ -239,17 +311,18 @@ def at_hand(rows: DataFrame, n: str, columns: list[Column]) -> tuple[str, bool]:
     return path, held == sum(sizes.values())
 
 
-def count_nexts(train: DataFrame, allowed: str, depth: int, most: int = 1_200_000) -> DataFrame:
-    """context, next, n for contexts of `depth` symbols that pass the filter `allowed`. Tasks count first, in bounded arrays."""
+def count_nexts(train: DataFrame, allowed: str, depth: int, total: int, most: int = 900_000) -> DataFrame:
+    """context, next, n > 1 for contexts of `depth` symbols that pass the filter `allowed`. Tasks count first, in bounded arrays."""
+    parts = partitions(train.sparkSession, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         bits, tally = bitmap(allowed), Tally(most, 2)
 
-        def out() -> pa.RecordBatch:
+        def out() -> Iterator[pa.RecordBatch]:
             keys, n = tally.take()
-            return pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(n)], names=["context", "next", "n"])
+            return packed([*keys, n], mixed(*keys), parts)
 
         for part in slices(batches, "text", 2 << 20):
             symbols, sizes = tokens_of(part.column(0))
@@ -257,10 +330,10 @@ def count_nexts(train: DataFrame, allowed: str, depth: int, most: int = 1_200_00
             context = contexts_of(symbols, depth)[-1]
             found = np.flatnonzero((place >= depth) & may_hold(bits, context))
             if tally.add(np.stack([context[found], symbols[found]]), np.ones(len(found), "i8")):
-                yield out()
-        yield out()
+                yield from out()
+        yield from out()
 
-    return train.mapInArrow(run, "context long, next long, n long").groupBy("context", "next").agg(F.sum("n").alias("n"))
+    return counted(train.mapInArrow(run, "part int, records binary"), parts, ["context", "next"], 2)
 
 
 def longer(pairs: DataFrame, length: int) -> DataFrame:
@@ -281,7 +354,7 @@ class Level:
     def __init__(self, states: DataFrame, entries: DataFrame):
         self.states, self.entries = states, entries
         self.states_at_hand, self.all_states = at_hand(states, "n", [F.col("context").alias("key"), F.col("rest").cast("float").alias("value")])
-        self.entries_at_hand, self.all_entries = at_hand(entries, "n", [F.col("context"), F.col("next"), F.col("ratio").cast("float").alias("value")])
+        self.entries_at_hand, self.all_entries = at_hand(entries, "n", [F.col("context"), F.col("next"), F.col("ratio").cast("float").alias("value")], ENTRIES_AT_HAND)
         self.state_filter = write_filter(states.select(F.col("context").alias("key")), "filter")
         self.entry_filter = write_filter(entries.select(entry_bits(F.col("context"), F.col("next")).alias("key")), "filter")
 
@@ -315,23 +388,27 @@ def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: fl
     below = words.where("n > 1").select(F.col("key").alias("next"), model.alone(F.col("n")).alias("alone"), F.lit(1.0).alias("below"))
     for length in range(1, depth + 1):
         allowed = write_filter(contexts.select(F.col("context").alias("key")), "allowed")
-        pairs = stored(count_nexts(train, allowed, length).where("n > 1"), "pairs")
-        once = F.col("m") - F.col("more")
-        stats = pairs.groupBy("context").agg(F.sum("n").alias("more"), F.count(F.lit(1)).alias("entries")).join(contexts, "context")
-        stats = stored(stats.select("context", "suffix", "m", once.alias("once"), (F.col("entries") + once).alias("distinct")), "stats")
+        counts = pairs = stored(count_nexts(train, allowed, length, model.total), "pairs", BATCH)
         # what follows a context twice follows its suffix twice, so no row is lost
-        compared = stored(pairs.join(stats, "context").join(below, "next" if length == 1 else ["suffix", "next"]), "compared")
+        if length == 1:
+            pairs = pairs.join(below, "next").join(contexts, "context")
+        else:
+            pairs = pairs.join(contexts, "context").join(below, ["suffix", "next"])
+        w = Window.partitionBy("context")
+        pairs = pairs.withColumn("once", F.col("m") - F.sum("n").over(w)).withColumn("distinct", F.count(F.lit(1)).over(w) + F.col("once"))
         p, others = F.col("alone") * F.col("below"), F.col("m") - 1
         left_out = F.log(((F.col("n") - 2) / p + F.col("distinct")) / others)
         left_once = F.when(F.col("once") > 0, F.col("once") * F.log(F.greatest(F.col("distinct") - 1, F.lit(1)) / others)).otherwise(0.0)
-        gains = compared.groupBy("context").agg(F.first("m").alias("m"), F.first("distinct").alias("distinct"), (F.sum(F.col("n") * left_out) + F.first(left_once)).alias("gain"))
-        kept = gains.where(F.col("gain") > divergence * math.log(max(2, model.total)))
-        states = stored(kept.select("context", F.col("m").alias("n"), (F.col("distinct") / F.col("m")).alias("rest")), "states")
-        weight = F.col("weight") / F.col("alone") + F.col("rest") * F.col("below")
-        full = compared.join(states.select("context", "rest"), "context", "left").withColumn("weight", (F.col("n") - 1) / F.col("m"))
-        full = stored(full.select("context", "suffix", "next", "n", "alone", "rest", F.when(F.col("rest").isNull(), F.col("below")).otherwise(weight).alias("ratio")), "tree")
+        gain = F.sum(F.col("n") * left_out).over(w) + left_once
+        pairs = pairs.withColumns({"gain": gain, "least": F.min("next").over(w)})
+        rest = F.when(F.col("gain") > divergence * math.log(max(2, model.total)), F.col("distinct") / F.col("m"))
+        weight = (F.col("n") - 1) / F.col("m") / F.col("alone") + F.col("rest") * F.col("below")
+        ratio = F.when(F.col("rest").isNull(), F.col("below")).otherwise(weight).alias("ratio")
+        head = F.when(F.col("next") == F.col("least"), F.col("m")).alias("head")  # in one row of each context
+        full = stored(pairs.withColumn("rest", rest).select("context", "suffix", "next", "n", "alone", "rest", ratio, head), "tree")
+        discard(counts)
+        states = full.where("rest is not null and head is not null").select("context", F.col("head").alias("n"), "rest")
         model.levels.append(Level(states, full.where("rest is not null").select("context", "next", "n", "ratio")))
-        discard(pairs, stats, compared)
         if length < depth:
             contexts = longer(full.where((F.col("next") != END) & (F.col("n") >= min_count)), length)
             contexts = stored(contexts.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi"), "contexts")
@@ -339,19 +416,31 @@ def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: fl
     return model
 
 
-def score_parts(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of four kinds: of a text, with what its tokens at hand add; of a word of a text that isn't at hand (word, k); of a
-    next symbol of a text in a state whose entry, if it has one, isn't at hand (entry): it has factor times the entry's ratio, or
-    else `below`; of a next symbol (next) with more than that open. That has the contexts c1, c2, ... of the lengths that are
-    open; longer ones leave `factor` to it, and below them it has the ratio `below`."""
+def score_parts(docs: DataFrame, model: Model, parts: int) -> DataFrame:
+    """Rows of four kinds: of a text, with what its tokens at hand add; of a word of a text that isn't at hand (word, k); of many
+    requests for entries (asks, part, records; see answers()); of a next symbol (next) with a state open. That has the contexts
+    c1, c2, ... of the lengths that are open; longer ones leave `factor` to it, and below them it has the ratio `below`.
+
+    If all its states are at hand, a next symbol counts at once as if it had no entry but those at hand; and each other entry that
+    it may have is requested, with the ratio that this would replace."""
     codes = [f"c{k}" for k in range(1, len(model.levels) + 1)]
-    names = [*PARTS, "entry", "next", *codes, "factor", "below"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), *[pa.int64()] * (2 + len(codes)), pa.float64(), pa.float64()]
+    names = [*PARTS, "asks", "part", "records", "next", *codes, "factor", "below"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * (1 + len(codes)), pa.float64(), pa.float64()]
 
     def rows(**columns) -> pa.RecordBatch:
         some = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(some, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
+    def requests(first: int, found: list, each: list) -> Iterator[pa.RecordBatch]:
+        """found: arrays of (keys of entries, ratio, number of the next symbol and length); each: how many symbols ask, by text from row `first`."""
+        import numpy as np
+
+        key, of = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(key)
+        for made in packed([key[order], of[order]], key[order], parts):
+            yield rows(asks=np.full(made.num_rows, first), part=made.column(0), records=made.column(1))
+        yield rows(asks=[first], records=[np.concatenate(each).astype("i8").tobytes()])
+
     paths = [(x.state_filter, x.entry_filter, x.states_at_hand, x.entries_at_hand, x.all_states, x.all_entries) for x in model.levels]
     at_hand, complete, total, distinct = model.words_at_hand, model.complete, model.total, model.distinct
 
@@ -360,6 +449,7 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
 
         words, levels = sorted_table(at_hand), [(bitmap(a), bitmap(b), sorted_table(c), sorted_table(d), *whole) for a, b, c, d, *whole in paths]
         row = TaskContext.get().partitionId() << 33
+        asked, each, n_asked, first_row = [], [], 0, row
         for part in slices(batches, "text", 2 << 20):
             symbols, sizes = tokens_of(part.column(2))
             text, place = places(sizes)
@@ -373,8 +463,9 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
             if len(open_words):
                 pair, k = np.unique(text[open_words] << 32 | codes_of[open_words], return_counts=True)
                 yield rows(row=row + (pair >> 32), word=keys[pair & 0xFFFFFFFF], k=k)
-            value, below, rests = np.ones((3, len(symbols)))
+            value, below, whole = np.ones((3, len(symbols)))  # whole: the ratio if no open entry exists
             lowest, top = np.zeros((2, len(symbols)), "i1")  # of the open lengths
+            unknown, open_at = np.zeros(len(symbols), bool), []
             contexts, may = contexts_of(symbols, len(levels)), np.zeros((len(levels), len(symbols)), bool)
             for length, (states, entries, state_table, entry_table, all_states, all_entries) in enumerate(levels, 1):
                 some = np.flatnonzero((place >= length) & may_hold(states, contexts[length - 1]))
@@ -384,18 +475,24 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
                 may[length - 1][some] = True
                 context, following = contexts[length - 1][some], symbols[some]
                 maybe = may_hold(entries, entry_bits(context, following))
-                entry = np.full(len(some), -1)
-                entry[maybe] = found_at(entry_table, mixed(context[maybe], following[maybe]))
+                key, entry = mixed(context, following), np.full(len(some), -1)
+                entry[maybe] = found_at(entry_table, key[maybe])
                 hit = entry >= 0
-                value[some[hit]], lowest[some[hit]] = entry_table[1][entry[hit]], 0
-                passed = ~hit & (state >= 0) & (~maybe | all_entries)
+                value[some[hit]], lowest[some[hit]], unknown[some[hit]] = entry_table[1][entry[hit]], 0, False
+                whole[some[hit]] = value[some[hit]]
+                stays = ~hit & (state >= 0)
+                if len(state_table[1]):
+                    whole[some[stays]] *= state_table[1][state[stays]]
+                passed = stays & (~maybe | all_entries)
                 value[some[passed]] *= state_table[1][state[passed]]
                 left = ~hit & ~passed
-                rest, state = some[left], state[left]
+                rest = some[left]
                 first = rest[lowest[rest] == 0]
                 below[first], lowest[first] = value[first], length
                 value[rest], top[rest] = 1.0, length
-                rests[rest] = np.where(state >= 0, state_table[1][state] if len(state_table[1]) else 0, 0)
+                unknown[rest] |= state[left] < 0
+                asking = some[left & maybe]
+                open_at.append((length, asking, key[left & maybe], whole[asking]))
             still = lowest > 0
             yield rows(
                 row=np.arange(row, row + len(sizes)),
@@ -404,32 +501,120 @@ def score_parts(docs: DataFrame, model: Model) -> DataFrame:
                 n_tokens=sizes,
                 n_known=np.add.reduceat((n > 0)[codes_of].astype("i8"), starts),
                 base_score=np.add.reduceat(base, starts),
-                by_tree=np.add.reduceat(np.where(still, 0.0, np.log10(value)), starts),
+                by_tree=np.add.reduceat(np.where(unknown, 0.0, np.log10(whole)), starts),
             )
-            simple = still & (lowest == top) & (rests > 0)
-            some = np.flatnonzero(simple)
-            at_length = np.choose(top[some] - 1, [c[some] for c in contexts])
-            for a in range(0, len(some), 100_000):
-                i = some[a : a + 100_000]
-                yield rows(row=row + text[i], entry=mixed(at_length[a : a + 100_000], symbols[i]), factor=value[i], below=value[i] * rests[i] * below[i])
-            some = np.flatnonzero(still & ~simple)
+            asks = np.zeros(len(symbols), bool)
+            valid = [(lowest[i] > 0) & (lowest[i] <= length) & ~unknown[i] for length, i, _, _ in open_at]
+            for (_, i, _, _), v in zip(open_at, valid, strict=True):
+                asks[i[v]] = True
+            number = n_asked + np.cumsum(asks) - 1
+            for (length, i, key, ratio), v in zip(open_at, valid, strict=True):
+                asked.append((key[v], (number[i[v]] << 3 | length) << 32 | ratio[v].astype("f4").view("u4")))
+            each.append(np.add.reduceat(asks.astype("i8"), starts))
+            n_asked += int(asks.sum())
+            some = np.flatnonzero(still & unknown)
             for a in range(0, len(some), 100_000):
                 i = some[a : a + 100_000]
                 inside = {c: pa.array(contexts[k][i], mask=~(may[k][i] & (lowest[i] <= k + 1) & (top[i] > k))) for k, c in enumerate(codes)}
                 yield rows(row=row + text[i], next=symbols[i], factor=value[i], below=below[i], **inside)
             row += len(sizes)
+            if n_asked > 600_000:
+                yield from requests(first_row, asked, each)
+                asked, each, n_asked, first_row = [], [], 0, row
+        if n_asked:
+            yield from requests(first_row, asked, each)
 
     of_codes = "".join(f", {c} long" for c in codes)
-    return docs.mapInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, by_tree double, word long, k long, entry long, next long{of_codes}, factor double, below double")
+    return docs.mapInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, by_tree double, word long, k long, asks long, part int, records binary, next long{of_codes}, factor double, below double")
+
+
+def packed_entries(entries: DataFrame, parts: int, most: int = 500_000) -> DataFrame:
+    """asks (null), part, records: packs of (hash of context and next, ratio)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def out(held: list) -> Iterator[pa.RecordBatch]:
+            key, ratio = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key)
+            for made in packed([key[order], ratio[order]], key[order], parts):
+                yield pa.RecordBatch.from_arrays([pa.nulls(made.num_rows, pa.int64()), *made.columns], names=["asks", "part", "records"])
+
+        held = []
+        for batch in batches:
+            context, following, ratio = (batch.column(k).to_numpy() for k in range(3))
+            held.append((mixed(context, following), ratio.copy()))
+            if sum(len(x[0]) for x in held) > most:
+                yield from out(held)
+                held = []
+        if held:
+            yield from out(held)
+
+    return entries.select("context", "next", "ratio").mapInArrow(run, "asks long, part int, records binary")
+
 
+def answers(parts: DataFrame, model: Model, ranges: int) -> DataFrame | None:
+    """row, by_context: what the requested entries add to their texts, if any can be open. Requests meet the entries of their range
+    of keys; of a next symbol's entries that exist, the longest counts."""
+    open_levels = [packed_entries(level.entries, ranges) for level in model.levels if not level.all_entries]
+    if not open_levels:
+        return None
 
-def context_scores(parts: DataFrame, model: Model) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        entries, asked = [], {}
+        for batch in batches:
+            for first, i in zip(batch.column(0).to_pylist(), range(batch.num_rows), strict=True):
+                (entries if first is None else asked.setdefault(first, [])).append(records_in(batch.column(1).slice(i, 1), 2).T.copy())
+        if not entries:
+            return
+        table = np.concatenate(entries).T
+        table = table[:, np.argsort(table[0])]
+        ratios = table[1].copy().view("f8")
+        for first, packs in asked.items():
+            key, of = np.concatenate(packs).T
+            place = found_at((table[0], ratios), key)
+            some = place >= 0
+            more = np.log10(ratios[place[some]] / (of[some] & 0xFFFFFFFF).astype("u4").view("f4"))
+            if len(more):
+                records = (of[some] >> 32 << 32 | more.astype("f4").view("u4")).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([False]), pa.array([records], pa.binary())], names=["asks", "counts", "records"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        found, counts = {}, {}
+        for batch in batches:
+            for i, (first, each) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                records = records_in(batch.column(2).slice(i, 1), 1)[0].copy()
+                if each:
+                    counts[first] = records
+                else:
+                    found.setdefault(first, []).append(records)
+        for first in list(found):
+            of = np.sort(np.concatenate(found.pop(first)))
+            number, more = of >> 35, (of & 0xFFFFFFFF).astype("u4").view("f4")
+            longest = np.append(number[1:] != number[:-1], True)
+            text = np.repeat(np.arange(len(counts[first])), counts[first])[number[longest]]
+            sums = np.bincount(text, more[longest])
+            texts = np.unique(text)
+            yield pa.RecordBatch.from_arrays([pa.array(first + texts), pa.array(sums[texts])], names=["row", "by_context"])
+
+    asks = parts.where("records is not null")
+    packs = reduce(DataFrame.union, open_levels, asks.where("part is not null").select("asks", "part", "records"))
+    found = packs.repartitionById(ranges, F.col("part")).select("asks", "records").mapInArrow(find, "asks long, counts boolean, records binary")
+    found = found.union(asks.where("part is null").select("asks", F.lit(True).alias("counts"), "records"))
+    return found.repartition(partitions(parts.sparkSession), "asks").mapInArrow(add, "row long, by_context double")
+
+
+def context_scores(parts: DataFrame, model: Model, ranges: int) -> DataFrame:
     """row, by_context: what the open next symbols add. Lengths from the longest: an entry settles a row; else the state, if it is
     one, leaves its rest to the suffix."""
     depth = len(model.levels)
     rows = parts.where("next is not null").select("row", "next", *[f"c{k}" for k in range(1, depth + 1)], "factor", "below")
     settled = []
-    for length in range(depth, 0, -1):
+    for length in range(depth, 0, -1) if not all(level.all_states for level in model.levels) else ():
         level, code = model.levels[length - 1], f"c{length}"
         joined = rows.where(F.col(code).isNotNull()).join(level.entries.select(F.col("context").alias(code), "next", "ratio"), [code, "next"], "left")
         joined = stored(joined, "joined")
@@ -438,28 +623,13 @@ def context_scores(parts: DataFrame, model: Model) -> DataFrame:
         left = left.withColumn("factor", F.col("factor") * F.coalesce("rest", F.lit(1.0)))
         keep = ["row", "next", *[f"c{k}" for k in range(1, length)], "factor", "below"]
         rows = rows.where(F.col(code).isNull()).select(*keep).unionByName(left.select(*keep))
-    tail = [keyed(level.entries) for level in model.levels if not level.all_entries]
-    simple = parts.where("entry is not null").select("row", "entry", "factor", "below")
-    if tail:
-        simple = simple.join(reduce(DataFrame.union, tail), "entry", "left")
-        settled.append(simple.select("row", F.log10(F.coalesce(F.col("factor") * F.col("ratio"), F.col("below"))).alias("by_context")))
     out = rows.select("row", F.log10(F.col("factor") * F.col("below")).alias("by_context"))
-    for more in settled:
+    answered = answers(parts, model, ranges)
+    for more in [*settled, *([stored(answered, "answers", BATCH)] if answered is not None else [])]:
         out = out.union(more)
     return out.groupBy("row").agg(F.sum("by_context").alias("by_context"))
 
 
-def keyed(entries: DataFrame) -> DataFrame:
-    """entry (a hash of context and next), ratio."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = mixed(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(2)], names=["entry", "ratio"])
-
-    return entries.select("context", "next", "ratio").mapInArrow(run, "entry long, ratio double")
-
-
 PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "by_tree", "word", "k"]
 
 
@@ -468,7 +638,7 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 3, min_count: int = 5, d
 
     base_score adds log10 probabilities by word counts alone. score is the log10 probability under the suffix tree (train_tree):
     the longest state that the text before a token ends in gives its word's probability, mixed with its suffixes down to the
-    word's count. Frequent words, states and entries are looked up, all others are joined: neither the vocabulary nor the tree
+    word's count. Frequent words, states and entries are looked up, all others are joined or asked for in packs: neither the vocabulary nor the tree
     has to fit anywhere. Words and contexts are told apart by 64-bit hashes.
 
     A null text is empty: one token, its end. Null ids count as the empty id text and are kept. Repeated rows stay rows of their
@@ -477,16 +647,17 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 3, min_count: int = 5, d
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), text.alias("text"))
     train = rows.where("not held_out").select("text")
-    words = stored(count_words(train), "words")
+    words = stored(count_words(train), "words", BATCH)
     model = train_tree(train, words, depth=depth, divergence=divergence, min_count=min_count)
-    parts = stored(score_parts(rows, model), "parts")
+    ranges = partitions(docs.sparkSession, model.total)
+    parts = stored(score_parts(rows, model, ranges), "parts", BATCH)
     n = F.coalesce("n", F.lit(0))
     log = F.log10((n + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
     rare = parts.where("word is not null").select("row", F.col("word").alias("key"), "k").join(words, "key", "left")
     rare = rare.groupBy("row").agg(F.sum(F.col("k") * log).alias("more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"))
     base = F.col("base_score") + F.coalesce("more", F.lit(0.0))
     texts = parts.where("n_tokens is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "by_tree")
-    return texts.join(rare, "row", "left").join(context_scores(parts, model), "row", "left").select(
+    return texts.join(rare, "row", "left").join(context_scores(parts, model, ranges), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

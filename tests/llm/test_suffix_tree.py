@@ -116,3 +116,15 @@ def test_like_a_plain_tree_over_all_words(spark, monkeypatch, hand):
     assert len(got) == len(plain)
     for g, e in zip(got, plain, strict=True):
         assert g[:2] == e[:2] and g[2] == pytest.approx(e[2])
+
+
+def test_open_symbols_leave_in_packs(spark, monkeypatch):
+    """Next symbols whose entries aren't at hand are no rows: 300 words after each of two, half of whose entries may be open."""
+    monkeypatch.setattr(suffix_tree, "AT_HAND", 310)
+    seen = {}
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, name, *more: seen.setdefault(name, []).append(out := stored(df, name)) or out)
+    rnd = random.Random(4)
+    texts = [(i, " ".join(f"{'ab'[i % 2]} x{k}" for k in rnd.sample(range(300), 150))) for i in range(80)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    assert suffix_tree_scores(docs).count() == 80
+    assert seen["parts"][0].count() < 2_000  # packs and texts; 24,080 symbols
