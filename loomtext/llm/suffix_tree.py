@@ -19,10 +19,16 @@ END = 0
 FILTER = 1 << 26
 #: Most rows of a table that each worker reads to settle frequent rows without a join. It spares rows and changes no result.
 AT_HAND = 2_500_000
-#: The same for entries of a length. Others are asked for in packs, which costs about as much a token in a small corpus as in a large one.
-ENTRIES_AT_HAND = 1_000_000
+#: The same for entries of a length. Others are asked for in packs: with few at hand that costs about as much a token in a small corpus as in a large one.
+ENTRIES_AT_HAND = 100_000
+#: Numbers under this one stand for words at hand in packs of counts; no word's key is among them.
+CODES = 1 << 24
 #: Bytes of an Arrow batch, about: texts and packs are large rows.
 BATCH = 8 << 20
+#: Joins of longer contexts and requests run in up to 4 slices, one a so many training tokens: the shuffle files of one go before the next.
+SLICE = 5_000_000
+#: What a pack holds or asks for: entries and states of the tree, counts of words.
+ENTRIES, STATES, WORDS = range(3)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -75,7 +81,8 @@ def tokens_of(texts: pa.Array):
         weights = scrambled(np.arange(1, int(lengths.max()) + 1, dtype="u8")) | np.uint64(1)
         place = np.arange(starts[0], len(raw)) - np.repeat(starts, lengths)
         keys = np.add.reduceat(numbers[raw[starts[0] :]] * weights[place], starts - starts[0])
-        keys = np.maximum(scrambled(keys), 1).view("i8")
+        keys = scrambled(keys)
+        keys = np.where(keys < CODES, keys + np.uint64(CODES), keys).view("i8")
         inside = np.ones(len(out), bool)
         inside[np.cumsum(sizes) - 1] = False
         out[inside] = keys
@@ -140,49 +147,71 @@ def bounds_of(parts: int):
     return np.array([(i << 64) // parts - (1 << 63) for i in range(parts)], "i8")
 
 
+def in_planes(x):
+    import numpy as np
+
+    return np.ascontiguousarray(x.view("u1").reshape(-1, 8).T)
+
+
+def squeezed(columns: list) -> bytes:
+    """64-bit columns in one value, by bytes of equal weight: the first sorted, as differences."""
+    import numpy as np
+
+    first, *others = columns
+    if (first[1:] < first[:-1]).any():
+        order = np.argsort(first)
+        first, *others = (c[order] for c in columns)
+    steps = first.copy()
+    steps[1:] -= first[:-1]
+    raw = b"".join(map(in_planes, [steps, *(np.ascontiguousarray(c) for c in others)]))
+    return len(first).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def opened(value: bytes, width: int) -> list:
+    """The columns of a squeezed value."""
+    import numpy as np
+
+    n = int.from_bytes(value[:4], "little")
+    raw = np.frombuffer(pa.Codec("zstd").decompress(value[4:], 8 * n * width, asbytes=True), "u1").reshape(width, 8, n)
+    columns = [np.ascontiguousarray(x.T).view("i8").reshape(-1) for x in raw]
+    return [np.cumsum(columns[0]), *columns[1:]]
+
+
 def packed(columns: list, by, parts: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A row for each range of the sorted keys `by` that has any: part, and the 64-bit columns of its records in one binary value.
     They come in batches of about `most` bytes."""
     import numpy as np
 
-    edges = np.append(np.searchsorted(by, bounds_of(parts)), len(by))
-    some = np.flatnonzero(np.diff(edges))
-    if not len(some):
-        return
-    cuts = np.flatnonzero(np.diff(edges[some] * 8 * len(columns) // most, prepend=-1))
-    for a, b in zip(cuts, np.append(cuts[1:], len(some)), strict=True):
-        least, end = edges[some[a]], edges[some[b - 1] + 1]
-        records = np.stack([c[least:end].view("i8") for c in columns], axis=1)
-        offsets = (np.append(edges[some[a:b]], end) - least) * 8 * len(columns)
-        values = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets.astype("i4")), pa.py_buffer(records)])
-        yield pa.RecordBatch.from_arrays([pa.array(some[a:b].astype("i4")), values], names=["part", "records"])
-
-
-def records_in(column: pa.Array, width: int):
-    """The records of packed values, as one array of each of their columns."""
-    import numpy as np
-
-    edges = np.frombuffer(column.buffers()[1], "i4", len(column) + 1, 4 * column.offset)
-    raw = memoryview(column.buffers()[2] or b"")[edges[0] : edges[-1]]
-    return np.frombuffer(raw, "i8").reshape(-1, width).T
+    edges = np.append(np.searchsorted(by, bounds_of(parts)), len(by)).tolist()
+    held, values, size = [], [], 0
+    for part, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        if a < b:
+            held.append(part)
+            values.append(squeezed([c[a:b] for c in columns]))
+            size += len(values[-1])
+        if held and (size > most or part == parts - 1):
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(values, pa.binary())], names=["part", "records"])
+            held, values, size = [], [], 0
 
 
-def counted(packs: DataFrame, parts: int, names: list[str], least: int, most: int = 1_200_000) -> DataFrame:
-    """The named keys and their n, summed over packs of (keys, n), if it is `least` or more. Each range of keys is summed in a task of its own."""
+def counted(packs: DataFrame, parts: int, names: list[str], least: int, words: str = "", codes: int = 0, most: int = 1_200_000) -> DataFrame:
+    """The named keys and their n, summed over packs of (keys, n), if it is `least` or more. Each range of keys is summed in a task of its own.
+    The last `codes` keys come as codes of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         tally = Tally(most, len(names))
         for batch in batches:
-            for i in range(0, batch.num_rows, 8):
-                *keys, n = records_in(batch.column(0).slice(i, 8), len(names) + 1)
-                tally.add(keys[0].copy() if len(keys) == 1 else np.stack(keys), n.copy())
+            for value in batch.column(0):
+                *keys, n = opened(value.as_py(), len(names) + 1)
+                tally.add(keys[0] if len(keys) == 1 else np.stack(keys), n)
                 if tally.size > tally.most // 2:  # room grows with the distinct keys
                     tally.most = 2 * max(tally.size, most)
         keys, n = tally.take()
         some = np.flatnonzero(n >= least)
         keys = np.atleast_2d(keys)[:, some]
+        keys = [*keys[: len(keys) - codes], *(uncoded(words, x) for x in keys[len(keys) - codes :])]
         for at in range(0, len(some), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (*keys, n[some])], names=[*names, "n"])
 
@@ -199,7 +228,7 @@ def count_words(train: DataFrame, most: int = 1_000_000) -> DataFrame:
     parts = partitions(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap.cache_clear(), sorted_table.cache_clear()  # of an earlier tree
+        bitmap.cache_clear(), sorted_table.cache_clear(), ranks.cache_clear()  # of an earlier tree
         tally = Tally(most, 1)
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -239,6 +268,10 @@ def contexts_of(symbols, depth: int) -> list:
     return out
 
 
+def in_slices(total: int) -> int:
+    return min(4, 1 + total // SLICE)
+
+
 def write_filter(keys: DataFrame, name: str) -> str:
     """Bitmaps of the last bits of the column key, in 2,048 rows at most for any corpus; their path."""
     path, bit = scratch(keys.sparkSession, name), F.col("key").bitwiseAND(F.lit(FILTER - 1))
@@ -286,6 +319,33 @@ def sorted_table(uri: str):
     return keys[order], t["value"][order]
 
 
+@lru_cache(maxsize=1)
+def ranks(uri: str):
+    """(rank of each word of sorted_table, by its n; keys by rank)."""
+    import numpy as np
+
+    keys, n = sorted_table(uri)
+    order = np.argsort(-n, kind="stable")
+    out = np.empty(len(order), "i8")
+    out[order] = np.arange(len(order))
+    return out, keys[order]
+
+
+def coded(uri: str, keys):
+    """Keys of words, with the rank instead for those at hand."""
+    import numpy as np
+
+    at = found_at(sorted_table(uri), keys)
+    return np.where(at >= 0, ranks(uri)[0][at], keys) if len(ranks(uri)[0]) else keys
+
+
+def uncoded(uri: str, codes):
+    out, by_rank = codes.copy(), ranks(uri)[1]
+    some = (codes >= 0) & (codes < len(by_rank))
+    out[some] = by_rank[codes[some]]
+    return out
+
+
 def found_at(table: tuple, keys):
     """Places of keys in a sorted table, -1 for those that it lacks."""
     import numpy as np
@@ -311,9 +371,10 @@ def at_hand(rows: DataFrame, n: str, columns: list[Column], most: int | None = N
     return path, held == sum(sizes.values())
 
 
-def count_nexts(train: DataFrame, allowed: str, depth: int, total: int, most: int = 900_000) -> DataFrame:
-    """context, next, n > 1 for contexts of `depth` symbols that pass the filter `allowed`. Tasks count first, in bounded arrays."""
-    parts = partitions(train.sparkSession, total)
+def count_nexts(train: DataFrame, allowed: str, depth: int, total: int, words: str, most: int = 900_000) -> DataFrame:
+    """context, next, n > 1 for contexts of `depth` symbols that pass the filter `allowed`. Tasks count first, in bounded arrays.
+    words: path of those at hand; they travel as codes."""
+    parts, codes = partitions(train.sparkSession, total), 2 if depth == 1 else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -322,18 +383,23 @@ def count_nexts(train: DataFrame, allowed: str, depth: int, total: int, most: in
 
         def out() -> Iterator[pa.RecordBatch]:
             keys, n = tally.take()
-            return packed([*keys, n], mixed(*keys), parts)
+            by = mixed(keys[0] if codes == 1 else uncoded(words, keys[0]), uncoded(words, keys[1]))
+            order = np.argsort(by)
+            return packed([*keys[:, order], n[order]], by[order], parts)
 
         for part in slices(batches, "text", 2 << 20):
             symbols, sizes = tokens_of(part.column(0))
             _, place = places(sizes)
+            distinct = pa.array(symbols).dictionary_encode()
+            code = coded(words, distinct.dictionary.to_numpy())[distinct.indices.to_numpy()]
             context = contexts_of(symbols, depth)[-1]
             found = np.flatnonzero((place >= depth) & may_hold(bits, context))
-            if tally.add(np.stack([context[found], symbols[found]]), np.ones(len(found), "i8")):
+            context = context if codes == 1 else shifted(code)
+            if tally.add(np.stack([context[found], code[found]]), np.ones(len(found), "i8")):
                 yield from out()
         yield from out()
 
-    return counted(train.mapInArrow(run, "part int, records binary"), parts, ["context", "next"], 2)
+    return counted(train.mapInArrow(run, "part int, records binary"), parts, ["context", "next"], 2, words, codes)
 
 
 def longer(pairs: DataFrame, length: int) -> DataFrame:
@@ -349,7 +415,7 @@ def longer(pairs: DataFrame, length: int) -> DataFrame:
 
 
 class Level:
-    """States (context, n, rest) and entries (context, next, n, ratio) of one length; those at hand (if that is all of them), and filters."""
+    """States (context, n, rest) and entries (context, next, n, ratio, more) of one length; those at hand (if that is all of them), and filters."""
 
     def __init__(self, states: DataFrame, entries: DataFrame):
         self.states, self.entries = states, entries
@@ -365,12 +431,30 @@ class Model:
     def __init__(self, total: int, distinct: int, words_at_hand: str, complete: bool):
         self.total, self.distinct, self.words_at_hand, self.complete = total, distinct, words_at_hand, complete
         self.levels: list[Level] = []
+        self.tables: list[DataFrame] = []  # stored, behind the levels
 
     def alone(self, n):
         """Probability of a token that occurs n times, by its count alone."""
         return (n + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
 
+def smoothed(pairs: DataFrame, least_gain: float) -> DataFrame:
+    """The pairs of contexts with all their next symbols, for train_tree(): ratio, and where the context is retained its rest and more."""
+    w = Window.partitionBy("context")
+    pairs = pairs.withColumn("once", F.col("m") - F.sum("n").over(w)).withColumn("distinct", F.count(F.lit(1)).over(w) + F.col("once"))
+    p, others = F.col("alone") * F.col("below"), F.col("m") - 1
+    left_out = F.log(((F.col("n") - 2) / p + F.col("distinct")) / others)
+    left_once = F.when(F.col("once") > 0, F.col("once") * F.log(F.greatest(F.col("distinct") - 1, F.lit(1)) / others)).otherwise(0.0)
+    gain = F.sum(F.col("n") * left_out).over(w) + left_once
+    pairs = pairs.withColumns({"gain": gain, "least": F.min("next").over(w)})
+    rest = F.when(F.col("gain") > least_gain, F.col("distinct") / F.col("m"))
+    weight = (F.col("n") - 1) / F.col("m") / F.col("alone") + F.col("rest") * F.col("below")
+    ratio = F.when(F.col("rest").isNull(), F.col("below")).otherwise(weight).alias("ratio")
+    head = F.when(F.col("next") == F.col("least"), F.col("m")).alias("head")  # in one row of each context
+    more = F.log10(weight / (F.col("rest") * F.col("below"))).cast("float").alias("more")
+    return pairs.withColumn("rest", rest).select("context", "suffix", "next", "n", "alone", "rest", ratio, more, head)
+
+
 def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: float, min_count: int) -> Model:
     """The suffix tree of training texts, given their word counts.
 
@@ -379,67 +463,65 @@ def train_tree(train: DataFrame, words: DataFrame, *, depth: int, divergence: fl
     is retained if its next symbols diverge from those of its suffix: the sum of ln(p / p by the suffix) over its occurrences,
     each left out of the counts that predict it, must exceed divergence * ln(tokens). All words are symbols, and all entries of a
     state are kept: the tree grows with the corpus and stays in tables. An entry's ratio is its mixed probability over the one by
-    the word's count alone.
+    the word's count alone; more is log10 of its ratio over the one that its state would leave it without the entry.
     """
     spark = train.sparkSession
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     model = Model(int(sums["total"]), int(sums["distinct"]), *at_hand(words, "n", [F.col("key"), F.col("n").alias("value")]))
     contexts = words.where((F.col("key") != END) & (F.col("n") >= min_count)).select(F.col("key").alias("context"), F.lit(END).cast("long").alias("suffix"), F.col("n").alias("m"))
     below = words.where("n > 1").select(F.col("key").alias("next"), model.alone(F.col("n")).alias("alone"), F.lit(1.0).alias("below"))
+    contexts_stored: list[DataFrame] = []
     for length in range(1, depth + 1):
         allowed = write_filter(contexts.select(F.col("context").alias("key")), "allowed")
-        counts = pairs = stored(count_nexts(train, allowed, length, model.total), "pairs", BATCH)
-        # what follows a context twice follows its suffix twice, so no row is lost
-        if length == 1:
-            pairs = pairs.join(below, "next").join(contexts, "context")
-        else:
-            pairs = pairs.join(contexts, "context").join(below, ["suffix", "next"])
-        w = Window.partitionBy("context")
-        pairs = pairs.withColumn("once", F.col("m") - F.sum("n").over(w)).withColumn("distinct", F.count(F.lit(1)).over(w) + F.col("once"))
-        p, others = F.col("alone") * F.col("below"), F.col("m") - 1
-        left_out = F.log(((F.col("n") - 2) / p + F.col("distinct")) / others)
-        left_once = F.when(F.col("once") > 0, F.col("once") * F.log(F.greatest(F.col("distinct") - 1, F.lit(1)) / others)).otherwise(0.0)
-        gain = F.sum(F.col("n") * left_out).over(w) + left_once
-        pairs = pairs.withColumns({"gain": gain, "least": F.min("next").over(w)})
-        rest = F.when(F.col("gain") > divergence * math.log(max(2, model.total)), F.col("distinct") / F.col("m"))
-        weight = (F.col("n") - 1) / F.col("m") / F.col("alone") + F.col("rest") * F.col("below")
-        ratio = F.when(F.col("rest").isNull(), F.col("below")).otherwise(weight).alias("ratio")
-        head = F.when(F.col("next") == F.col("least"), F.col("m")).alias("head")  # in one row of each context
-        full = stored(pairs.withColumn("rest", rest).select("context", "suffix", "next", "n", "alone", "rest", ratio, head), "tree")
-        discard(counts)
+        counts, full = stored(count_nexts(train, allowed, length, model.total, model.words_at_hand), "pairs", BATCH), []
+        n = 1 if length == 1 else in_slices(model.total)
+        for k in range(n):
+            of_slice = F.pmod("suffix", F.lit(n)) == k
+            # what follows a context twice follows its suffix twice, so no row is lost
+            if length == 1:
+                pairs = counts.join(below, "next").join(contexts, "context")
+            else:
+                pairs = counts.join(contexts.where(of_slice), "context").join(below.where(of_slice), ["suffix", "next"])
+            full.append(stored(smoothed(pairs, divergence * math.log(max(2, model.total))), "tree"))
+        discard(counts, *contexts_stored)
+        model.tables.extend(full)
+        full = reduce(DataFrame.union, full)
         states = full.where("rest is not null and head is not null").select("context", F.col("head").alias("n"), "rest")
-        model.levels.append(Level(states, full.where("rest is not null").select("context", "next", "n", "ratio")))
+        model.levels.append(Level(states, full.where("rest is not null").select("context", "next", "n", "ratio", "more")))
         if length < depth:
             contexts = longer(full.where((F.col("next") != END) & (F.col("n") >= min_count)), length)
             contexts = stored(contexts.join(states.select(F.col("context").alias("suffix")), "suffix", "left_semi"), "contexts")
-            below = full.select(F.col("context").alias("suffix"), "next", "alone", F.col("ratio").alias("below"))
+            contexts_stored = [contexts]
+            below = full.where("rest is not null").select(F.col("context").alias("suffix"), "next", "alone", F.col("ratio").alias("below"))  # suffixes are states
     return model
 
 
+#: What is known of a text before packs are answered; row is its number.
+TEXTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, by_tree double"
+
+
 def score_parts(docs: DataFrame, model: Model, parts: int) -> DataFrame:
-    """Rows of four kinds: of a text, with what its tokens at hand add; of a word of a text that isn't at hand (word, k); of many
-    requests for entries (asks, part, records; see answers()); of a next symbol (next) with a state open. That has the contexts
-    c1, c2, ... of the lengths that are open; longer ones leave `factor` to it, and below them it has the ratio `below`.
+    """Rows of two kinds: of a text, with what its tokens at hand add; and packs (asks, kind, part, records) of requests for what
+    isn't at hand: (key, number of the text, from the row `asks`).
 
-    If all its states are at hand, a next symbol counts at once as if it had no entry but those at hand; and each other entry that
-    it may have is requested, with the ratio that this would replace."""
-    codes = [f"c{k}" for k in range(1, len(model.levels) + 1)]
-    names = [*PARTS, "asks", "part", "records", "next", *codes, "factor", "below"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), *[pa.int64()] * (1 + len(codes)), pa.float64(), pa.float64()]
+    An entry at hand settles its symbol up to its length; else a state leaves its rest to the suffix, and an entry of it adds its
+    `more`. So requests add up in any order, and a word that isn't at hand counts as unseen until it is found."""
+    names = ["asks", "kind", "part", "records", *(c.split()[0] for c in TEXTS.split(", "))]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def rows(**columns) -> pa.RecordBatch:
         some = len(next(iter(columns.values())))
         return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(some, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
-    def requests(first: int, found: list, each: list) -> Iterator[pa.RecordBatch]:
-        """found: arrays of (keys of entries, ratio, number of the next symbol and length); each: how many symbols ask, by text from row `first`."""
+    def requests(first: int, asked: list[list]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        key, of = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.argsort(key)
-        for made in packed([key[order], of[order]], key[order], parts):
-            yield rows(asks=np.full(made.num_rows, first), part=made.column(0), records=made.column(1))
-        yield rows(asks=[first], records=[np.concatenate(each).astype("i8").tobytes()])
+        for kind, found in enumerate(asked):
+            if found:
+                key, of = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(key)
+                for made in packed([key[order], of[order]], key[order], parts):
+                    yield rows(asks=np.full(made.num_rows, first), kind=np.full(made.num_rows, kind), part=made.column(0), records=made.column(1))
 
     paths = [(x.state_filter, x.entry_filter, x.states_at_hand, x.entries_at_hand, x.all_states, x.all_entries) for x in model.levels]
     at_hand, complete, total, distinct = model.words_at_hand, model.complete, model.total, model.distinct
@@ -448,8 +530,9 @@ def score_parts(docs: DataFrame, model: Model, parts: int) -> DataFrame:
         import numpy as np
 
         words, levels = sorted_table(at_hand), [(bitmap(a), bitmap(b), sorted_table(c), sorted_table(d), *whole) for a, b, c, d, *whole in paths]
-        row = TaskContext.get().partitionId() << 33
-        asked, each, n_asked, first_row = [], [], 0, row
+        task = TaskContext.get().partitionId()
+        row = first_row = task << 33
+        asked: list[list] = [[], [], []]
         for part in slices(batches, "text", 2 << 20):
             symbols, sizes = tokens_of(part.column(2))
             text, place = places(sizes)
@@ -457,180 +540,158 @@ def score_parts(docs: DataFrame, model: Model, parts: int) -> DataFrame:
             keys, codes_of = coded.dictionary.to_numpy(), coded.indices.to_numpy().astype("i8")
             at = found_at(words, keys)
             n = np.where(at >= 0, words[1][at] if len(words[1]) else 0, 0)
-            sure = (at >= 0) | complete
-            base = np.where(sure, np.log10((n + 0.5) / (total + 0.5 * (distinct + 1))), 0.0)[codes_of]
-            open_words = np.flatnonzero(~sure[codes_of])
-            if len(open_words):
-                pair, k = np.unique(text[open_words] << 32 | codes_of[open_words], return_counts=True)
-                yield rows(row=row + (pair >> 32), word=keys[pair & 0xFFFFFFFF], k=k)
-            value, below, whole = np.ones((3, len(symbols)))  # whole: the ratio if no open entry exists
-            lowest, top = np.zeros((2, len(symbols)), "i1")  # of the open lengths
-            unknown, open_at = np.zeros(len(symbols), bool), []
-            contexts, may = contexts_of(symbols, len(levels)), np.zeros((len(levels), len(symbols)), bool)
+            base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))[codes_of]
+            number = text + (row - first_row)
+            if not complete:
+                some = np.flatnonzero((at < 0)[codes_of])
+                asked[WORDS].append((symbols[some], number[some]))
+            whole, settled, open_at = np.ones(len(symbols)), np.zeros(len(symbols), "i1"), []  # settled: length of the longest entry at hand
+            contexts = contexts_of(symbols, len(levels))
             for length, (states, entries, state_table, entry_table, all_states, all_entries) in enumerate(levels, 1):
                 some = np.flatnonzero((place >= length) & may_hold(states, contexts[length - 1]))
                 state = found_at(state_table, contexts[length - 1][some])
                 if all_states:
                     some, state = some[state >= 0], state[state >= 0]
-                may[length - 1][some] = True
                 context, following = contexts[length - 1][some], symbols[some]
                 maybe = may_hold(entries, entry_bits(context, following))
                 key, entry = mixed(context, following), np.full(len(some), -1)
                 entry[maybe] = found_at(entry_table, key[maybe])
                 hit = entry >= 0
-                value[some[hit]], lowest[some[hit]], unknown[some[hit]] = entry_table[1][entry[hit]], 0, False
-                whole[some[hit]] = value[some[hit]]
+                whole[some[hit]], settled[some[hit]] = entry_table[1][entry[hit]], length
                 stays = ~hit & (state >= 0)
                 if len(state_table[1]):
                     whole[some[stays]] *= state_table[1][state[stays]]
-                passed = stays & (~maybe | all_entries)
-                value[some[passed]] *= state_table[1][state[passed]]
-                left = ~hit & ~passed
-                rest = some[left]
-                first = rest[lowest[rest] == 0]
-                below[first], lowest[first] = value[first], length
-                value[rest], top[rest] = 1.0, length
-                unknown[rest] |= state[left] < 0
-                asking = some[left & maybe]
-                open_at.append((length, asking, key[left & maybe], whole[asking]))
-            still = lowest > 0
+                if not all_states:
+                    asking = ~hit & (state < 0)
+                    open_at.append((STATES, length, some[asking], context[asking]))
+                if not all_entries:
+                    asking = ~hit & maybe
+                    open_at.append((ENTRIES, length, some[asking], key[asking]))
+            for kind, length, some, key in open_at:
+                still = settled[some] < length
+                asked[kind].append((key[still], number[some[still]]))
             yield rows(
+                asks=np.full(len(sizes), first_row),
+                part=np.full(len(sizes), task % parts),
                 row=np.arange(row, row + len(sizes)),
                 doc_id=part.column(0),
                 held_out=part.column(1),
                 n_tokens=sizes,
                 n_known=np.add.reduceat((n > 0)[codes_of].astype("i8"), starts),
                 base_score=np.add.reduceat(base, starts),
-                by_tree=np.add.reduceat(np.where(unknown, 0.0, np.log10(whole)), starts),
+                by_tree=np.add.reduceat(np.log10(whole), starts),
             )
-            asks = np.zeros(len(symbols), bool)
-            valid = [(lowest[i] > 0) & (lowest[i] <= length) & ~unknown[i] for length, i, _, _ in open_at]
-            for (_, i, _, _), v in zip(open_at, valid, strict=True):
-                asks[i[v]] = True
-            number = n_asked + np.cumsum(asks) - 1
-            for (length, i, key, ratio), v in zip(open_at, valid, strict=True):
-                asked.append((key[v], (number[i[v]] << 3 | length) << 32 | ratio[v].astype("f4").view("u4")))
-            each.append(np.add.reduceat(asks.astype("i8"), starts))
-            n_asked += int(asks.sum())
-            some = np.flatnonzero(still & unknown)
-            for a in range(0, len(some), 100_000):
-                i = some[a : a + 100_000]
-                inside = {c: pa.array(contexts[k][i], mask=~(may[k][i] & (lowest[i] <= k + 1) & (top[i] > k))) for k, c in enumerate(codes)}
-                yield rows(row=row + text[i], next=symbols[i], factor=value[i], below=below[i], **inside)
             row += len(sizes)
-            if n_asked > 600_000:
-                yield from requests(first_row, asked, each)
-                asked, each, n_asked, first_row = [], [], 0, row
-        if n_asked:
-            yield from requests(first_row, asked, each)
+            if sum(len(key) for found in asked for key, _ in found) > 1_000_000 or row - first_row > 50_000:
+                yield from requests(first_row, asked)
+                asked, first_row = [[], [], []], row
+        yield from requests(first_row, asked)
 
-    of_codes = "".join(f", {c} long" for c in codes)
-    return docs.mapInArrow(run, f"row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, by_tree double, word long, k long, asks long, part int, records binary, next long{of_codes}, factor double, below double")
+    return docs.mapInArrow(run, f"asks long, kind int, part int, records binary, {TEXTS}")
 
 
-def packed_entries(entries: DataFrame, parts: int, most: int = 500_000) -> DataFrame:
-    """asks (null), part, records: packs of (hash of context and next, ratio)."""
+def packs(table: DataFrame, kind: int, parts: int, most: int = 500_000) -> DataFrame:
+    """asks (null), kind, part, records: packs of (key, value); a row's key is its first column, or the hash of its first two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         def out(held: list) -> Iterator[pa.RecordBatch]:
-            key, ratio = (np.concatenate(x) for x in zip(*held, strict=True))
+            key, value = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.argsort(key)
-            for made in packed([key[order], ratio[order]], key[order], parts):
-                yield pa.RecordBatch.from_arrays([pa.nulls(made.num_rows, pa.int64()), *made.columns], names=["asks", "part", "records"])
+            for made in packed([key[order], value[order]], key[order], parts):
+                yield pa.RecordBatch.from_arrays([pa.nulls(made.num_rows, pa.int64()), pa.array(np.full(made.num_rows, kind, "i4")), *made.columns], names=["asks", "kind", "part", "records"])
 
         held = []
         for batch in batches:
-            context, following, ratio = (batch.column(k).to_numpy() for k in range(3))
-            held.append((mixed(context, following), ratio.copy()))
+            *keys, value = (c.to_numpy() for c in batch.columns)
+            value = value.copy() if kind == WORDS else value.view("u4").astype("i8")
+            held.append((mixed(*keys) if len(keys) == 2 else keys[0].copy(), value))
             if sum(len(x[0]) for x in held) > most:
                 yield from out(held)
                 held = []
         if held:
             yield from out(held)
 
-    return entries.select("context", "next", "ratio").mapInArrow(run, "asks long, part int, records binary")
+    return table.mapInArrow(run, "asks long, kind int, part int, records binary")
 
 
-def answers(parts: DataFrame, model: Model, ranges: int) -> DataFrame | None:
-    """row, by_context: what the requested entries add to their texts, if any can be open. Requests meet the entries of their range
-    of keys; of a next symbol's entries that exist, the longest counts."""
-    open_levels = [packed_entries(level.entries, ranges) for level in model.levels if not level.all_entries]
-    if not open_levels:
-        return None
+def answered(parts: DataFrame, words: DataFrame, model: Model, ranges: int) -> DataFrame:
+    """The rows of texts, and packs (asks, kind, records) of answers: (number of the text, how many of its requests were found, their
+    sum). Requests meet the rows of their range of keys."""
+    tables = [] if model.complete else [packs(words.select("key", "n"), WORDS, ranges)]
+    for level in model.levels:
+        if not level.all_states:
+            tables.append(packs(level.states.select("context", F.log10("rest").cast("float")), STATES, ranges))
+        if not level.all_entries:
+            tables.append(packs(level.entries.select("context", "next", "more"), ENTRIES, ranges))
+    names = ["asks", "kind", "records", *(c.split()[0] for c in TEXTS.split(", "))]
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        entries, asked = [], {}
+        held, asked = [[], [], []], [[], [], []]
         for batch in batches:
-            for first, i in zip(batch.column(0).to_pylist(), range(batch.num_rows), strict=True):
-                (entries if first is None else asked.setdefault(first, [])).append(records_in(batch.column(1).slice(i, 1), 2).T.copy())
-        if not entries:
-            return
-        table = np.concatenate(entries).T
-        table = table[:, np.argsort(table[0])]
-        ratios = table[1].copy().view("f8")
-        for first, packs in asked.items():
-            key, of = np.concatenate(packs).T
-            place = found_at((table[0], ratios), key)
-            some = place >= 0
-            more = np.log10(ratios[place[some]] / (of[some] & 0xFFFFFFFF).astype("u4").view("f4"))
-            if len(more):
-                records = (of[some] >> 32 << 32 | more.astype("f4").view("u4")).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([False]), pa.array([records], pa.binary())], names=["asks", "counts", "records"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            request = batch.column(2).is_valid()
+            texts, some = batch.filter(batch.column(2).is_null()), batch.filter(request)
+            if texts.num_rows:
+                yield texts
+            for first, kind, records in zip(*(some.column(k).to_pylist() for k in range(3)), strict=True):
+                if first is None:
+                    held[kind].append(opened(records, 2))
+                else:
+                    asked[kind].append((first, records))  # squeezed until all rows are here
+        for kind, requests in enumerate(asked):
+            if not held[kind]:
+                continue
+            key, value = (np.concatenate(x) for x in zip(*held[kind], strict=True))
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+            more = np.log10((value + 0.5) / 0.5) if kind == WORDS else value.astype("u4").view("f4").astype("f8")
+            for first, records in requests:
+                wanted, text = opened(records, 2)
+                place = found_at((key,), wanted)
+                text, which = np.unique(text[place >= 0], return_inverse=True)
+                if len(text):
+                    sums = np.bincount(which, more[place[place >= 0]]).view("i8")
+                    made = {"asks": [first], "kind": [kind], "records": [squeezed([text, np.bincount(which).astype("i8"), sums])]}
+                    yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) if x.name in made else pa.nulls(1, x.type) for x in batch.schema], schema=batch.schema)
+
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables, parts)
+    return both.repartitionById(ranges, F.col("part")).select(*names).mapInArrow(run, f"asks long, kind int, records binary, {TEXTS}")
+
+
+def totals(parts: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score, score: texts with the answers to their requests. Those of a task meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        found, counts = {}, {}
+        texts, answers = [], []
         for batch in batches:
-            for i, (first, each) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                records = records_in(batch.column(2).slice(i, 1), 1)[0].copy()
-                if each:
-                    counts[first] = records
-                else:
-                    found.setdefault(first, []).append(records)
-        for first in list(found):
-            of = np.sort(np.concatenate(found.pop(first)))
-            number, more = of >> 35, (of & 0xFFFFFFFF).astype("u4").view("f4")
-            longest = np.append(number[1:] != number[:-1], True)
-            text = np.repeat(np.arange(len(counts[first])), counts[first])[number[longest]]
-            sums = np.bincount(text, more[longest])
-            texts = np.unique(text)
-            yield pa.RecordBatch.from_arrays([pa.array(first + texts), pa.array(sums[texts])], names=["row", "by_context"])
-
-    asks = parts.where("records is not null")
-    packs = reduce(DataFrame.union, open_levels, asks.where("part is not null").select("asks", "part", "records"))
-    found = packs.repartitionById(ranges, F.col("part")).select("asks", "records").mapInArrow(find, "asks long, counts boolean, records binary")
-    found = found.union(asks.where("part is null").select("asks", F.lit(True).alias("counts"), "records"))
-    return found.repartition(partitions(parts.sparkSession), "asks").mapInArrow(add, "row long, by_context double")
-
-
-def context_scores(parts: DataFrame, model: Model, ranges: int) -> DataFrame:
-    """row, by_context: what the open next symbols add. Lengths from the longest: an entry settles a row; else the state, if it is
-    one, leaves its rest to the suffix."""
-    depth = len(model.levels)
-    rows = parts.where("next is not null").select("row", "next", *[f"c{k}" for k in range(1, depth + 1)], "factor", "below")
-    settled = []
-    for length in range(depth, 0, -1) if not all(level.all_states for level in model.levels) else ():
-        level, code = model.levels[length - 1], f"c{length}"
-        joined = rows.where(F.col(code).isNotNull()).join(level.entries.select(F.col("context").alias(code), "next", "ratio"), [code, "next"], "left")
-        joined = stored(joined, "joined")
-        settled.append(joined.where("ratio is not null").select("row", F.log10(F.col("factor") * F.col("ratio")).alias("by_context")))
-        left = joined.where("ratio is null").join(level.states.select(F.col("context").alias(code), "rest"), code, "left")
-        left = left.withColumn("factor", F.col("factor") * F.coalesce("rest", F.lit(1.0)))
-        keep = ["row", "next", *[f"c{k}" for k in range(1, length)], "factor", "below"]
-        rows = rows.where(F.col(code).isNull()).select(*keep).unionByName(left.select(*keep))
-    out = rows.select("row", F.log10(F.col("factor") * F.col("below")).alias("by_context"))
-    answered = answers(parts, model, ranges)
-    for more in [*settled, *([stored(answered, "answers", BATCH)] if answered is not None else [])]:
-        out = out.union(more)
-    return out.groupBy("row").agg(F.sum("by_context").alias("by_context"))
-
-
-PARTS = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "by_tree", "word", "k"]
+            some = batch.filter(batch.column(2).is_valid())
+            answers.extend(zip(*(some.column(k).to_pylist() for k in range(3)), strict=True))
+            texts.append(batch.filter(batch.column(2).is_null()))
+        if not texts:
+            return
+        table = pa.Table.from_batches(texts).sort_by("row")
+        row, known, base, tree = (table.column(c).to_numpy().copy() for c in ("row", "n_known", "base_score", "by_tree"))
+        for first, kind, records in answers:
+            text, n, sums = opened(records, 3)
+            at = np.searchsorted(row, first + text)
+            if kind == WORDS:
+                known[at] += n
+                base[at] += sums.view("f8")
+            else:
+                tree[at] += sums.view("f8")
+        out = table.select(["doc_id", "held_out", "n_tokens"])
+        for name, column in (("n_known", known), ("base_score", base), ("score", base + tree)):
+            out = out.append_column(name, pa.array(column))
+        yield from out.to_batches(20_000)
+
+    ranges = partitions(parts.sparkSession)
+    by_task = parts.repartitionById(ranges, F.pmod(F.shiftright("asks", 33), F.lit(ranges)).cast("int"))
+    return by_task.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def suffix_tree_scores(docs: DataFrame, *, depth: int = 3, min_count: int = 5, divergence: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -638,8 +699,9 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 3, min_count: int = 5, d
 
     base_score adds log10 probabilities by word counts alone. score is the log10 probability under the suffix tree (train_tree):
     the longest state that the text before a token ends in gives its word's probability, mixed with its suffixes down to the
-    word's count. Frequent words, states and entries are looked up, all others are joined or asked for in packs: neither the vocabulary nor the tree
-    has to fit anywhere. Words and contexts are told apart by 64-bit hashes.
+    word's count. Frequent words, states and entries are looked up, all others are asked for in packs: neither the vocabulary nor the tree
+    has to fit anywhere. Words and contexts are told apart by 64-bit hashes. Texts are numbered as they come: a task that runs again
+    must meet its rows in the same order, as it does where docs are read from files.
 
     A null text is empty: one token, its end. Null ids count as the empty id text and are kept. Repeated rows stay rows of their
     own. Without training texts every probability by counts is 1. Other columns are ignored; an empty table gives no rows.
@@ -650,19 +712,9 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 3, min_count: int = 5, d
     words = stored(count_words(train), "words", BATCH)
     model = train_tree(train, words, depth=depth, divergence=divergence, min_count=min_count)
     ranges = partitions(docs.sparkSession, model.total)
-    parts = stored(score_parts(rows, model, ranges), "parts", BATCH)
-    n = F.coalesce("n", F.lit(0))
-    log = F.log10((n + 0.5) / F.lit(model.total + 0.5 * (model.distinct + 1)))
-    rare = parts.where("word is not null").select("row", F.col("word").alias("key"), "k").join(words, "key", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.col("k") * log).alias("more"), F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"))
-    base = F.col("base_score") + F.coalesce("more", F.lit(0.0))
-    texts = parts.where("n_tokens is not null").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "by_tree")
-    return texts.join(rare, "row", "left").join(context_scores(parts, model, ranges), "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (base + F.col("by_tree") + F.coalesce("by_context", F.lit(0.0))).alias("score"),
-    )
+    n = in_slices(model.total)
+    some = [rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k) for k in range(n)]
+    parts = [stored(answered(score_parts(x, model, ranges), words, model, ranges), "parts", BATCH) for x in some]
+    discard(words, *model.tables)
+    scores = reduce(DataFrame.union, map(totals, parts))
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

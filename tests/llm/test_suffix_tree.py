@@ -128,3 +128,34 @@ def test_open_symbols_leave_in_packs(spark, monkeypatch):
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
     assert suffix_tree_scores(docs).count() == 80
     assert seen["parts"][0].count() < 2_000  # packs and texts; 24,080 symbols
+
+
+def test_words_leave_in_packs_and_slices_change_nothing(spark, monkeypatch):
+    """Words that aren't at hand are no rows: 80 texts of 200 words, of which each is in two texts. Joins and requests in four slices."""
+    texts = [(i, " ".join(f"a b c x{i // 2}y{k} b c" for k in range(200))) for i in range(80)] + [(None, "a b c"), (None, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    whole = sorted(suffix_tree_scores(docs).collect(), key=key)
+    monkeypatch.setattr(suffix_tree, "AT_HAND", 100)
+    monkeypatch.setattr(suffix_tree, "SLICE", 1_000, raising=False)
+    seen = {}
+    monkeypatch.setattr(suffix_tree, "stored", lambda df, name, *more: seen.setdefault(name, []).append(out := stored(df, name)) or out)
+    sliced = sorted(suffix_tree_scores(docs).collect(), key=key)
+    assert sum(x.count() for x in seen["parts"]) < 2_000  # 16,000 pairs of a text and a word
+    assert len(seen["parts"]) == 4
+    for a, b in zip(whole, sliced, strict=True):
+        assert (a.doc_id, a.n_tokens, a.n_known, a.held_out, a.train_tokens) == (b.doc_id, b.n_tokens, b.n_known, b.held_out, b.train_tokens)
+        assert (a.base_score, a.score) == (pytest.approx(b.base_score), pytest.approx(b.score))
+
+
+def test_packs_give_back_their_records():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    for n in (1, 2, 1000):
+        key = np.sort(rnd.integers(-(1 << 63), (1 << 63) - 1, n))
+        key[[0, -1]] = -(1 << 63), (1 << 63) - 1 if n > 1 else -(1 << 63)
+        other, mixed_up = rnd.integers(-5, 5, n), rnd.permutation(n)
+        assert [x.tolist() for x in suffix_tree.opened(suffix_tree.squeezed([key, other]), 2)] == [key.tolist(), other.tolist()]
+        got = zip(*suffix_tree.opened(suffix_tree.squeezed([key[mixed_up], other[mixed_up]]), 2), strict=True)
+        assert sorted(got) == sorted(zip(key.tolist(), other.tolist(), strict=True))
