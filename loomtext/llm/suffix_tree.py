@@ -18,14 +18,14 @@ END = 0
 #: Bits of a filter of keys. What passes a filter is checked by a join: a full filter spares no rows, but changes no result.
 FILTER = 1 << 26
 #: Most rows of a table that each worker reads to settle frequent rows without a join. It spares rows and changes no result.
-AT_HAND = 2_500_000
+AT_HAND = 1_000_000
 #: The same for entries of a length. Others are asked for in packs: with few at hand that costs about as much a token in a small corpus as in a large one.
 ENTRIES_AT_HAND = 100_000
 #: Numbers under this one stand for words at hand in packs of counts; no word's key is among them.
 CODES = 1 << 24
 #: Bytes of an Arrow batch, about: texts and packs are large rows.
 BATCH = 8 << 20
-#: Joins of longer contexts and requests run in up to 4 slices, one a so many training tokens: the shuffle files of one go before the next.
+#: Joins of longer contexts and requests run in up to 3 slices, one a so many training tokens: the shuffle files of one go before the next.
 SLICE = 5_000_000
 #: What a pack holds or asks for: entries and states of the tree, counts of words.
 ENTRIES, STATES, WORDS = range(3)
@@ -269,7 +269,7 @@ def contexts_of(symbols, depth: int) -> list:
 
 
 def in_slices(total: int) -> int:
-    return min(4, 1 + total // SLICE)
+    return min(3, 1 + total // SLICE)
 
 
 def write_filter(keys: DataFrame, name: str) -> str:
@@ -529,6 +529,7 @@ def score_parts(docs: DataFrame, model: Model, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        ranks.cache_clear()
         words, levels = sorted_table(at_hand), [(bitmap(a), bitmap(b), sorted_table(c), sorted_table(d), *whole) for a, b, c, d, *whole in paths]
         task = TaskContext.get().partitionId()
         row = first_row = task << 33
@@ -582,7 +583,7 @@ def score_parts(docs: DataFrame, model: Model, parts: int) -> DataFrame:
                 by_tree=np.add.reduceat(np.log10(whole), starts),
             )
             row += len(sizes)
-            if sum(len(key) for found in asked for key, _ in found) > 1_000_000 or row - first_row > 50_000:
+            if sum(len(key) for found in asked for key, _ in found) > 500_000 or row - first_row > 50_000:
                 yield from requests(first_row, asked)
                 asked, first_row = [[], [], []], row
         yield from requests(first_row, asked)
@@ -616,15 +617,20 @@ def packs(table: DataFrame, kind: int, parts: int, most: int = 500_000) -> DataF
     return table.mapInArrow(run, "asks long, kind int, part int, records binary")
 
 
-def answered(parts: DataFrame, words: DataFrame, model: Model, ranges: int) -> DataFrame:
-    """The rows of texts, and packs (asks, kind, records) of answers: (number of the text, how many of its requests were found, their
-    sum). Requests meet the rows of their range of keys."""
+def all_packs(words: DataFrame, model: Model, ranges: int) -> DataFrame | None:
+    """Packs of all tables that aren't at hand as a whole; None if all are."""
     tables = [] if model.complete else [packs(words.select("key", "n"), WORDS, ranges)]
     for level in model.levels:
         if not level.all_states:
             tables.append(packs(level.states.select("context", F.log10("rest").cast("float")), STATES, ranges))
         if not level.all_entries:
             tables.append(packs(level.entries.select("context", "next", "more"), ENTRIES, ranges))
+    return stored(reduce(DataFrame.union, tables), "packs", BATCH) if tables else None
+
+
+def answered(parts: DataFrame, tables: DataFrame | None, ranges: int) -> DataFrame:
+    """The rows of texts, and packs (asks, kind, records) of answers: (number of the text, how many of its requests were found, their
+    sum). Requests meet the rows of their range of keys."""
     names = ["asks", "kind", "records", *(c.split()[0] for c in TEXTS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -657,7 +663,7 @@ def answered(parts: DataFrame, words: DataFrame, model: Model, ranges: int) -> D
                     made = {"asks": [first], "kind": [kind], "records": [squeezed([text, np.bincount(which).astype("i8"), sums])]}
                     yield pa.RecordBatch.from_arrays([pa.array(made[x.name], x.type) if x.name in made else pa.nulls(1, x.type) for x in batch.schema], schema=batch.schema)
 
-    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables, parts)
+    both = parts if tables is None else parts.unionByName(tables, allowMissingColumns=True)
     return both.repartitionById(ranges, F.col("part")).select(*names).mapInArrow(run, f"asks long, kind int, records binary, {TEXTS}")
 
 
@@ -714,7 +720,9 @@ def suffix_tree_scores(docs: DataFrame, *, depth: int = 3, min_count: int = 5, d
     ranges = partitions(docs.sparkSession, model.total)
     n = in_slices(model.total)
     some = [rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k) for k in range(n)]
-    parts = [stored(answered(score_parts(x, model, ranges), words, model, ranges), "parts", BATCH) for x in some]
+    tables = all_packs(words, model, ranges)
     discard(words, *model.tables)
+    parts = [stored(answered(score_parts(x, model, ranges), tables, ranges), "parts", BATCH) for x in some]
+    discard(*([] if tables is None else [tables]))
     scores = reduce(DataFrame.union, map(totals, parts))
     return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

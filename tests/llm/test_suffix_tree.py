@@ -131,7 +131,7 @@ def test_open_symbols_leave_in_packs(spark, monkeypatch):
 
 
 def test_words_leave_in_packs_and_slices_change_nothing(spark, monkeypatch):
-    """Words that aren't at hand are no rows: 80 texts of 200 words, of which each is in two texts. Joins and requests in four slices."""
+    """Words that aren't at hand are no rows: 80 texts of 200 words, of which each is in two texts. Joins and requests in three slices."""
     texts = [(i, " ".join(f"a b c x{i // 2}y{k} b c" for k in range(200))) for i in range(80)] + [(None, "a b c"), (None, None)]
     docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
     key = lambda r: (str(r.doc_id), r.n_tokens)
@@ -142,7 +142,7 @@ def test_words_leave_in_packs_and_slices_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "stored", lambda df, name, *more: seen.setdefault(name, []).append(out := stored(df, name)) or out)
     sliced = sorted(suffix_tree_scores(docs).collect(), key=key)
     assert sum(x.count() for x in seen["parts"]) < 2_000  # 16,000 pairs of a text and a word
-    assert len(seen["parts"]) == 4
+    assert len(seen["parts"]) == 3
     for a, b in zip(whole, sliced, strict=True):
         assert (a.doc_id, a.n_tokens, a.n_known, a.held_out, a.train_tokens) == (b.doc_id, b.n_tokens, b.n_known, b.held_out, b.train_tokens)
         assert (a.base_score, a.score) == (pytest.approx(b.base_score), pytest.approx(b.score))
